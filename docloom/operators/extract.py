@@ -86,7 +86,7 @@ def _xml_nodes(docs: DataFrame, content: str, steps: list[str], vals: list[str])
     tree = _xml_type(leaf)
     for step in reversed(steps[1:]):
         tree = f"struct<`{step}`: array<{tree}>>"
-    schema = tree[len("struct<") : -1] + ", `__bad`: string"
+    schema = tree.removesuffix(">") + ", `__bad`: string>"
     options = {"attributePrefix": "_", "columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}
     nodes = docs.filter(F.regexp_extract(F.col(content), _ROOT, 1) == steps[0])
     nodes = nodes.withColumn("__node", F.from_xml(F.col(content), schema, options))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.values import split_list
-from docloom.storage import Checked, cut, cut_observed, fresh_path, issue_rows
+from docloom.storage import Checked, cut, cut_observed, fresh_path, issue_rows, write_observed
 
 
 def node_key(kind: Column, name: Column) -> Column:
@@ -21,10 +21,11 @@ def topo_levels(nodes: DataFrame, edges: DataFrame, self_ok: bool = False, kind:
     ignored. Nodes on a cycle or behind one are issues. With `self_ok` a node may
     depend on itself.
 
-    Each round frees the nodes whose dependencies are all placed and drops the
-    edges to them, so the edge table only shrinks. It is written to the shared
-    folder every round, once; the driver sees two counters. The rounds are as
-    many as there are levels, and the loop ends when a round frees nothing.
+    Each round marks the edges whose dependency is placed and goes on with the
+    others, so the edge table only shrinks. It is written to the shared folder
+    once a round, and the driver sees two counters. There are as many rounds as
+    levels; a round that marks nothing ends the loop. A node's level then is one
+    above the last round that marked an edge of it.
     """
     spark = nodes.sparkSession
     ids = nodes.select("id").distinct()
@@ -36,37 +37,37 @@ def topo_levels(nodes: DataFrame, edges: DataFrame, self_ok: bool = False, kind:
         .join(ids, "id", "left_semi")
         .join(ids.withColumnRenamed("id", "dep"), "dep", "left_semi")
     )
-    edges = cut(edges, "edges")
-    placed = fresh_path(spark, "levels")
-
-    def place(ready: DataFrame, level: int) -> DataFrame:
-        path = f"{placed}/level={level}"
-        ready.write.parquet(path)
-        return spark.read.schema(ids.schema).parquet(path)
-
-    level = 0
-    ready = place(ids.join(edges.select("id").distinct(), "id", "left_anti"), level)
+    edges = cut(edges.select("id", "dep"), "edges")
+    free = ids.join(edges.select("id").distinct(), "id", "left_anti")
+    ready, left = free, edges
+    marked = fresh_path(spark, "marked")
+    step = 0
     while True:
         done = ready.select(F.col("id").alias("dep"), F.lit(True).alias("done"))
-        flagged, seen = cut_observed(
-            edges.join(done, "dep", "left").select("id", "dep", "done"),
-            "edges",
-            F.count("done").alias("freed"),
+        flagged, seen = write_observed(
+            left.join(done, "dep", "left").select("id", "dep", "done"),
+            f"{marked}/round={step}",
+            F.count("done").alias("marked"),
             F.count_if(F.col("done").isNull()).alias("left"),
         )
-        edges = flagged.filter(F.col("done").isNull()).select("id", "dep")
-        if not seen["freed"]:
+        left = flagged.filter(F.col("done").isNull()).select("id", "dep")
+        if not seen["marked"] or not seen["left"]:
             break
-        level += 1
-        ready = place(flagged.groupBy("id").agg(F.count_if(F.col("done").isNull()).alias("n")).filter("n = 0").select("id"), level)
-        if not seen["left"]:
-            break
-    levels = (
-        spark.read.schema(f"id {ids.schema['id'].dataType.simpleString()}, level int")
-        .option("basePath", placed)
-        .parquet(placed)
+        ready = flagged.groupBy("id").agg(F.count_if(F.col("done").isNull()).alias("n")).filter("n = 0").select("id")
+        step += 1
+    rounds = (
+        spark.read.schema(f"id {ids.schema['id'].dataType.simpleString()}, done boolean, round int")
+        .option("basePath", marked)
+        .parquet(marked)
+    )
+    placed = (
+        rounds.filter("done")
+        .groupBy("id")
+        .agg((F.max("round") + 1).alias("level"))
+        .join(left.select("id").distinct(), "id", "left_anti")
     )
-    return Checked(levels, issue_rows(edges.select("id").distinct(), kind, F.col("id"), "level", "cycle", None))
+    levels = free.withColumn("level", F.lit(0)).unionByName(placed)
+    return Checked(levels, issue_rows(left.select("id").distinct(), kind, F.col("id"), "level", "cycle", None))
 
 
 def flatten_imports(edges: DataFrame, roots: DataFrame) -> Checked:

@@ -98,7 +98,6 @@ REFERENCE_ORDER = ["name", "nameref", "id", "idref", "sysref"]
 def resolve_reference(
     refs: DataFrame,
     dim: DataFrame,
-    key: list[str],
     order: list[str] | None = None,
     id: str = "id",
     name: str = "name",
@@ -107,85 +106,79 @@ def resolve_reference(
 ) -> Checked:
     """Resolve references that may carry a name, an id or both, in order of preference.
 
-    `id` and `idref` are looked up among ids, the rest among names. The
-    candidates of a reference become rows, meet the keyed records in one
-    equi-join, and the best-ranked hit wins. `resolution` is the part that hit,
-    `self` for a reference to its own holder (`own_id`, `own_name`), `system`
-    for an unmatched system name (which stands for itself), or null: an issue.
-    `key` identifies a reference row.
+    `id` and `idref` are looked up among ids, the rest among names. What a
+    reference resolves to depends on those parts alone, so each distinct
+    combination is resolved once: its parts become candidate rows, meet the keyed
+    records in one equi-join, and the best-ranked hit wins. `resolution` is the
+    part that hit, `self` for a reference to its own holder (`own_id`,
+    `own_name`), `system` for an unmatched system name (which stands for
+    itself), or null: an issue.
     """
     order = order or REFERENCE_ORDER
     parts = [p for p in order if p in refs.columns]
+    by_id = dim.select(F.lit("id").alias("__space"), F.col(id).alias("__key"), F.struct(id, name).alias("__hit"))
+    by_name = dim.select(F.lit("name").alias("__space"), F.col(name).alias("__key"), F.struct(id, name).alias("__hit"))
     index = (
-        dim.select(F.lit("id").alias("__space"), F.col(id).alias("__key"), F.col(id).alias("__i"), F.col(name).alias("__n"))
-        .unionByName(
-            dim.select(F.lit("name").alias("__space"), F.col(name).alias("__key"), F.col(id).alias("__i"), F.col(name).alias("__n"))
-        )
+        by_id.unionByName(by_name)
         .filter(F.col("__key").isNotNull())
         .groupBy("__space", "__key")
-        .agg(F.min(F.struct("__i", "__n")).alias("__hit"))
+        .agg(F.min("__hit").alias("__hit"))
+    )
+    options = [
+        F.struct(
+            F.lit(n).alias("__rank"),
+            F.lit(p).alias("__part"),
+            F.lit("id" if p in ("id", "idref") else "name").alias("__space"),
+            F.col(p).alias("__key"),
+        )
+        for n, p in enumerate(parts)
+    ]
+    candidates = (
+        refs.select(*parts)
+        .distinct()
+        .select(*parts, F.inline(F.array(*options)))
+        .filter(F.col("__key") != "")
     )
-    candidates = refs.select(
-        *key,
-        F.explode(
-            F.filter(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(n).alias("rank"),
-                            F.lit(p).alias("part"),
-                            F.lit("id" if p in ("id", "idref") else "name").alias("__space"),
-                            F.col(p).alias("__key"),
-                        )
-                        for n, p in enumerate(parts)
-                    ]
-                ),
-                lambda c: c["__key"].isNotNull() & (c["__key"] != ""),
-            )
-        ).alias("c"),
-    ).select(*key, "c.*")
     best = (
         candidates.join(index, ["__space", "__key"])
-        .groupBy(*key)
-        .agg(F.min_by(F.struct("part", "__hit"), "rank").alias("__best"))
+        .groupBy(*[F.col(p).alias(f"__of_{p}") for p in parts])
+        .agg(F.min_by(F.struct("__part", "__hit"), "__rank").alias("__best"))
     )
+    same = [refs[p].eqNullSafe(best[f"__of_{p}"]) for p in parts]
 
     def part(p: str) -> Column:
-        return F.col(p) if p in refs.columns else F.lit(None).cast("string")
+        return F.col(p) if p in parts else F.lit(None).cast("string")
+
+    def own(column: str | None) -> Column:
+        return F.col(column) if column else F.lit(None).cast("string")
 
-    is_self = F.lit(False)
-    if own_id:
-        is_self = is_self | F.coalesce(part("idref") == F.col(own_id), F.lit(False))
-    if own_name:
-        is_self = is_self | F.coalesce(part("nameref") == F.col(own_name), F.lit(False))
+    is_self = F.coalesce(part("idref") == own(own_id), F.lit(False)) | F.coalesce(
+        part("nameref") == own(own_name), F.lit(False)
+    )
+    resolution = F.coalesce(
+        F.col("__best.__part"),
+        F.when(is_self, F.lit("self")),
+        F.when(part("sysref") != "", F.lit("system")),
+    )
     resolved = (
-        refs.join(best, key, "left")
-        .withColumn(
-            "resolution",
-            F.coalesce(
-                F.col("__best.part"),
-                F.when(is_self, F.lit("self")),
-                F.when(F.coalesce(part("sysref") != "", F.lit(False)), F.lit("system")),
-            ),
-        )
+        refs.join(best, same, "left")
+        .withColumn("resolution", resolution)
         .withColumns(
             {
-                "target_id": F.when(F.col("resolution") == "self", F.col(own_id) if own_id else F.lit(None)).otherwise(
-                    F.col("__best.__hit.__i")
-                ),
-                "target_name": F.when(F.col("resolution") == "self", F.col(own_name) if own_name else F.lit(None))
+                "target_id": F.when(F.col("resolution") == "self", own(own_id)).otherwise(F.col(f"__best.__hit.{id}")),
+                "target_name": F.when(F.col("resolution") == "self", own(own_name))
                 .when(F.col("resolution") == "system", part("sysref"))
-                .otherwise(F.col("__best.__hit.__n")),
+                .otherwise(F.col(f"__best.__hit.{name}")),
             }
         )
-        .drop("__best")
+        .select(*refs.columns, "resolution", "target_id", "target_name")
     )
     return Checked(
         resolved.filter(F.col("resolution").isNotNull()),
         issue_rows(
             resolved.filter(F.col("resolution").isNull()),
             "reference",
-            F.concat_ws("/", *[F.col(k).cast("string") for k in key]),
+            F.coalesce(own(own_id), own(own_name)),
             "reference",
             "unresolved",
             F.concat_ws("|", *[F.col(p) for p in parts]),

@@ -237,15 +237,16 @@ def batch_documents(t: Tables) -> DataFrame:
 
 @query(
     """
-    SELECT l_returnflag, l_orderkey, l_linenumber,
-           (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1) // 100 AS batch
+    SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey,
+           (row_number() OVER (PARTITION BY l_returnflag
+                               ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1) // 100 AS batch
     FROM lineitem
     """
 )
 def batch_by_source(t: Tables) -> DataFrame:
-    slim = t.lineitem.select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber")
-    batches = cut_batches(slim, ["l_shipdate", "l_orderkey", "l_linenumber"], by=["l_returnflag"])
-    return batches.select("l_returnflag", "l_orderkey", "l_linenumber", "batch")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    batches = cut_batches(t.lineitem.select("l_returnflag", *order), order, by=["l_returnflag"])
+    return batches.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "batch")
 
 
 @query(

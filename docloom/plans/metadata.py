@@ -98,15 +98,13 @@ def resolve_targets(t: Tables) -> DataFrame:
 def resolve_reference(t: Tables) -> DataFrame:
     flag = F.col("l_returnflag")
     refs = t.lineitem.select(
-        "l_orderkey",
-        "l_linenumber",
         F.when(flag == "A", F.format_string("Supplier#%09d", "l_suppkey")).alias("nameref"),
         F.when(flag == "R", text("l_partkey")).alias("idref"),
         F.when((flag == "N") & (F.col("l_linestatus") == "O"), "sys-O").alias("sysref"),
         text("l_partkey").alias("own"),
     )
     dim = t.supplier.select(text("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    good, issue = lookup.resolve_reference(refs, dim, ["l_orderkey", "l_linenumber"], own_id="own", own_name="own")
+    good, issue = lookup.resolve_reference(refs, dim, own_id="own", own_name="own")
     rows = good.select("resolution", "target_name").unionByName(
         issue.select(F.col("rule").alias("resolution"), F.lit(None).cast("string").alias("target_name"))
     )
@@ -145,16 +143,17 @@ def _shards(t: Tables) -> DataFrame:
 
 def _hosts(t: Tables) -> DataFrame:
     return t.lineitem.select(
-        F.col("l_orderkey").alias("cluster"), F.col("l_suppkey").alias("host"), F.col("l_linenumber").alias("ordinal")
-    )
+        F.col("l_orderkey").alias("cluster"), F.col("l_suppkey").alias("host"), F.col("l_suppkey").alias("ordinal")
+    ).distinct()
 
 
 _SHARDS_SQL = """
     o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 END AS shards
           FROM orders),
-    p AS (SELECT o_orderkey, l_suppkey AS host, l_returnflag, l_linestatus, l_partkey, l_linenumber, unnest(range(1, shards + 1)) AS shard,
-                 printf('db%d-%03d-%03d', o_orderkey, l_linenumber, shard) AS shard_name
-          FROM o JOIN lineitem ON l_orderkey = o_orderkey)
+    h AS (SELECT DISTINCT l_orderkey, l_suppkey AS host FROM lineitem),
+    p AS (SELECT o_orderkey, host, unnest(range(1, shards + 1)) AS shard,
+                 printf('db%d-%03d-%03d', o_orderkey, host, shard) AS shard_name
+          FROM o JOIN h ON l_orderkey = o_orderkey)
 """
 
 
@@ -173,16 +172,17 @@ def shard_plan(t: Tables) -> DataFrame:
 @query(
     f"""
     WITH {_SHARDS_SQL}
-    SELECT CASE WHEN l_returnflag = 'R' AND shard = 1 AND l_partkey <> host THEN 'host-differs' ELSE 'good' END AS rule,
-           CASE WHEN l_returnflag = 'R' AND shard = 1 AND l_partkey <> host THEN NULL
-                ELSE l_returnflag = 'R' AND shard = 1 END AS "exists",
-           count(*) AS n
-    FROM p GROUP BY ALL
+    , a AS (SELECT printf('db%d-%03d-001', l_orderkey, l_suppkey) AS shard_name,
+                 min(CASE WHEN l_quantity > 25 THEN l_suppkey ELSE l_partkey END) AS actual FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    SELECT CASE WHEN actual <> host THEN 'host-differs' ELSE 'good' END AS rule,
+           CASE WHEN actual <> host THEN NULL ELSE actual IS NOT NULL END AS "exists", count(*) AS n
+    FROM p LEFT JOIN a USING (shard_name) GROUP BY ALL
     """
 )
 def placement_check(t: Tables) -> DataFrame:
     actual = t.lineitem.filter("l_returnflag = 'R'").select(
-        F.format_string("db%d-%03d-001", "l_orderkey", "l_linenumber").alias("shard_name"), F.col("l_partkey").alias("host")
+        F.format_string("db%d-%03d-001", "l_orderkey", "l_suppkey").alias("shard_name"),
+        F.when(F.col("l_quantity") > 25, F.col("l_suppkey")).otherwise(F.col("l_partkey")).alias("host"),
     )
     good, issue = lookup.placement_check(_shards(t), actual, _hosts(t), ["cluster"])
     rows = good.select(F.lit("good").alias("rule"), "exists").unionByName(
@@ -291,15 +291,16 @@ def layered_issues(t: Tables) -> DataFrame:
 @query(
     """
     SELECT l_partkey AS name, CASE WHEN l_returnflag <> 'N' THEN CAST(l_suppkey AS VARCHAR) END AS value FROM lineitem
-    QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) = 1
+    QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_returnflag) = 1
     """
 )
 def precedence_lookup(t: Tables) -> DataFrame:
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_returnflag"]
     values = t.lineitem.select(
         F.col("l_partkey").alias("name"), F.when(F.col("l_returnflag") != "N", text("l_suppkey")).alias("value"),
-        "l_shipdate", "l_orderkey", "l_linenumber",
+        *order,
     )
-    return layers.precedence_lookup(values, ["name"], ["l_shipdate", "l_orderkey", "l_linenumber"])
+    return layers.precedence_lookup(values, ["name"], order)
 
 
 @query(
@@ -649,7 +650,7 @@ def embedded_levels(t: Tables) -> DataFrame:
         t.nation.select(nation.alias("key"), shared.alias("body"))
     )
     nodes, refs = graph.flatten_embedded(definitions)
-    resolved = lookup.resolve_reference(refs, nodes, ["key", "slot"], own_id="own_id", own_name="own_name").good
+    resolved = lookup.resolve_reference(refs, nodes.select("id", "name"), own_id="own_id", own_name="own_name").good
     edges = resolved.join(nodes.select("key", F.col("name").alias("holder")), "key").select(
         F.col("holder").alias("id"), F.col("target_name").alias("dep")
     )

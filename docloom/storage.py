@@ -53,11 +53,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
-    """`cut`, with aggregates over the written rows at no extra pass."""
+def write_observed(df: DataFrame, path: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """Write and read back, with aggregates over the written rows at no extra pass."""
     seen = Observation()
-    written = cut(df.observe(seen, *metrics), name)
-    return written, seen.get
+    df.observe(seen, *metrics).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+def cut_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """`cut`, with aggregates over the written rows."""
+    return write_observed(df, fresh_path(df.sparkSession, name), *metrics)
 
 
 def local_table(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType] | None = None) -> DataFrame:
