@@ -37,17 +37,12 @@ def explode_permissions(df: DataFrame, col: str, entity: str) -> Checked:
 def group_permissions(df: DataFrame, keys: list[str]) -> DataFrame:
     """Capabilities per key and role, repeats kept, in sorted order.
 
-    Equal pairs are counted before they are gathered, so the gathering step sees
-    one row per distinct capability, of which there are five, however often a
-    grant is repeated.
+    There are five capabilities, so a group is five counters: one hash aggregate
+    with partial sums, however often a grant is repeated.
     """
-    counted = df.groupBy(*keys, "role", "capability").agg(F.count("*").cast("int").alias("__n"))
-    return (
-        counted.groupBy(*keys, "role")
-        .agg(F.array_sort(F.collect_list(F.struct("capability", "__n"))).alias("__c"))
-        .withColumn(
-            "capabilities",
-            F.flatten(F.transform("__c", lambda c: F.array_repeat(c["capability"], c["__n"]))),
-        )
-        .drop("__c")
+    ordered = sorted(CAPABILITIES)
+    counted = df.groupBy(*keys, "role").agg(
+        *[F.count_if(F.col("capability") == c).alias(f"__{c}") for c in ordered]
     )
+    repeated = [F.array_repeat(F.lit(c), F.col(f"__{c}").cast("int")) for c in ordered]
+    return counted.select(*keys, "role", F.concat(*repeated).alias("capabilities"))

@@ -82,7 +82,7 @@ def parse_trace(files: DataFrame, file_name: str = "file_name", body: str = "bod
 def read_trace(spark: SparkSession, folder: str) -> Checked:
     """Trace entries of a folder in file name order."""
     files = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+        spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("body"))
     )
     good, issue = parse_trace(files)
