@@ -31,7 +31,7 @@ def eq_map(left: Column, right: Column) -> Column:
     """Same pairs in any order; missing equals empty."""
 
     def pairs(c: Column) -> Column:
-        return F.coalesce(F.array_sort(F.map_entries(c)), F.array())
+        return F.coalesce(F.sort_array(F.map_entries(c)), F.array())
 
     return pairs(left).eqNullSafe(pairs(right))
 

@@ -205,7 +205,7 @@ def effective_collections(df: DataFrame, defaults: Column, own: str = "collectio
     `is_override` tells which documents need their own metadata entry.
     """
     defaults = F.coalesce(defaults, F.array().cast("array<string>"))
-    differs = F.coalesce(F.array_sort(F.col(own)) != F.array_sort(defaults), F.lit(False))
+    differs = F.coalesce(F.sort_array(F.col(own)) != F.sort_array(defaults), F.lit(False))
     return df.withColumns(
         {"is_override": differs, own: F.when(differs, F.col(own)).otherwise(defaults)}
     )

@@ -91,7 +91,8 @@ def _xml_nodes(docs: DataFrame, content: str, steps: list[str], vals: list[str])
     schema = tree.removesuffix(">") + ", `__bad`: string>"
     options = {"attributePrefix": "_", "columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}
     nodes = docs.filter(F.regexp_extract(F.col(content), _ROOT, 1) == steps[0])
-    nodes = nodes.withColumn("__node", F.from_xml(F.col(content), schema, options))
+    # a generator's result is a column of its own: filter and projections below share one parse
+    nodes = nodes.withColumn("__node", F.explode(F.array(F.from_xml(F.col(content), schema, options))))
     nodes = nodes.filter(F.col("__node.__bad").isNull())
     for step in steps[1:]:
         nodes = nodes.withColumn("__node", F.explode(F.col("__node")[step]))

@@ -7,15 +7,15 @@ at all means absent, which does not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.storage import Checked, issue_rows, missing_if_empty
 
 
-def resolve_identity(keys: DataFrame) -> Checked:
-    """Entity of each distinct `(kind, id, name)`, seen first at `rank`.
+def resolve_identity(keys: DataFrame, scope: list[str]) -> Checked:
+    """Entity of each distinct `(scope, kind, id, name)`, seen first at `rank`.
 
     A record belongs to the entity with its id, or else to the one with its
     name. An entity goes by the first id and the first name it is given; names
@@ -23,18 +23,22 @@ def resolve_identity(keys: DataFrame) -> Checked:
     name is taken in by that entity and reported, as the outcome then hangs on
     the order of layers.
     """
+    kind = [*scope, "kind"]
     ids = (
         keys.filter(F.col("id").isNotNull())
-        .groupBy("kind", "id")
-        .agg(F.min("rank").alias("id_rank"), F.min_by("name", F.when(F.col("name").isNotNull(), F.col("rank"))).alias("first_name"))
+        .groupBy(*kind, "id")
+        .agg(
+            F.min("rank").alias("id_rank"),
+            F.min_by("name", F.when(F.col("name").isNotNull(), F.col("rank"))).alias("first_name"),
+        )
     )
     owners = (
         ids.filter(F.col("first_name").isNotNull())
-        .groupBy("kind", F.col("first_name").alias("name"))
-        .agg(F.min(F.struct(F.col("id_rank"), F.col("id"))).alias("o"))
-        .select("kind", "name", F.col("o.id").alias("owner"), F.col("o.id_rank").alias("owner_rank"))
+        .groupBy(*kind, F.col("first_name").alias("name"))
+        .agg(F.min(F.struct("id_rank", "id")).alias("o"))
+        .select(*kind, "name", F.col("o.id").alias("owner"), F.col("o.id_rank").alias("owner_rank"))
     )
-    known = keys.join(owners, ["kind", "name"], "left").join(ids, ["kind", "id"], "left")
+    known = keys.join(owners, [*kind, "name"], "left").join(ids, [*kind, "id"], "left")
     taken = (
         F.col("id").isNotNull()
         & (F.col("owner") != F.col("id"))
@@ -48,15 +52,42 @@ def resolve_identity(keys: DataFrame) -> Checked:
     )
     resolved = known.withColumn("entity", entity)
     return Checked(
-        resolved.select("kind", "id", "name", "entity"),
+        resolved.select(*kind, "id", "name", "entity"),
         issue_rows(resolved.filter(taken), F.col("kind"), F.col("entity"), "id", "identity-conflict", F.col("id")),
     )
 
 
-def layered_merge(props: DataFrame, special: tuple[str, ...] = ()) -> Checked:
+def place_records(props: DataFrame, scope: list[str] | None = None) -> Checked:
+    """Add `entity` and `rank` to the property rows of all layers.
+
+    The distinct identities are resolved apart, and meet the properties in one
+    equi-join; rows without id and name are issues.
+    """
+    kind = [*(scope or []), "kind"]
+    props = props.withColumns(
+        {
+            "id": missing_if_empty("id"),
+            "name": missing_if_empty("name"),
+            "compose": F.coalesce(missing_if_empty("compose"), F.lit("merge")),
+            "rank": F.struct("layer", "pos"),
+        }
+    )
+    nameless = props.filter(F.col("id").isNull() & F.col("name").isNull())
+    props = props.filter(F.col("id").isNotNull() | F.col("name").isNotNull())
+    keys = props.groupBy(*kind, "id", "name").agg(F.min("rank").alias("rank"))
+    identity, conflict = resolve_identity(keys, kind[:-1])
+    same = [F.col(f"p.{c}") == F.col(f"i.{c}") for c in kind]
+    same += [F.col(f"p.{c}").eqNullSafe(F.col(f"i.{c}")) for c in ("id", "name")]
+    placed = props.alias("p").join(identity.alias("i"), same).select("p.*", "i.entity")
+    issue = issue_rows(nameless, F.col("kind"), None, F.col("prop"), "no-id-and-no-name", F.col("value"))
+    return Checked(placed, issue.unionByName(conflict))
+
+
+def layered_merge(props: DataFrame, special: tuple[str, ...] = (), scope: list[str] | None = None) -> Checked:
     """Merge the records of all layers into one per entity, property by property.
 
-    Input rows: `kind, layer, pos, id, name, compose, prop, value`. `layer` may
+    Input rows: `kind, layer, pos, id, name, compose, prop, value`, and the
+    `scope` columns where several environments are merged at once. `layer` may
     be any orderable value, the lowest being the most derived; `pos` orders the
     records inside a layer, which merge too. For each entity:
 
@@ -66,78 +97,77 @@ def layered_merge(props: DataFrame, special: tuple[str, ...] = ()) -> Checked:
     * differing or unknown compose values are issues and the entity is left out.
 
     Properties in `special` are left to their own merge (`merge_indexes`,
-    `merge_permissions`).
+    `layered_permissions`).
 
-    Both steps are ordinary aggregates with partial results on the map side, and
-    the second runs over the output of the first, so an entity repeated in very
-    many layers is reduced before anything is shuffled.
+    The winners come from an aggregate with partial results on the map side, so
+    an entity repeated in very many layers is reduced before it is shuffled. The
+    rest is a window over the winners of an entity, one row per property name.
     """
+    scope = list(scope or [])
+    kind = [*scope, "kind"]
     props = props.filter(~F.col("prop").isin(list(special))) if special else props
-    props = props.withColumns(
-        {
-            "id": missing_if_empty("id"),
-            "name": missing_if_empty("name"),
-            "compose": F.coalesce(missing_if_empty("compose"), F.lit("merge")),
-            "rank": F.struct("layer", "pos"),
-        }
-    )
-    nameless = props.filter(F.col("id").isNull() & F.col("name").isNull())
-    props = props.filter(F.col("id").isNotNull() | F.col("name").isNotNull())
+    placed, issue = place_records(props, scope)
 
-    keys = props.groupBy("kind", "id", "name").agg(F.min("rank").alias("rank"))
-    identity, conflict = resolve_identity(keys)
-    entities = identity.select(
-        "kind", F.col("id").alias("__id"), F.col("name").alias("__name"), "entity"
-    )
-    placed = props.alias("p").join(
-        entities.alias("e"),
-        (F.col("p.kind") == F.col("e.kind"))
-        & F.col("p.id").eqNullSafe(F.col("e.__id"))
-        & F.col("p.name").eqNullSafe(F.col("e.__name")),
-    ).select("p.*", "e.entity")
-
-    first = placed.groupBy("kind", "entity", "prop").agg(
+    def first_given(c: str) -> list[Column]:
+        at = F.when(F.col(c).isNotNull(), F.col("rank"))
+        return [F.min_by(c, at).alias(c), F.min(at).alias(f"{c}_rank")]
+
+    first = placed.groupBy(*kind, "entity", "prop").agg(
         F.min_by(F.struct("value", "rank"), "rank").alias("w"),
         F.min("compose").alias("c_low"),
         F.max("compose").alias("c_high"),
-        F.min_by(F.col("id"), F.when(F.col("id").isNotNull(), F.col("rank"))).alias("id"),
-        F.min(F.when(F.col("id").isNotNull(), F.col("rank"))).alias("id_rank"),
-        F.min_by(F.col("name"), F.when(F.col("name").isNotNull(), F.col("rank"))).alias("name"),
-        F.min(F.when(F.col("name").isNotNull(), F.col("rank"))).alias("name_rank"),
-    )
-    whole = first.groupBy("kind", "entity").agg(
-        F.min("w.rank").alias("founder"),
-        F.min("c_low").alias("c_low"),
-        F.max("c_high").alias("c_high"),
-        F.min_by("id", "id_rank").alias("id"),
-        F.min_by("name", "name_rank").alias("name"),
+        *first_given("id"),
+        *first_given("name"),
     )
     mixed = F.col("c_low") != F.col("c_high")
     unknown = ~F.col("c_low").isin("merge", "hide")
+    entity = Window.partitionBy(*kind, "entity")
     merged = (
-        first.select("kind", "entity", "prop", "w")
-        .join(whole.filter(~mixed & ~unknown), ["kind", "entity"])
+        first.select(
+            *kind,
+            "entity",
+            "prop",
+            "w",
+            F.min("w.rank").over(entity).alias("founder"),
+            F.min("c_low").over(entity).alias("c_low"),
+            F.max("c_high").over(entity).alias("c_high"),
+            F.min_by("id", "id_rank").over(entity).alias("id"),
+            F.min_by("name", "name_rank").over(entity).alias("name"),
+        )
+        .filter(~mixed & ~unknown)
         .filter((F.col("c_low") == "merge") | (F.col("w.rank") == F.col("founder")))
         .select(
-            "kind", "entity", "id", "name", "prop",
+            *kind, "entity", "id", "name", "prop",
             F.col("w.value").alias("value"), F.col("w.rank.layer").alias("layer"),
         )
     )
-    issue = (
-        issue_rows(nameless, F.col("kind"), None, F.col("prop"), "no-id-and-no-name", F.col("value"))
-        .unionByName(
+    composed = placed.groupBy(*kind, "entity").agg(F.min("compose").alias("c_low"), F.max("compose").alias("c_high"))
+    return Checked(
+        merged,
+        issue.unionByName(
             issue_rows(
-                whole.filter(mixed | unknown),
+                composed.filter(mixed | unknown),
                 F.col("kind"),
                 F.col("entity"),
                 "compose",
                 F.when(mixed, "different-compose").otherwise("unknown-compose"),
                 F.when(mixed, F.concat_ws("|", "c_low", "c_high")).otherwise(F.col("c_low")),
             )
-        )
-        .unionByName(conflict)
+        ),
+    )
+
+
+def layered_permissions(grants: DataFrame, keys: list[str]) -> DataFrame:
+    """`merge_permissions` over any number of layers: per role the first non-empty entry wins.
+
+    `grants`: `keys`, `role`, `value`, `rank`. A role with only empty entries keeps one.
+    """
+    empty = F.coalesce(F.col("value") == "", F.lit(True))
+    return (
+        grants.groupBy(*keys, "role")
+        .agg(F.min_by(F.struct("value"), F.struct(empty, F.col("rank"))).alias("__w"))
+        .select(*keys, "role", F.col("__w.value").alias("value"))
     )
-    return Checked(merged, issue)
 
 
 # Parameters that describe one module and are never inherited.

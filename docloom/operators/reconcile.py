@@ -57,7 +57,7 @@ _RECORDS = "array<map<string,string>>"
 def _as_records(text: Column) -> Column:
     """JSON objects in a canonical spelling, keys sorted, so that they compare as text."""
     return F.transform(
-        F.from_json(text, _RECORDS), lambda m: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+        F.from_json(text, _RECORDS), lambda m: F.to_json(F.map_from_entries(F.sort_array(F.map_entries(m))))
     )
 
 
@@ -204,7 +204,7 @@ def creation_payload(props: DataFrame, passthrough: DataFrame | None = None, lat
     )
     member = F.concat(_quoted(F.col("prop")), F.lit(":"), _json_value(F.col("v.value"), F.col("v.type")))
     payload = once.groupBy("kind", "entity").agg(
-        F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(member)), ","), F.lit("}")).alias("payload")
+        F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(member)), ","), F.lit("}")).alias("payload")
     )
     return Checked(
         payload,

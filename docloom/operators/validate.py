@@ -81,7 +81,8 @@ def validate(props: DataFrame, specs: list[Prop], number: str | None = None) ->
     not only the first.
 
     The schema is a hand-written table, so its join is a broadcast of known size.
-    Presence is a set of mandatory names per entity, bounded by the schema.
+    Properties are counted per target first; what is then gathered per entity is
+    at most one item per name of the schema.
     """
     schema = schema_table(props.sparkSession, specs)
     flagged = props.join(schema, ["kind", "prop"], "left")
@@ -92,8 +93,6 @@ def validate(props: DataFrame, specs: list[Prop], number: str | None = None) ->
     flagged = flagged.withColumn("rule", rule)
     taken = flagged.filter(used & F.col("type").isNotNull())
 
-    twice = taken.groupBy("kind", "entity", "target").agg(F.count("*").alias("n")).filter("n > 1")
-
     kinds = sorted({s.kind for s in specs})
     wanted = local_table(
         props.sparkSession,
@@ -106,20 +105,31 @@ def validate(props: DataFrame, specs: list[Prop], number: str | None = None) ->
         },
         {"wanted": pa.list_(pa.string())},
     )
-    missing = (
-        flagged.groupBy("kind", "entity")
-        .agg(F.collect_set(F.when(used & F.col("mandatory"), F.col("target"))).alias("have"))
-        .join(wanted, "kind")
-        .select("kind", "entity", F.explode(F.array_except("wanted", "have")).alias("prop"))
-    )
-    issue = (
-        issue_rows(
-            flagged.filter(F.col("rule").isNotNull()),
-            F.col("kind"), F.col("entity"), F.col("prop"), F.col("rule"), F.col("value"),
+    counted = flagged.groupBy("kind", "entity", "target").agg(F.count_if(used).alias("n"))
+    per_entity = (
+        counted.groupBy("kind", "entity")
+        .agg(
+            F.collect_set(F.when(F.col("n") > 0, F.col("target"))).alias("have"),
+            F.collect_set(
+                F.when(
+                    F.col("n") > 1,
+                    F.struct(F.col("target").alias("prop"), F.lit("set-twice").alias("rule"), F.col("n").cast("string").alias("value")),
+                )
+            ).alias("twice"),
         )
-        .unionByName(issue_rows(twice, F.col("kind"), F.col("entity"), F.col("target"), "set-twice", F.col("n")))
-        .unionByName(issue_rows(missing, F.col("kind"), F.col("entity"), F.col("prop"), "missing-mandatory", None))
+        .join(wanted, "kind", "left")
+    )
+    missing = F.transform(
+        F.array_except(F.coalesce("wanted", F.array()), "have"),
+        lambda p: F.struct(
+            p.alias("prop"), F.lit("missing-mandatory").alias("rule"), F.lit(None).cast("string").alias("value")
+        ),
     )
+    grouped = per_entity.select("kind", "entity", F.inline(F.concat("twice", missing)))
+    issue = issue_rows(
+        flagged.filter(F.col("rule").isNotNull()),
+        F.col("kind"), F.col("entity"), F.col("prop"), F.col("rule"), F.col("value"),
+    ).unionByName(issue_rows(grouped, F.col("kind"), F.col("entity"), F.col("prop"), F.col("rule"), F.col("value")))
     good = taken.filter(F.col("rule").isNull()).select(
         *[c for c in props.columns if c not in ("prop", "value")], F.col("target").alias("prop"), "type", "value"
     )

@@ -227,7 +227,7 @@ def diff_lists(t: Tables) -> DataFrame:
     words = F.split("text", " ", -1)
     return t.documents.select(
         "doc_id",
-        cmp.eq_list(words, F.array_sort(words)).alias("eq_sorted"),
+        cmp.eq_list(words, F.sort_array(words)).alias("eq_sorted"),
         cmp.eq_list(words, F.array_distinct(words)).alias("eq_distinct"),
     )
 

@@ -155,7 +155,7 @@ def effective_collections(t: Tables) -> DataFrame:
         .when(F.col("n_chars") > 300, F.array("lang"))
     )
     docs = own_or_default(t.documents.select("doc_id", "lang", own.alias("collections")), F.array("lang"))
-    return docs.select("doc_id", F.array_join(F.array_sort("collections"), ",").alias("collections"), "is_override")
+    return docs.select("doc_id", F.array_join(F.sort_array("collections"), ",").alias("collections"), "is_override")
 
 
 @query(
