@@ -27,12 +27,9 @@ SCALAR_TYPES = {
     "dateTime": "timestamp",
 }
 
-# Default collation of an index by whether its type is string.
-STRING_COLLATION = "http://marklogic.com/collation/"
-
-
-def default_collation(type: Column) -> Column:
-    return F.when(type == "string", STRING_COLLATION).otherwise("")
+def default_collation(type: Column, root: str) -> Column:
+    """Collation of an index that names none: the server's root collation for strings, else empty."""
+    return F.when(type == "string", root).otherwise("")
 
 
 def spark_type(scalar: str) -> str:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.storage import Checked, issue_rows
+from docloom.storage import Checked, cut, cut_observed, issue_rows
 
 PLACEHOLDER = r"[@$]\{[^}]*\}"
 # Fixed value: a parameter name is alphanumeric, with single dashes between.
@@ -92,12 +92,13 @@ def substitute(df: DataFrame, col: str, params, key: list[str] | None = None, sc
         asked = df.filter(text.rlike(r"[@$]\{")).select(
             *key,
             *[c for c in scope if c not in key],
-            F.explode(F.array_distinct(F.transform(_tokens(text), _param_name))).alias("name"),
+            F.explode(F.array_distinct(F.transform(_tokens(text), _param_name))).alias("__name"),
         )
+        named = params.select(*scope, F.col("name").alias("__name"), F.col("value").alias("__value"))
         known = (
-            asked.join(params.select(*scope, "name", "value"), [*scope, "name"])
+            asked.join(named, [*scope, "__name"])
             .groupBy(*key)
-            .agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("__values"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("__name", "__value"))).alias("__values"))
         )
         values = F.coalesce(F.col("__values"), F.create_map().cast("map<string,string>"))
         checked = df.join(known, key, "left").withColumn("__rule", _rule(text, values))
@@ -136,3 +137,33 @@ def resolve_params(params: dict[str, str]) -> dict[str, str]:
         return done[name]
 
     return {name: value(name, ()) if raw else raw for name, raw in params.items()}
+
+
+def resolve_param_table(params: DataFrame, scope: list[str]) -> Checked:
+    """Resolve parameters that refer to each other, for many environments at once.
+
+    `params`: `scope`, `name`, `value`. Each round fills in what is resolved
+    already; the rounds are as many as parameters nest. What a round without
+    progress leaves refers to itself or to nothing, and is an issue.
+    """
+    key = [*scope, "name"]
+    params = params.select(*key, "value")
+    nested = F.coalesce(F.col("value").rlike(r"[@$]\{"), F.lit(False))
+    solved = cut(params.filter(~nested), "params")
+    pending = cut(params.filter(nested), "params")
+    while True:
+        filled, seen = cut_observed(
+            substitute(pending, "value", solved, key, scope).good, "params", F.count("*").alias("n")
+        )
+        if not seen["n"]:
+            break
+        solved = solved.unionByName(filled)
+        pending = cut(pending.join(filled.select(*key), key, "left_anti"), "params")
+    where = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
+    return Checked(solved, issue_rows(pending, "param", where, "value", "unresolvable", F.col("value")))
+
+
+def json_escaped(text: Column) -> Column:
+    """A text as it stands inside a JSON string."""
+    quoted = F.to_json(F.array(text))
+    return quoted.substr(F.lit(3), F.length(quoted) - 4)

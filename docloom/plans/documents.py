@@ -18,6 +18,7 @@ from docloom.operators.documents import (
     select_paths,
     with_fallback,
 )
+from docloom.operators.environment import load_documents as load
 from docloom.operators.extract import lexicon
 from docloom.plans.registry import Tables, query
 from docloom.sources.documents import flatten_listing as listed
@@ -338,3 +339,20 @@ def trace_entries(t: Tables) -> DataFrame:
         issue.select(F.col("rule").alias("entry"), none.alias("verb"), none.alias("status"))
     )
     return rows.groupBy("entry", "verb", "status").agg(F.count("*").alias("n"))
+
+
+@query(
+    """
+    WITH d AS (SELECT '/' || source || '/' || lang || '/' || doc_id || '.txt' AS uri, lang, n_chars FROM documents
+               WHERE lang <> 'es' AND source <> 'src7')
+    SELECT uri, CASE WHEN n_chars > 800 THEN 'all,' || lang ELSE 'all' END AS collections, n_chars > 800 AS is_override,
+           (row_number() OVER (ORDER BY uri) - 1) // 100 AS batch
+    FROM d
+    """
+)
+def load_documents(t: Tables) -> DataFrame:
+    """A whole load: select, name, give collections, cut into batches."""
+    own = F.when(F.col("n_chars") > 800, F.array("lang", F.lit("all")))
+    files = document_paths(t).select("path", own.alias("collections"))
+    batches = load(files, include=["*.txt"], exclude=["/src7/**"], garbage=["es/"], collections=["all"], base="/data")
+    return batches.select("uri", F.array_join(F.sort_array("collections"), ",").alias("collections"), "is_override", "batch")

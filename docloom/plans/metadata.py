@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import graph, layers, lookup, reconcile as rec
-from docloom.operators.validate import Prop
+from docloom.operators import environment, graph, layers, lookup, reconcile as rec, schemas
+from docloom.operators.validate import Prop, apply_defaults, validate
 from docloom.plans.registry import Tables, query
 
 
@@ -362,6 +362,62 @@ def overlay_apis(t: Tables) -> DataFrame:
     return layers.overlay_defaults(overrides, ["user_id"], ["event_id"]).good
 
 
+@query(
+    """
+    SELECT '/c/' || c_custkey || '.json' AS root, prop,
+           CASE prop WHEN 'dir' THEN n_name || '-' || c_mktsegment WHEN 'name' THEN 'src' END AS value
+    FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES ('dir'), ('name'), ('include')) v(prop)
+    """
+)
+def compile_environments(t: Tables) -> DataFrame:
+    """One environment per customer, importing its nation's module."""
+    base = F.struct(
+        F.struct(
+            F.lit("0.1").alias("format"),
+            F.col("n_name").alias("code"),
+            F.struct(F.lit("none").alias("seg"), F.lit("@{code}-${seg}").alias("label")).alias("params"),
+            F.array(
+                F.struct(F.lit("src").alias("name"), F.lit("${label}").alias("dir"), F.lit("*.xml").alias("include"))
+            ).alias("sources"),
+        ).alias("top")
+    )
+    derived = F.format_string(
+        '{"top":{"format":"0.1","import":"../n/%d.json","params":{"seg":"%s"},"sources":[{"name":"src","include":null}]}}',
+        "c_nationkey", "c_mktsegment",
+    )
+    own = F.format_string("/c/%d.json", "c_custkey")
+    modules = t.customer.select(own.alias("module"), derived.alias("body")).unionByName(
+        t.nation.select(F.format_string("/n/%d.json", "n_nationkey").alias("module"), F.to_json(base).alias("body"))
+    )
+    roots = t.customer.select(own.alias("module"))
+    return environment.compile_environments(modules, roots).props.select("root", "prop", "value")
+
+
+@query(
+    """
+    SELECT p_partkey AS entity, prop,
+           CASE prop WHEN 'scalar-type' THEN CASE WHEN p_size > 25 THEN 'string' ELSE 'int' END
+                     WHEN 'localname' THEN p_name WHEN 'invalid-values' THEN 'ignore'
+                     WHEN 'collation' THEN CASE WHEN p_type = 'SMALL' THEN 'own' WHEN p_size > 25 THEN 'http://example.org/collation/root' ELSE '' END
+                     ELSE '' END AS value
+    FROM part, (VALUES ('scalar-type'), ('localname'), ('invalid-values'), ('collation'), ('namespace-uri')) v(prop)
+    WHERE prop <> 'invalid-values' OR p_brand <> 'Brand#3'
+    """
+)
+def index_schema(t: Tables) -> DataFrame:
+    """Range index declarations, defaulted and validated against their schema."""
+    rows = F.array(
+        F.struct(F.lit("type").alias("prop"), F.when(F.col("p_size") > 25, "string").otherwise("int").alias("value")),
+        F.struct(F.lit("name").alias("prop"), F.col("p_name").alias("value")),
+        F.struct(F.lit("invalid").alias("prop"), F.when(F.col("p_brand") == "Brand#3", "never").otherwise("ignore").alias("value")),
+        F.when(F.col("p_type") == "SMALL", F.struct(F.lit("collation").alias("prop"), F.lit("own").alias("value"))),
+    )
+    props = t.part.select(F.lit("index").alias("kind"), F.col("p_partkey").alias("entity"), F.inline(F.array_compact(rows)))
+    schema = schemas.index("http://example.org/collation/root")
+    good = validate(apply_defaults(props, schema), schema).good
+    return good.select("entity", "prop", "value")
+
+
 # --- reconciliation ----------------------------------------------------------
 
 
