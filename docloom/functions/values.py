@@ -74,3 +74,15 @@ def merge_permissions(derived: Column, base: Column) -> Column:
     return F.map_concat(
         F.map_filter(base, lambda k, v: ~F.map_contains_key(answered, k)), answered
     )
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string: a one-item JSON array without its brackets."""
+    array = F.to_json(F.array(text))
+    return array.substr(F.lit(2), F.length(array) - 2)
+
+
+def json_escaped(text: Column) -> Column:
+    """A text as it stands inside a JSON string, without the quotes."""
+    string = quoted(text)
+    return string.substr(F.lit(2), F.length(string) - 2)

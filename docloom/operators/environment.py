@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.values import list_column
+from docloom.functions.values import json_escaped, list_column
 from docloom.operators.batching import BATCH_SIZE, batch_documents
 from docloom.operators.documents import derive_uri, effective_collections, select_paths
 from docloom.operators.graph import flatten_imports
@@ -19,7 +19,7 @@ from docloom.operators.layers import (
     place_records,
     precedence_lookup,
 )
-from docloom.operators.substitute import json_escaped, resolve_param_table, substitute
+from docloom.operators.substitute import resolve_param_table, substitute
 from docloom.sources.layers import component_props, index_rows, split_layers
 from docloom.storage import cut
 

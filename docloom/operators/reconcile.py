@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import comparators as cmp
-from docloom.functions.values import split_list
+from docloom.functions.values import quoted, split_list
 from docloom.operators.validate import Prop, schema_table
 from docloom.storage import Checked, issue_rows
 
@@ -167,19 +167,13 @@ def diff_reference(df: DataFrame, desired: str, actual: str, default: Column | N
     return df.filter(changes).withColumn(to, wanted)
 
 
-def _quoted(text: Column) -> Column:
-    """A JSON string: a one-item JSON array without its brackets."""
-    array = F.to_json(F.array(text))
-    return array.substr(F.lit(2), F.length(array) - 2)
-
-
 def _json_value(value: Column, type: Column) -> Column:
     """A JSON literal: booleans and integers bare, lists split, all else quoted."""
     listed = F.when(value.startswith("["), value).otherwise(F.to_json(split_list(value)))
     return (
         F.when(type.isin("boolean", "integer", "json"), value)
         .when(type == "list", listed)
-        .otherwise(_quoted(value))
+        .otherwise(quoted(value))
     )
 
 
@@ -202,7 +196,7 @@ def creation_payload(props: DataFrame, passthrough: DataFrame | None = None, lat
     once = rows.groupBy("kind", "entity", "prop").agg(
         F.count("*").alias("n"), F.min_by(F.struct("type", "value"), "free").alias("v")
     )
-    member = F.concat(_quoted(F.col("prop")), F.lit(":"), _json_value(F.col("v.value"), F.col("v.type")))
+    member = F.concat(quoted(F.col("prop")), F.lit(":"), _json_value(F.col("v.value"), F.col("v.type")))
     payload = once.groupBy("kind", "entity").agg(
         F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(member)), ","), F.lit("}")).alias("payload")
     )

@@ -39,6 +39,7 @@ DATABASE = [
     Prop("database", "lexicons.collection", target="collection-lexicon", type="boolean"),
 ]
 
+
 def index(root_collation: str) -> list[Prop]:
     """Range indexes; `root_collation` is the URI the server gives its root collation."""
     return [

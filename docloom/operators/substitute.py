@@ -147,10 +147,9 @@ def resolve_param_table(params: DataFrame, scope: list[str]) -> Checked:
     progress leaves refers to itself or to nothing, and is an issue.
     """
     key = [*scope, "name"]
-    params = params.select(*key, "value")
+    params = cut(params.select(*key, "value"), "params")
     nested = F.coalesce(F.col("value").rlike(r"[@$]\{"), F.lit(False))
-    solved = cut(params.filter(~nested), "params")
-    pending = cut(params.filter(nested), "params")
+    solved, pending = params.filter(~nested), params.filter(nested)
     while True:
         filled, seen = cut_observed(
             substitute(pending, "value", solved, key, scope).good, "params", F.count("*").alias("n")
@@ -158,12 +157,10 @@ def resolve_param_table(params: DataFrame, scope: list[str]) -> Checked:
         if not seen["n"]:
             break
         solved = solved.unionByName(filled)
-        pending = cut(pending.join(filled.select(*key), key, "left_anti"), "params")
+        pending, seen = cut_observed(
+            pending.join(filled.select(*key), key, "left_anti"), "params", F.count("*").alias("n")
+        )
+        if not seen["n"]:
+            break
     where = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
     return Checked(solved, issue_rows(pending, "param", where, "value", "unresolvable", F.col("value")))
-
-
-def json_escaped(text: Column) -> Column:
-    """A text as it stands inside a JSON string."""
-    quoted = F.to_json(F.array(text))
-    return quoted.substr(F.lit(3), F.length(quoted) - 4)
