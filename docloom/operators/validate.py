@@ -62,6 +62,17 @@ def schema_table(spark: SparkSession, specs: list[Prop]) -> DataFrame:
     )
 
 
+def _names_of_kind(specs: list[Prop], name) -> Column:
+    """The names a schema lists for a row's kind, as a literal; empty for other kinds."""
+    none = F.array().cast("array<string>")
+    kinds = sorted({s.kind for s in specs})
+    pairs = []
+    for kind in kinds:
+        names = sorted({name(s) for s in specs if s.kind == kind})
+        pairs += [F.lit(kind), F.array(*[F.lit(n) for n in names])]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("kind")), none) if pairs else none
+
+
 def value_rule(value: Column, type: Column, allowed: Column, is_number: Column | None = None) -> Column:
     """Rule a value breaks, or null."""
     return (
@@ -93,18 +104,7 @@ def validate(props: DataFrame, specs: list[Prop], number: str | None = None) ->
     flagged = flagged.withColumn("rule", rule)
     taken = flagged.filter(used & F.col("type").isNotNull())
 
-    kinds = sorted({s.kind for s in specs})
-    wanted = local_table(
-        props.sparkSession,
-        {
-            "kind": kinds,
-            "wanted": [
-                sorted({s.target or s.name for s in specs if s.kind == k and s.mandatory and not s.ignored})
-                for k in kinds
-            ],
-        },
-        {"wanted": pa.list_(pa.string())},
-    )
+    wanted = _names_of_kind([s for s in specs if s.mandatory and not s.ignored], lambda s: s.target or s.name)
     counted = flagged.groupBy("kind", "entity", "target").agg(F.count_if(used).alias("n"))
     per_entity = (
         counted.groupBy("kind", "entity")
@@ -117,10 +117,9 @@ def validate(props: DataFrame, specs: list[Prop], number: str | None = None) ->
                 )
             ).alias("twice"),
         )
-        .join(wanted, "kind", "left")
     )
     missing = F.transform(
-        F.array_except(F.coalesce("wanted", F.array()), "have"),
+        F.array_except(wanted, "have"),
         lambda p: F.struct(
             p.alias("prop"), F.lit("missing-mandatory").alias("rule"), F.lit(None).cast("string").alias("value")
         ),
@@ -158,12 +157,6 @@ def apply_defaults(props: DataFrame, specs: list[Prop]) -> DataFrame:
     keeping only names the schema has defaults for.
     """
     specs = [s for s in specs if s.default is not None]
-    kinds = sorted({s.kind for s in specs})
-    named = local_table(
-        props.sparkSession,
-        {"kind": kinds, "named": [[s.name for s in specs if s.kind == k] for k in kinds]},
-        {"named": pa.list_(pa.string())},
-    )
     sources = sorted({s.default[0] for s in specs if not isinstance(s.default, str)})
     names = sorted({s.name for s in specs})
     have = props.groupBy("kind", "entity").agg(
@@ -176,8 +169,7 @@ def apply_defaults(props: DataFrame, specs: list[Prop]) -> DataFrame:
         test = (F.col("kind") == s.kind) & (F.col("prop") == s.name)
         value = F.when(test, given) if value is None else value.when(test, given)
     added = (
-        have.join(named, "kind")
-        .withColumn("prop", F.explode(F.array_except("named", "have")))
+        have.withColumn("prop", F.explode(F.array_except(_names_of_kind(specs, lambda s: s.name), "have")))
         .select("kind", "entity", "prop", value.alias("value"))
     )
     return props.unionByName(added, allowMissingColumns=True)

@@ -85,7 +85,7 @@ def split_layers(modules: DataFrame) -> Layers:
     opened = modules.select("module", F.explode(F.array(outer)).alias("__outer")).select(
         "module",
         F.coalesce(F.size("__outer"), F.lit(0)).alias("__roots"),
-        F.element_at(F.map_values("__outer"), 1).alias("__root"),
+        F.get(F.map_values("__outer"), F.lit(0)).alias("__root"),
     )
     rule = F.when(F.col("__roots") != 1, "not-one-root").when(
         ~F.get_json_object("__root", "$.format").eqNullSafe(FORMAT), "wrong-format"

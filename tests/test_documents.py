@@ -190,3 +190,18 @@ def test_trace_folder(spark, tmp_path):
 def test_local_table_refuses_data(spark):
     with pytest.raises(ValueError):
         local_table(spark, {"x": ["a"] * (LOCAL_ROWS + 1)})
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from docloom.storage import shared_dir
+
+    def session(master, named):
+        conf = SimpleNamespace(get=lambda key, default: named, set=lambda key, value: None)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    assert shared_dir(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("yarn", None))
+    assert "docloom-" in shared_dir(session("local[2]", None))

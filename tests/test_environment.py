@@ -80,8 +80,12 @@ def test_bad_modules_are_reported(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"top": {"format": "0.1",\n "code": "x"}}')
     (tmp_path / "b.json").write_text('{"top": {"format": "0.2"}}')
     (tmp_path / "c.json").write_text('{"top": {"format": "0.1"}, "more": {}}')
+    (tmp_path / "d.json").write_text("{}")
+    (tmp_path / "e.json").write_text("no json")
     layers = split_layers(read_modules(spark, str(tmp_path)))
-    assert {(r.entity.rsplit("/", 1)[1], r.rule) for r in layers.issue.collect()} == {("b.json", "wrong-format"), ("c.json", "not-one-root")}
+    assert {(r.entity.rsplit("/", 1)[1], r.rule) for r in layers.issue.collect()} == {("b.json", "wrong-format"), ("c.json", "not-one-root"),
+        ("d.json", "not-one-root"), ("e.json", "not-one-root"),
+    }
     assert [(r.module, r.name, r.value) for r in layers.params.collect()] == [(f"{tmp_path}/a.json", "@code", "x")]
 
 
