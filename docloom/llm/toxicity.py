@@ -23,8 +23,13 @@ from pyspark.sql import types as T
 from docloom.llm.batches import map_texts, name, pieces
 from docloom.llm.labels import SAMPLE_ROWS, Words, bucket, labelled_texts
 
-# Buckets of hashed words; weight of the prior in tokens; standard errors taken off a log-odds; score of a neutral token.
-BUCKETS, PRIOR, ERRORS, DRIFT = 1 << 17, 2_000.0, 2.5, -0.15
+# Buckets of hashed words and of hashed word beginnings (of so many letters), numbered in one sequence.
+WORD_BUCKETS, STEM_BUCKETS, STEM = 1 << 17, 1 << 16, 5
+BUCKETS = WORD_BUCKETS + STEM_BUCKETS
+# Weight of the prior in tokens; standard errors taken off a log-odds; a neutral token scores this at most.
+PRIOR, ERRORS, DRIFT = 20_000.0, 3.0, -0.01
+# A word met less often than this in the labelled texts scores by its beginning, which inflected forms share.
+KNOWN = 30
 # A segment of a larger E-value is no passage.
 SIGNIFICANT = 0.05
 THRESHOLD = 0.5
@@ -32,7 +37,16 @@ _EDGE = re.compile(r"^\W+|\W+$")
 
 
 def _number(token: str) -> int:
-    return bucket(_EDGE.sub("", token).lower() or token, BUCKETS)
+    """The buckets of the token's word and of its beginning, as one number."""
+    word = _EDGE.sub("", token).lower() or token
+    return bucket(word, WORD_BUCKETS) * STEM_BUCKETS + bucket(word[:STEM], STEM_BUCKETS)
+
+
+def _both(ids: np.ndarray) -> np.ndarray:
+    """Counts of all buckets, those of beginnings after those of words."""
+    return np.concatenate(
+        (np.bincount(ids // STEM_BUCKETS, minlength=WORD_BUCKETS), np.bincount(ids % STEM_BUCKETS, minlength=STEM_BUCKETS))
+    )
 
 
 def token_counts(texts: DataFrame, by: str | None = None) -> DataFrame:
@@ -47,8 +61,7 @@ def token_counts(texts: DataFrame, by: str | None = None) -> DataFrame:
                 ids = [words.ids(t) for t in piece.column(0).to_pylist()]
                 for value in np.unique(of).tolist():
                     here = np.concatenate([i for i, v in zip(ids, of) if v == value])
-                    counts = np.bincount(here, minlength=BUCKETS)
-                    totals[value] = totals.get(value, 0) + counts
+                    totals[value] = totals.get(value, 0) + _both(here)
         for value, counts in totals.items():
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
@@ -66,17 +79,38 @@ def _dense(counts: DataFrame, of: int) -> np.ndarray:
     return out
 
 
-def token_scores(toxic: np.ndarray, other: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-    """Log-odds less `ERRORS` standard errors (towards zero), plus the drift."""
-    prior = PRIOR * (corpus + 1.0) / (corpus + 1.0).sum()
+class Scores(NamedTuple):
+    """Scores of words and of word beginnings, and which words are known well enough."""
+
+    words: np.ndarray
+    stems: np.ndarray
+    known: np.ndarray
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        word = ids // STEM_BUCKETS
+        return np.where(self.known[word], self.words[word], self.stems[ids % STEM_BUCKETS])
+
+
+def _sure_log_odds(toxic: np.ndarray, other: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+    """Log-odds with a prior in proportion to the corpus, less `ERRORS` standard errors (towards zero)."""
+    prior = PRIOR * (corpus + 0.1) / (corpus + 0.1).sum()
 
     def log_odds(n):
         return np.log((n + prior) / (n.sum() + PRIOR - n - prior))
 
     delta = log_odds(toxic) - log_odds(other)
     error = np.sqrt(1 / (toxic + prior) + 1 / (other + prior))
-    sure = np.sign(delta) * np.maximum(np.abs(delta) - ERRORS * error, 0)
-    return np.clip(sure, -4, 8) + DRIFT
+    return np.clip(np.sign(delta) * np.maximum(np.abs(delta) - ERRORS * error, 0), -4, 8)
+
+
+def token_scores(toxic: np.ndarray, other: np.ndarray, corpus: np.ndarray) -> Scores:
+    """Significant log-odds; all other tokens score by how much rarer such are in toxic texts, `DRIFT` at most."""
+    cut_ = WORD_BUCKETS
+    words = _sure_log_odds(toxic[:cut_], other[:cut_], corpus[:cut_])
+    stems = _sure_log_odds(toxic[cut_:], other[cut_:], corpus[cut_:])
+    share = [float(n[cut_:][stems > 0].sum() / max(n[cut_:].sum(), 1)) for n in (toxic, other)]
+    drift = min(float(np.log((1 - share[0] + 1e-9) / (1 - share[1] + 1e-9))), DRIFT)
+    return Scores(words + drift, stems + drift, (toxic + other)[:cut_] >= KNOWN)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -104,7 +138,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 class Model(NamedTuple):
-    scores: np.ndarray
+    scores: Scores
     rate: float  # lambda of the extreme-value law
     factor: float  # its K
     weights: np.ndarray  # of the bits of all passages, of the best one, and a constant
@@ -112,7 +146,7 @@ class Model(NamedTuple):
     def passages(self, ids: np.ndarray) -> list[tuple[int, int, float, float]]:
         """Significant segments: tokens from, to, score and E-value."""
         found = []
-        for a, b, s in segments(self.scores[ids]):
+        for a, b, s in segments(self.scores.of(ids)):
             expected = self.factor * len(ids) * np.exp(-self.rate * s)
             if expected < SIGNIFICANT:
                 found.append((a, b, float(s), float(expected)))
@@ -128,13 +162,14 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-x))
 
 
-def fit_law(best: np.ndarray, lengths: np.ndarray, scores: np.ndarray, other: np.ndarray) -> tuple[float, float]:
-    """Lambda solves sum p(s) exp(lambda s) = 1 over the tokens of other texts; K makes the best segments of those texts likeliest."""
-    share = (other + 1e-3) / (other + 1e-3).sum()
+def fit_law(best: np.ndarray, lengths: np.ndarray, values: np.ndarray, times: np.ndarray) -> tuple[float, float]:
+    """Lambda solves sum p(s) exp(lambda s) = 1 over token scores (`values`, met so many `times`) of texts that are
+    not toxic; K makes the best segments of those texts likeliest."""
+    share = (times + 1e-6) / (times + 1e-6).sum()
     low, high = 1e-3, 8.0
     for _ in range(60):
         rate = (low + high) / 2
-        if share @ np.exp(rate * scores) > 1:
+        if share @ np.exp(rate * values) > 1:
             high = rate
         else:
             low = rate
@@ -152,7 +187,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _best(texts: DataFrame, scores: np.ndarray) -> list:
+def _best(texts: DataFrame, scores: Scores) -> list:
     """Per text: label, number of tokens and best segment."""
 
     def setup():
@@ -160,7 +195,7 @@ def _best(texts: DataFrame, scores: np.ndarray) -> list:
 
         def work(values):
             ids = [words.ids(v) for v in values]
-            best = [max((s for _, _, s in segments(scores[i])), default=0.0) for i in ids]
+            best = [max((s for _, _, s in segments(scores.of(i))), default=0.0) for i in ids]
             return [pa.array([len(i) for i in ids], pa.int64()), pa.array(best, pa.float64())]
 
         return work
@@ -197,9 +232,12 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, id_column: str = "d
     y = np.array([r.label for r in rows], float)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
-        return Model(np.full(BUCKETS, DRIFT), 1.0, 1.0, np.array([0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
+        return Model(scores, 1.0, 1.0, np.array([0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
     calm = [r for r in rows if r.label == 0]
-    rate, factor = fit_law(np.array([r.best for r in calm]), np.array([max(r.n, 1) for r in calm]), scores, other)
+    stems = slice(WORD_BUCKETS, None)
+    rate, factor = fit_law(
+        np.array([r.best for r in calm]), np.array([max(r.n, 1) for r in calm]), scores.stems, other[stems]
+    )
     model = Model(scores, rate, factor, np.zeros(3))
     found = _evidence(sample, model)
     x = np.array([[r["all"], r["most"], 1.0] for r in found])
