@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.batches import name, pieces
+from docloom.llm.batches import free, name, pieces
 
 WINDOW, DIVISOR, LONGEST = 2, 2, 32
 # A line of so many words is a chunk of its own.
@@ -134,7 +134,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", mi
         F.struct(*map(name, kept)).alias("row"), name(id_column).cast("long").alias("id"), F.xxhash64(name(text)).alias("text_hash")
     )
     same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))
-    joined = rows.join(marks, same, "left").select("row.*", F.col("repeats").alias("__repeats"))
+    joined = rows.join(marks, same, "left").select("row.*", F.col("repeats").alias(free("repeats", kept)))
     at, last = kept.index(text), len(kept)
     schema = T.StructType([*(df.schema[c] for c in kept), *([T.StructField(count, T.IntegerType())] if count else [])])
 

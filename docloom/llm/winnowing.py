@@ -138,9 +138,12 @@ def in_turn(df: DataFrame, id_column: str, text: str, parts: int | None = None)
     )
     steps = [i / parts for i in range(1, parts)]
     cuts = sorted(set(keyed.approxQuantile("at", steps, 0.25 / parts))) if steps else []
-    ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range")
     # The partition's number, from 0 for the greatest ids.
-    numbered = ranges.transform(keyed).withColumn("part", (F.lit(len(cuts)) - F.col("range")).cast("int"))
+    if cuts:
+        ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range")
+        numbered = ranges.transform(keyed).withColumn("part", (F.lit(len(cuts)) - F.col("range")).cast("int"))
+    else:
+        numbered = keyed.withColumn("part", F.lit(0))
     # At most one row per partition comes to the driver.
     first = {r.part: r.key for r in numbered.groupBy("part").agg(F.max("key").alias("key")).collect()}
     filled = sorted(first)
