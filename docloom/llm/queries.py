@@ -15,6 +15,7 @@ from docloom.llm import (
     decontaminate,
     labels,
     line_dedup,
+    oracle,
     quality,
     resharding,
     secret_scan,
@@ -24,7 +25,11 @@ from docloom.llm import (
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_decontamination": oracle.DECONTAMINATION,
+    "op6_chat": oracle.CHAT,
+    "op8_secrets": oracle.SECRETS,
+}
 
 OLD_SHARDS, NEW_SHARDS, SHARD_BLOCKS = 6, 8, 4096
 
