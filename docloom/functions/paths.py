@@ -82,14 +82,47 @@ def _brace_items(body: str, commas: list[int]) -> list[str] | None:
     if commas:
         bounds = [-1, *commas, len(body)]
         return [body[a + 1 : b] for a, b in zip(bounds, bounds[1:])]
-    counted = re.fullmatch(r"(-?\d+)\.\.(-?\d+)", body)
-    if not counted:
+    counted = re.fullmatch(r"(-?\d+)\.\.(-?\d+)(?:\.\.(-?\d+))?", body)
+    lettered = re.fullmatch(r"([a-zA-Z])\.\.([a-zA-Z])(?:\.\.(-?\d+))?", body)
+    if not counted and not lettered:
         return None
-    low, high = int(counted[1]), int(counted[2])
-    if abs(high - low) > 1000:
-        raise ValueError(f"brace range too long: {{{body}}}")
-    step = 1 if low <= high else -1
-    return [str(n) for n in range(low, high + step, step)]
+    first, last, by = (counted or lettered).groups()
+    low, high = (int(first), int(last)) if counted else (ord(first), ord(last))
+    step = max(abs(int(by or 1)), 1)
+    values = range(low, high + 1, step) if low <= high else range(low, high - 1, -step)
+    if lettered:
+        # letters between Z and a are punctuation, which stays literal
+        return ["\\" + c if c in _MAGIC else c for c in map(chr, values)]
+    padded = any(re.fullmatch(r"-?0\d+", n) for n in (first, last))
+    width = max(len(first), len(last)) if padded else 0
+    if len(values) > LONG_RANGE and step == 1 and min(low, high) >= 0 and not padded:
+        # a range this long is one pattern, not so many globs
+        return [f"{_RANGE}{min(low, high)}-{max(low, high)}{_RANGE}"]
+    return [f"{n:0{width}d}" if width else str(n) for n in values]
+
+
+# Ranges of more numbers become one regular expression; marks such a range inside an expanded glob.
+LONG_RANGE, _RANGE, _MAGIC = 100, "\x00", "*?[]{}\\"
+
+
+def number_regex(low: int, high: int) -> str:
+    """The decimal numbers from `low` to `high`, without leading zeros."""
+    tests, start = [], low
+    while start <= high:
+        # the longest block of `size` numbers that begins here: the last digits run over all values
+        size = 1
+        while start % (size * 10) == 0 and start and start + size * 10 - 1 <= high and len(str(start)) == len(str(start + size * 10 - 1)):
+            size *= 10
+        head, digits = str(start // size), len(str(size)) - 1
+        # blocks that differ in the last digit of their head go together
+        ten = start // size
+        more = min(9 - ten % 10, (high - start + 1) // size - 1)
+        if not start:
+            more = min(9, high)
+        top = ten + more
+        tests.append(str(ten)[:-1] + (f"[{str(ten)[-1]}-{str(top)[-1]}]" if more else head[-1]) + (f"\\d{{{digits}}}" if digits else ""))
+        start = (top + 1) * size
+    return "(?:" + "|".join(tests) + ")"
 
 
 def _segment_regex(segment: str) -> str:
@@ -97,7 +130,11 @@ def _segment_regex(segment: str) -> str:
     while at < len(segment):
         ch = segment[at]
         at += 1
-        if ch == "*":
+        if ch == _RANGE:
+            end = segment.index(_RANGE, at)
+            low, high = segment[at:end].split("-")
+            out, at = out + number_regex(int(low), int(high)), end + 1
+        elif ch == "*":
             out, magic = out + NAME_CHARS + "*", True
         elif ch == "?":
             out, magic = out + NAME_CHARS, True

@@ -19,7 +19,7 @@ def batch_documents(df: DataFrame, order: list[str], n: int = BATCH_SIZE, by: li
     """Number the rows in `order` and cut them into consecutive batches of exactly `n`.
 
     Adds `position` (from 1) and `batch` (from 0); with `by`, both restart for
-    each source set. `order` must be total: end it with a unique column, which
+    each source set (null is one of them). `order` must be total: end it with a unique column, which
     also lets the range partitioning split any run of equal leading values.
 
     No task sees the whole order. Rows are range-partitioned and sorted, written
@@ -51,8 +51,13 @@ def batch_documents(df: DataFrame, order: list[str], n: int = BATCH_SIZE, by: li
         ),
         "offsets",
     )
+    # a source set may be the null one
+    keys = [*by, "__part"]
+    offsets = offsets.select(*[F.col(c).alias(f"__of_{c}") for c in keys], "__offset")
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in keys]
     return (
-        placed.join(offsets, [*by, "__part"])
+        placed.join(offsets, same)
+        .drop(*[f"__of_{c}" for c in keys])
         .withColumn("position", F.col("__offset") + F.col("__place") + 1)
         .withColumn("batch", F.expr(f"(position - 1) div {int(n)}"))
         .drop("__at", "__part", "__place", "__offset")

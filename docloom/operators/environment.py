@@ -12,16 +12,16 @@ from docloom.operators.batching import BATCH_SIZE, batch_documents
 from docloom.operators.documents import derive_uri, effective_collections, select_paths
 from docloom.operators.graph import flatten_imports
 from docloom.operators.layers import (
-    layered_merge,
+    first_values,
     layered_permissions,
     merge_indexes,
     overlay_defaults,
-    place_records,
     precedence_lookup,
+    surviving,
 )
 from docloom.operators.substitute import resolve_param_table, substitute
 from docloom.sources.layers import component_props, index_rows, split_layers
-from docloom.storage import cut
+from docloom.storage import Checked, cut, issue_rows
 
 # Kinds whose permissions merge role by role.
 GRANTING = ["source", "role", "user"]
@@ -74,15 +74,19 @@ def compile_environments(modules: DataFrame, roots: DataFrame, given: DataFrame
     filled, unfilled = substitute(records, "body", escaped, ["root", "module", "kind", "pos"], ["root"], kind="component")
     props = cut(component_props(filled).drop("module"), "props")
 
-    merged, unmerged = layered_merge(props, ("indexes", "permissions"), scope=["root"])
-    special = place_records(props.filter(F.col("prop").isin("indexes", "permissions")), ["root"]).good
-    granting = special.filter((F.col("prop") == "permissions") & F.col("kind").isin(GRANTING))
+    survivors, unmerged = surviving(props, ["root"])
+    survivors = cut(survivors, "survivors")
+    merged = first_values(survivors, ("indexes", "permissions"), ["root"])
+    granting = survivors.filter((F.col("prop") == "permissions") & F.col("kind").isin(GRANTING))
     permissions = layered_permissions(
         granting.select("root", "kind", "entity", "rank", F.explode(F.from_json("value", "map<string,string>")).alias("role", "value")),
         ["root", "kind", "entity"],
     )
 
-    declaring = special.filter("prop = 'indexes' AND value IS NOT NULL").select("root", "entity", "rank", "value")
+    declaring = survivors.filter("prop = 'indexes' AND value IS NOT NULL").select("root", "kind", "entity", "id", "name", "rank", "value")
+    others, unmergeable = _index_settings(declaring)
+    merged = merged.unionByName(others)
+    declaring = declaring.select("root", "entity", "rank", "value")
     founder = declaring.groupBy("root", "entity").agg(F.min("rank").alias("founder"))
     rows = index_rows(declaring.join(founder, ["root", "entity"]))
     rows = rows.withColumn("derived", F.col("rank") == F.col("founder")).withColumn("at", F.struct("rank", "sub_pos"))
@@ -96,11 +100,32 @@ def compile_environments(modules: DataFrame, roots: DataFrame, given: DataFrame
         roots.select(F.col("module").alias("root"), F.lit(None).cast("string").alias("api"), F.lit(None).cast("string").alias("prop"),
                      F.lit(None).cast("string").alias("value"), F.array().cast("array<int>").alias("path_first"))
     )
-    apis = overlay_defaults(every_root, ["root"], ["path_first"]).good
-    issue = layers.issue.unionByName(cycles).unionByName(unresolved).unionByName(unfilled).unionByName(unmerged)
+    apis, unknown_apis = overlay_defaults(every_root, ["root"], ["path_first"])
+    wanted = closure.select("module").union(roots.select("module")).distinct()
+    absent = issue_rows(wanted.join(modules, "module", "left_anti"), "module", F.col("module"), "import", "no-such-module", None)
+    issue = layers.issue
+    for more in (cycles, absent, unresolved, unfilled, unmerged, unmergeable, unknown_apis):
+        issue = issue.unionByName(more)
     return Environment(params, merged, permissions, indexes, apis, issue)
 
 
+def _index_settings(declaring: DataFrame) -> Checked:
+    """Keys of `indexes` other than `ranges`, as properties `indexes.<key>`.
+
+    There is no rule to merge them by: where several records of an entity declare
+    indexes, each such key is an issue.
+    """
+    record = ["root", "kind", "entity", "id", "name"]
+    keys = declaring.select(*record, "rank", F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    several = declaring.groupBy(*record).agg(F.count("*").alias("n"))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"n.{c}")) for c in record]
+    counted = keys.filter("key <> 'ranges'").alias("k").join(several.alias("n"), same).select("k.*", "n.n")
+    good = counted.filter("n = 1").select(
+        *record, F.concat(F.lit("indexes."), "key").alias("prop"), "value", F.col("rank.layer").alias("layer")
+    )
+    return Checked(good, issue_rows(counted.filter("n > 1"), F.col("kind"), F.col("entity"), F.concat(F.lit("indexes."), "key"), "no-merge-rule", F.col("value")))
+
+
 def _one_list(rows: DataFrame) -> DataFrame:
     """Open the field and path lists, so that only names are left for the merge to open."""
     for c in ("field", "path"):

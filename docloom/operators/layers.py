@@ -83,80 +83,94 @@ def place_records(props: DataFrame, scope: list[str] | None = None) -> Checked:
     return Checked(placed, issue.unionByName(conflict))
 
 
-def layered_merge(props: DataFrame, special: tuple[str, ...] = (), scope: list[str] | None = None) -> Checked:
-    """Merge the records of all layers into one per entity, property by property.
+def surviving(props: DataFrame, scope: list[str] | None = None) -> Checked:
+    """The property rows that count, by what their entity's records say on composing.
 
     Input rows: `kind, layer, pos, id, name, compose, prop, value`, and the
     `scope` columns where several environments are merged at once. `layer` may
     be any orderable value, the lowest being the most derived; `pos` orders the
     records inside a layer, which merge too. For each entity:
 
-    * `compose = merge` (the default): per property the first record that has
-      it wins, an explicit null included;
-    * `compose = hide`: only the first record counts;
+    * `compose = merge` (the default): all of its records count;
+    * `compose = hide`: only the first record counts; whatever lies below it is
+      gone, its id and name included, and the entity goes by the first record's own;
     * differing or unknown compose values are issues and the entity is left out.
 
-    Properties in `special` are left to their own merge (`merge_indexes`,
-    `layered_permissions`).
-
-    The winners come from an aggregate with partial results on the map side, so
-    an entity repeated in very many layers is reduced before it is shuffled. The
-    rest is a window over the winners of an entity, one row per property name.
+    Adds `entity` and `rank`; `id` and `name` are the entity's. Whole entities are
+    decided here, once for all that is merged from their properties.
     """
-    scope = list(scope or [])
-    kind = [*scope, "kind"]
-    props = props.filter(~F.col("prop").isin(list(special))) if special else props
+    kind = [*(scope or []), "kind"]
     placed, issue = place_records(props, scope)
 
-    def first_given(c: str) -> list[Column]:
-        at = F.when(F.col(c).isNotNull(), F.col("rank"))
-        return [F.min_by(c, at).alias(c), F.min(at).alias(f"{c}_rank")]
-
-    first = placed.groupBy(*kind, "entity", "prop").agg(
-        F.min_by(F.struct("value", "rank"), "rank").alias("w"),
-        F.min("compose").alias("c_low"),
-        F.max("compose").alias("c_high"),
-        *first_given("id"),
-        *first_given("name"),
+    def first_given(c: str) -> Column:
+        return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rank"))).alias(f"__{c}")
+
+    # Map-side partials: an entity in very many layers arrives as one row per task.
+    heads = placed.groupBy(*kind, "entity").agg(
+        F.min("rank").alias("__founder"),
+        F.min_by(F.struct("id", "name"), "rank").alias("__first"),
+        F.min("compose").alias("__low"),
+        F.max("compose").alias("__high"),
+        first_given("id"),
+        first_given("name"),
     )
-    mixed = F.col("c_low") != F.col("c_high")
-    unknown = ~F.col("c_low").isin("merge", "hide")
-    entity = Window.partitionBy(*kind, "entity")
-    merged = (
-        first.select(
-            *kind,
-            "entity",
-            "prop",
-            "w",
-            F.min("w.rank").over(entity).alias("founder"),
-            F.min("c_low").over(entity).alias("c_low"),
-            F.max("c_high").over(entity).alias("c_high"),
-            F.min_by("id", "id_rank").over(entity).alias("id"),
-            F.min_by("name", "name_rank").over(entity).alias("name"),
-        )
-        .filter(~mixed & ~unknown)
-        .filter((F.col("c_low") == "merge") | (F.col("w.rank") == F.col("founder")))
+    mixed = F.col("__low") != F.col("__high")
+    unknown = ~F.col("__low").isin("merge", "hide")
+    hide = F.col("__low") == "hide"
+    own = F.coalesce(F.concat(F.lit("id:"), "__first.id"), F.concat(F.lit("name:"), "__first.name"))
+    decided = heads.filter(~mixed & ~unknown).select(
+        *kind,
+        "entity",
+        F.when(hide, F.col("__founder")).alias("__only"),
+        F.when(hide, own).otherwise(F.col("entity")).alias("__label"),
+        F.when(hide, F.col("__first.id")).otherwise(F.col("__id")).alias("__id"),
+        F.when(hide, F.col("__first.name")).otherwise(F.col("__name")).alias("__name"),
+    )
+    named = {"entity", "id", "name"}
+    good = (
+        placed.join(decided, [*kind, "entity"])
+        .filter(F.col("__only").isNull() | (F.col("rank") == F.col("__only")))
         .select(
-            *kind, "entity", "id", "name", "prop",
-            F.col("w.value").alias("value"), F.col("w.rank.layer").alias("layer"),
+            *[c for c in placed.columns if c not in named],
+            F.col("__label").alias("entity"), F.col("__id").alias("id"), F.col("__name").alias("name"),
         )
     )
-    composed = placed.groupBy(*kind, "entity").agg(F.min("compose").alias("c_low"), F.max("compose").alias("c_high"))
     return Checked(
-        merged,
+        good,
         issue.unionByName(
             issue_rows(
-                composed.filter(mixed | unknown),
+                heads.filter(mixed | unknown),
                 F.col("kind"),
                 F.col("entity"),
                 "compose",
                 F.when(mixed, "different-compose").otherwise("unknown-compose"),
-                F.when(mixed, F.concat_ws("|", "c_low", "c_high")).otherwise(F.col("c_low")),
+                F.when(mixed, F.concat_ws("|", "__low", "__high")).otherwise(F.col("__low")),
             )
         ),
     )
 
 
+def first_values(survivors: DataFrame, special: tuple[str, ...] = (), scope: list[str] | None = None) -> DataFrame:
+    """Per entity and property the value of its first surviving record, an explicit null included."""
+    keys = [*(scope or []), "kind", "entity", "id", "name", "prop"]
+    rows = survivors.filter(~F.col("prop").isin(list(special))) if special else survivors
+    return (
+        rows.groupBy(*keys)
+        .agg(F.min_by(F.struct("value", "rank"), "rank").alias("w"))
+        .select(*keys, F.col("w.value").alias("value"), F.col("w.rank.layer").alias("layer"))
+    )
+
+
+def layered_merge(props: DataFrame, special: tuple[str, ...] = (), scope: list[str] | None = None) -> Checked:
+    """Merge the records of all layers into one per entity, property by property: `surviving`, then `first_values`.
+
+    Properties in `special` are left to their own merge (`merge_indexes`,
+    `layered_permissions`), which starts from the same surviving rows.
+    """
+    survivors, issue = surviving(props, scope)
+    return Checked(first_values(survivors, special, scope), issue)
+
+
 def layered_permissions(grants: DataFrame, keys: list[str]) -> DataFrame:
     """`merge_permissions` over any number of layers: per role the first non-empty entry wins.
 
@@ -310,7 +324,7 @@ def overlay_defaults(overrides: DataFrame, scope: list[str], priority: list[str]
     return Checked(
         good,
         issue_rows(
-            over.filter(~name.isin(known)),
+            over.filter(F.col("api").isNotNull() & ~name.isin(known)),
             "api",
             F.concat_ws("/", *[F.col(s).cast("string") for s in scope]),
             name,

@@ -12,8 +12,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.paths import parent_path
-from docloom.storage import issue_rows
+from docloom.functions.paths import GlobList, parent_path
+from docloom.sources.documents import list_tree, read_contents
+from docloom.storage import cut, issue_rows
 
 # Fixed value: the format version a module must declare.
 FORMAT = "0.1"
@@ -50,9 +51,9 @@ class Layers(NamedTuple):
 
 def read_modules(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
     """`module` (its path) and `body` of each module file below a folder."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return files.text(folder, wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("module"), F.col("value").alias("body")
+    files = list_tree(spark, folder.rstrip("/")).filter(GlobList([glob]).matches_file(F.col("full")))
+    return read_contents(files).select(
+        F.regexp_replace(F.col("full"), "^file:/*", "/").alias("module"), F.col("content").cast("string").alias("body")
     )
 
 
@@ -90,15 +91,17 @@ def split_layers(modules: DataFrame) -> Layers:
     rule = F.when(F.col("__roots") != 1, "not-one-root").when(
         ~F.get_json_object("__root", "$.format").eqNullSafe(FORMAT), "wrong-format"
     )
-    opened = opened.withColumn("__rule", rule)
+    # every section is read from here: parse the modules once
+    opened = cut(opened.withColumn("__rule", rule), "modules")
     sound = opened.filter(F.col("__rule").isNull())
 
     sections = F.array(
         *[F.struct(F.lit(k).alias("kind"), F.get_json_object("__root", p).alias("__list")) for p, k in SECTIONS]
     )
-    components = sound.select("module", F.inline(sections)).select(
-        "module", "kind", F.posexplode(F.from_json("__list", "array<string>")).alias("pos", "body")
-    )
+    listed = sound.select("module", F.inline(sections)).filter("__list IS NOT NULL")
+    records = listed.withColumn("__items", F.from_json("__list", "array<string>"))
+    bodies = records.select("module", "kind", F.posexplode("__items").alias("pos", "body"))
+    components = bodies.filter(F.from_json("body", _MAP).isNotNull())
     system = F.array(
         *[
             F.struct(F.lit("@" + p.rsplit(".", 1)[-1]).alias("name"), F.get_json_object("__root", p).alias("value"))
@@ -126,6 +129,10 @@ def split_layers(modules: DataFrame) -> Layers:
         opened.filter(F.col("__rule").isNotNull()), "module", F.col("module"), "format", F.col("__rule"),
         F.get_json_object("__root", "$.format"),
     )
+    no_list = records.filter(~F.ltrim("__list").startswith("["))
+    issue = issue.unionByName(issue_rows(no_list, "module", F.col("module"), F.col("kind"), "section-no-list", F.col("__list")))
+    no_record = bodies.filter(F.from_json("body", _MAP).isNull())
+    issue = issue.unionByName(issue_rows(no_record, "module", F.col("module"), F.col("kind"), "record-no-object", F.col("body")))
     return Layers(components, params, imports, apis, issue)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from itertools import groupby
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row
+
+from docloom.sources.documents import read_contents, read_file
 
 
 def by_batch(batches: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
@@ -24,9 +25,15 @@ def write_documents(batches: DataFrame, path: str, order: list[str], by: list[st
     by_batch(batches, order, by).write.parquet(path)
 
 
-def deliver(batches: DataFrame, send: Callable[[int, list], None], order: list[str], by: list[str] | None = None) -> None:
+def deliver(
+    batches: DataFrame, send: Callable[[int, list], None], order: list[str], by: list[str] | None = None, full: str | None = None
+) -> None:
     """Call `send(batch, rows)` on the executors, once per batch and attempt.
 
+    With `full`, the column that has each document's path, its bytes are read in
+    the task that sends the batch and added to the row as `content`; slim rows are
+    all that is shuffled.
+
     A lost executor means a repeated attempt, so `send` must be idempotent, as an
     insert by URI is. A batch is at most the batch size; nothing else is held.
     """
@@ -34,11 +41,12 @@ def deliver(batches: DataFrame, send: Callable[[int, list], None], order: list[s
 
     def partition(rows: Iterable) -> None:
         for batch, members in groupby(rows, key=lambda r: tuple(r[k] for k in key)):
-            send(batch[-1] if len(batch) == 1 else batch, list(members))
+            rows_ = [Row(**r.asDict(), content=read_file(r[full])) for r in members] if full else list(members)
+            send(batch[-1] if len(batch) == 1 else batch, rows_)
 
     by_batch(batches, order, by).foreachPartition(partition)
 
 
-def attach_content(batches: DataFrame, files: DataFrame, on: str = "full") -> DataFrame:
-    """Read contents late: batches are formed from slim rows and meet their content here."""
-    return batches.join(files.select(F.col(on), "content"), on)
+def attach_content(batches: DataFrame, full: str = "full") -> DataFrame:
+    """Contents of batched rows, read late: each by its path, where its batch has been brought together."""
+    return read_contents(batches, full)

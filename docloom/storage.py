@@ -5,17 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# A table the caller wrote out by hand (globs, templates, schemas). The bound
-# keeps a data-sized list from slipping in through this door.
-LOCAL_ROWS = 10_000
-
-
 class Checked(NamedTuple):
     """Rows that passed, and one `issue` row per problem found."""
 
@@ -40,8 +39,41 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Delete, at the end, what calls inside have written to the shared folder.
+
+    Results of these calls are read from there, so write or collect them inside.
+    Outside of such a block files stay, for a later clean-up of the whole folder.
+    """
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        for path in made:
+            store, at = open_store(path)
+            if store.get_file_info(at).type == fs.FileType.Directory:
+                store.delete_dir(at)
+
+
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return fs.LocalFileSystem(), path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -70,9 +102,6 @@ def cut_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame,
 def local_table(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType] | None = None) -> DataFrame:
     """A hand-written table as a local relation, whose size the planner knows exactly."""
     types = types or {}
-    rows = max((len(v) for v in columns.values()), default=0)
-    if rows > LOCAL_ROWS:
-        raise ValueError(f"{rows} rows is data, not configuration: pass a DataFrame")
     return spark.createDataFrame(
         pa.table({n: pa.array(v, types.get(n, pa.string())) for n, v in columns.items()})
     )

@@ -14,11 +14,17 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from docloom.functions.paths import base_name
 from docloom.operators.batching import BATCH_SIZE, batch_documents
+from docloom.sources.documents import read_contents
 from docloom.sources.sinks import by_batch
+from docloom.storage import scratch
 
 
 def watch_documents(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
-    """New files below `root`, with the columns of `scan_documents` and content."""
+    """New files below `root`, with the columns of `scan_documents`; contents are read when delivering.
+
+    Spark's file stream keeps the list of files it has seen, and passes over names that begin with
+    `.` or `_` as it does so. To load those as well, list the tree with `scan_documents`.
+    """
     reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -27,19 +33,22 @@ def watch_documents(spark: SparkSession, root: str, max_files: int | None = None
     relative = F.col("path").substr(F.instr("path", folder) + len(folder), F.length("path"))
     return files.select(
         F.lit(folder).alias("base"), relative.alias("path"), F.col("path").alias("full"),
-        base_name(F.col("path")).alias("name"), "length", "content",
+        base_name(F.col("path")).alias("name"), "length",
     )
 
 
-def write_batches(stream: DataFrame, path: str, order: list[str], n: int = BATCH_SIZE) -> DataStreamWriter:
-    """Batch each arrival and write it to its own folder.
+def write_batches(stream: DataFrame, path: str, order: list[str], n: int = BATCH_SIZE, full: str | None = None) -> DataStreamWriter:
+    """Batch each arrival and write it to its own folder; with `full`, with the contents at those paths.
 
+    Batching writes slim rows to the shared folder; they go when the arrival is written.
     The folder goes by the arrival's number and is overwritten when Spark repeats
     that arrival after a failure, so nothing is delivered twice.
     """
 
     def arrival(rows: DataFrame, number: int) -> None:
-        batches = batch_documents(rows, order, n)
-        by_batch(batches, order).write.mode("overwrite").parquet(f"{path}/arrival={number}")
+        with scratch():
+            batches = by_batch(batch_documents(rows, order, n), order)
+            batches = read_contents(batches, full) if full else batches
+            batches.write.mode("overwrite").parquet(f"{path}/arrival={number}")
 
     return stream.writeStream.foreachBatch(arrival)

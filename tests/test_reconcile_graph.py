@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import graph
 from docloom.operators import reconcile as rec
-from docloom.operators.extract import extract_rows, lexicon, range_values
+from docloom.operators.extract import extract_issues, extract_rows, lexicon, range_values
 from docloom.operators.lookup import resolve_reference
 from docloom.operators.validate import Prop
 from docloom.streaming.documents import watch_documents, write_batches
@@ -259,9 +259,10 @@ def test_range_indexes(spark, rows):
     )
     good, issue = range_values(js, {"type": "int", "path": "/a/n", "invalid": "reject"})
     assert rows(good, "uri", "value") == [("/1", 5), ("/3", 7)]
-    assert [(r.entity, r.value) for r in issue.collect()] == [("/3", "8.5")]
+    assert rows(issue, "entity", "rule", "value") == [("/2", "malformed", None), ("/3", "invalid-value", "8.5")]
     good, issue = range_values(js, {"type": "long", "name": ["m", "t"]})
-    assert rows(good) == [("/1", "m", 1), ("/1", "m", 2)] and issue.count() == 0
+    assert rows(good) == [("/1", "m", 1), ("/1", "m", 2)]
+    assert rows(issue, "entity", "rule") == [("/2", "malformed")]
     xml = spark.createDataFrame(
         [("/1", "<r><p n='1'/><x xmlns='u'><n>2</n></x><q><n>3</n></q></r>"), ("/2", "<r><p n='4'>"), ("/3", None)], "uri string, content string"
     )
@@ -305,3 +306,35 @@ def test_streaming(spark, tmp_path):
     got = spark.read.parquet(target)
     assert got.count() == 8
     assert sorted(r["count"] for r in got.groupBy("arrival", "batch").count().collect()) == [1, 1, 3, 3]
+
+
+def test_text_next_to_attributes_and_prefixed_names(spark, rows):
+    template = {
+        "context": "/m/r",
+        "rows": [
+            {"schemaName": "s", "viewName": "a", "columns": [{"name": "t", "scalarType": "string", "val": "t"}, {"name": "lang", "scalarType": "string", "val": "t/@lang"}]},
+            {"schemaName": "s", "viewName": "b", "columns": [{"name": "n", "scalarType": "long", "val": "n"}]},
+        ],
+    }
+    docs = spark.createDataFrame(
+        [("/1", "<m><r><t lang='en'>x</t><n>1</n></r><r><t>y</t></r></m>"), ("/2", "<p:m xmlns:p='u'><p:r><p:n>2</p:n></p:r></p:m>"), ("/3", "<m><r>"), ("/4", None), ("/5", "<other/>")],
+        "uri string, content string",
+    )
+    views = extract_rows(docs, template, ["uri"], format="xml")
+    assert rows(views["s.a"]) == [("/1", "x", "en"), ("/1", "y", None), ("/2", None, None)]
+    assert rows(views["s.b"]) == [("/1", None), ("/1", 1), ("/2", 2)]
+    assert rows(extract_issues(docs, format="xml"), "entity", "rule") == [("/3", "malformed"), ("/4", "malformed")]
+    js = spark.createDataFrame([("/1", "{}"), ("/2", "{"), ("/3", None)], "uri string, content string")
+    assert rows(extract_issues(js), "entity") == [("/2",), ("/3",)]
+
+
+def test_several_paths_come_from_one_parse(spark, rows):
+    xml = spark.createDataFrame([("/1", "<r><p n='1'>9</p><p>8</p><q><n>3</n><n>4</n></q></r>"), ("/2", "<r")], "uri string, content string")
+    good, issue = range_values(xml, {"type": "int", "path": ["/r/q/n", "/r/p/@n", "/r/p", "/other/x"]}, format="xml")
+    assert rows(good, "name", "value") == [("/r/p", 8), ("/r/p", 9), ("/r/p/@n", 1), ("/r/q/n", 3), ("/r/q/n", 4)]
+    assert rows(issue, "entity", "rule") == [("/2", "malformed")]
+    js = spark.createDataFrame([("/1", '{"a":[{"n":[1,2]},{"n":3}],"b":4}')], "uri string, content string")
+    good, _ = range_values(js, {"type": "int", "path": ["/a/n", "/b"]})
+    assert rows(good, "name", "value") == [("/a/n", 1), ("/a/n", 2), ("/a/n", 3), ("/b", 4)]
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") + plan.count("LocalTableScan") <= 2 and "Python" not in plan
