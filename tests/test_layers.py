@@ -100,12 +100,18 @@ INDEX = "pos int, type string, name array<string>, positions boolean, invalid st
 @pytest.mark.parametrize(
     "base, derived, expected",
     [
-        ([], [], []),
-        ([(["ape"], True, "ignore")], [(["bear"], True, "ignore")], [("bear", True), ("ape", True)]),
-        ([(["ape"], True, "ignore"), (["bear"], True, "ignore")], [(["bear"], False, "error")], [("bear", False), ("ape", True)]),
-        ([], [(["ape", "bear"], True, "ignore")], [("ape", True), ("bear", True)]),
-        ([(["ape", "bear"], True, "ignore")], [(["bear"], False, "error")], [("bear", False), ("ape", True)]),
-        ([(["ape", "bear"], True, "ignore")], [(["bear", "cat"], False, "error")], [("bear", False), ("cat", False), ("ape", True)]),
+        # nothing declared above: the base's stand as they are, opened one by one
+        ([(["height", "width"], True, "reject"), (["depth"], False, "ignore")], [], [("height", True), ("width", True), ("depth", False)]),
+        # one of three in a list is declared anew and moves to the front
+        ([(["height", "width", "depth"], True, "reject")], [(["width"], False, "reject")], [("width", False), ("height", True), ("depth", True)]),
+        # two lists meet in one name only
+        (
+            [(["height", "width"], False, "ignore"), (["mass"], False, "ignore")],
+            [(["mass", "volume"], True, "ignore"), (["age"], True, "reject")],
+            [("mass", True), ("volume", True), ("age", True), ("height", False), ("width", False)],
+        ),
+        # all of the base's are replaced
+        ([(["mass"], True, "ignore")], [(["age"], True, "ignore"), (["mass"], False, "reject")], [("age", True), ("mass", False)]),
     ],
 )
 def test_merge_indexes(spark, base, derived, expected):
