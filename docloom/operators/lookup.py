@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.values import pad_name
-from docloom.storage import Checked, issue_rows
+from docloom.storage import Checked, cut, issue_rows
 
 # Fixed value: most shards one database may have on one host.
 MAX_SHARDS = 100
@@ -110,7 +110,7 @@ def resolve_reference(
     reference resolves to depends on those parts alone, so each distinct
     combination is resolved once: its parts become candidate rows, meet the keyed
     records in one equi-join, and the best-ranked hit wins. `resolution` is the
-    part that hit, `self` for a reference to its own holder (`own_id`,
+    part that hit (an issue if there is none), `self` for a reference to its own holder (`own_id`,
     `own_name`), `system` for an unmatched system name (which stands for
     itself), or null: an issue.
     """
@@ -173,6 +173,8 @@ def resolve_reference(
         )
         .select(*refs.columns, "resolution", "target_id", "target_name")
     )
+    # both results come from here: resolve once
+    resolved = cut(resolved, "references")
     return Checked(
         resolved.filter(F.col("resolution").isNotNull()),
         issue_rows(

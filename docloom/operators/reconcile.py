@@ -61,10 +61,36 @@ def _as_records(text: Column) -> Column:
     )
 
 
-def same_value(compare: Column, desired: Column, actual: Column) -> Column:
-    """Compare two property values, lists and maps being JSON text, by the named rule."""
+def _privileges(text: Column) -> Column:
+    """What identifies privileges: their names and kinds."""
+    return F.from_json(text, "array<struct<`privilege-name`: string, kind: string>>")
+
+
+def _named(text: Column) -> Column:
+    """Objects in the order given, each as its name and the rest of it in a canonical spelling.
+
+    Empty values are the same as none.
+    """
+
+    def rest(m: Column) -> Column:
+        given = F.filter(F.map_entries(m), lambda e: (e["key"] != "name") & (F.coalesce(e["value"], F.lit("")) != ""))
+        return F.to_json(F.map_from_entries(F.sort_array(given)))
+
+    return F.transform(
+        F.from_json(text, _RECORDS), lambda m: F.struct(F.try_element_at(m, F.lit("name")).alias("name"), rest(m).alias("value"))
+    )
+
+
+def same_value(compare: Column, desired: Column, actual: Column, default: Column | None = None) -> Column:
+    """Compare two property values, lists and maps being JSON text, by the named rule.
+
+    `ordered` compares lists of named objects position by position, the desired
+    side sorted by name; `privileges` names and kinds; `default` takes `default`
+    for a desired value that is missing.
+    """
+    default = F.lit(None).cast("string") if default is None else default
     return (
-        F.when((compare != "perms") & desired.eqNullSafe(actual), F.lit(True))
+        F.when(~compare.isin("perms", "ordered") & desired.eqNullSafe(actual), F.lit(True))
         .when(compare == "list", cmp.eq_list(F.from_json(desired, _LIST), F.from_json(actual, _LIST)))
         .when(compare == "struct_list", cmp.eq_struct_list(_as_records(desired), _as_records(actual)))
         .when(
@@ -72,6 +98,9 @@ def same_value(compare: Column, desired: Column, actual: Column) -> Column:
             cmp.eq_map(F.from_json(desired, "map<string,string>"), F.from_json(actual, "map<string,string>")),
         )
         .when(compare == "perms", cmp.eq_perms(_as_records(desired), _as_records(actual)))
+        .when(compare == "privileges", cmp.eq_privileges(_privileges(desired), _privileges(actual)))
+        .when(compare == "ordered", cmp.eq_ordered(_named(desired), _named(actual), ["name", "value"], "name"))
+        .when((compare == "default") & default.isNotNull(), cmp.eq_default(actual, desired, default))
         .otherwise(desired.eqNullSafe(actual))
     )
 
@@ -94,25 +123,22 @@ def diff_properties(desired: DataFrame, actual: DataFrame, specs: list[Prop]) ->
     Both sides are `kind, entity, prop, value` rows. Only desired properties are
     looked at. The schema names the comparison of each; properties it does not
     know are free-form ones and compare strictly. A difference in a frozen
-    property is an issue. Phase 2 holds what must wait for the rest: role
-    permissions, which may name roles that phase 1 creates, and field indexes,
-    which need their fields.
+    property is an issue. Phase 2 holds what must wait for the rest (`is_late`).
     """
     key = ["kind", "entity", "prop"]
     was = actual.select(*key, F.col("value").alias("__actual"))
     schema = schema_table(desired.sparkSession, specs)
     joined = (
-        desired.filter(F.col("value").isNotNull())
-        .join(was, key, "left")
-        .join(schema.select("kind", "prop", "compare", "frozen", "phase"), ["kind", "prop"], "left")
+        desired.join(was, key, "left")
+        .join(schema.select("kind", "prop", "compare", "frozen", "phase", "dflt"), ["kind", "prop"], "left")
+        # nothing desired is nothing to do, unless there is a default to go back to
+        .filter(F.col("value").isNotNull() | ((F.col("compare") == "default") & F.col("dflt").isNotNull()))
     )
     compare = F.coalesce(F.col("compare"), F.lit("scalar"))
-    changed = joined.filter(~same_value(compare, F.col("value"), F.col("__actual")))
+    changed = joined.filter(~same_value(compare, F.col("value"), F.col("__actual"), F.col("dflt")))
+    changed = changed.withColumn("value", F.coalesce("value", F.when(compare == "default", F.col("dflt"))))
     frozen = F.coalesce(F.col("frozen"), F.lit(False))
-    late = (F.col("prop") == LATE_PROPERTY) | (
-        (F.col("kind") == "role") & F.col("prop").isin("permission", "permissions")
-    )
-    phase = F.when(late, 2).otherwise(F.coalesce(F.col("phase"), F.lit(1)))
+    phase = F.when(is_late(), 2).otherwise(F.coalesce(F.col("phase"), F.lit(1)))
     return Checked(
         _plan(changed.filter(~frozen), phase),
         issue_rows(
@@ -132,7 +158,8 @@ def diff_with_immutable(desired: DataFrame, actual: DataFrame, specs: list[Prop]
 
     Looks at each property of the schema present on either side. An immutable one that
     differs is an issue; any other is compared with the desired value or its
-    default, and an update carries the desired value.
+    default, and an update carries the one or the other, so that a second
+    comparison finds nothing more to do.
     """
     key = ["kind", "entity", "prop"]
     was = actual.select(*key, F.col("value").alias("__actual"))
@@ -144,7 +171,7 @@ def diff_with_immutable(desired: DataFrame, actual: DataFrame, specs: list[Prop]
     )
     changed = joined.filter(differs)
     return Checked(
-        _plan(changed.filter(~fixed), F.lit(1)),
+        _plan(changed.filter(~fixed).withColumn("value", F.coalesce("value", "dflt")), F.lit(1)),
         issue_rows(
             changed.filter(fixed), F.col("kind"), F.col("entity"), F.col("prop"), "immutable-differs",
             F.concat_ws(" -> ", "__actual", "value"),
@@ -220,10 +247,38 @@ def same_members(declared: DataFrame, existing: DataFrame, on: list[str], name:
     return counts.filter(F.col("declared") != F.col("existing")).join(configured, on, "left_semi")
 
 
-def role_phase(plan: DataFrame) -> DataFrame:
-    """Move role permission changes to phase 2, behind the creation of all roles."""
-    deferred = (F.col("kind") == "role") & F.col("prop").isin("permission", "permissions")
-    return plan.withColumn("phase", F.when(deferred, 2).otherwise(1))
+def is_late() -> Column:
+    """Property changes that wait for all others: role permissions, which may name roles that are
+    created first, and field indexes, which need their fields."""
+    return (F.col("prop") == LATE_PROPERTY) | (
+        (F.col("kind") == "role") & F.col("prop").isin("permission", "permissions")
+    )
+
+
+def phased_plan(entities: DataFrame, props: DataFrame, actual: DataFrame, specs: list[Prop]) -> Checked:
+    """The whole plan: creations, and updates of what exists, with what must wait in phase 2.
+
+    `entities`: `kind, entity, verb` as `reconcile_entities` gives them; `props`:
+    validated `kind, entity, prop, type, value`; `actual`: `kind, entity, prop, value`.
+    A created entity is one row with its payload in `new`, without its late
+    properties; these follow as updates. Entities to check give their differences.
+    """
+    key = ["kind", "entity"]
+    verbs = entities.filter(F.col("verb").isin("create", "check")).select(*key, "verb")
+    known = props.join(verbs, key)
+    fresh = known.filter("verb = 'create'").drop("verb")
+    payload, twice = creation_payload(fresh.filter(~is_late()))
+    made = verbs.filter("verb = 'create'").join(payload, key, "left")
+    none = F.lit(None).cast("string")
+    create = made.select(
+        F.lit(1).alias("phase"), "verb", *key, none.alias("prop"), none.alias("old"),
+        F.coalesce("payload", F.lit("{}")).alias("new"),
+    )
+    later = fresh.filter(is_late() & F.col("value").isNotNull()).select(
+        F.lit(2).alias("phase"), F.lit("update").alias("verb"), *key, "prop", none.alias("old"), F.col("value").alias("new")
+    )
+    updates, frozen = diff_properties(known.filter("verb = 'check'").select(*key, "prop", "value"), actual, specs)
+    return Checked(create.unionByName(later).unionByName(updates), twice.unionByName(frozen))
 
 
 def apply_plan(actual: DataFrame, plan: DataFrame) -> DataFrame:

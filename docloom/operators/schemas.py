@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions.values import split_list
@@ -10,87 +11,104 @@ from docloom.operators.validate import Prop
 
 # Fixed values below: property names, target names, types, closed sets and defaults.
 
-NO_TARGET = {"ignored": True}
-
 HOST = [
-    Prop("host", "compose", **NO_TARGET),
-    Prop("host", "comment", **NO_TARGET),
-    Prop("host", "name", mandatory=True, **NO_TARGET),
-    Prop("host", "apis", **NO_TARGET),
+    Prop("host", "compose", ignored=True),
+    Prop("host", "comment", ignored=True),
+    Prop("host", "name", mandatory=True, ignored=True),
+    Prop("host", "apis", ignored=True),
     Prop("host", "host"),
     Prop("host", "group", default="Default"),
 ]
 
 DATABASE = [
-    Prop("database", "compose", **NO_TARGET),
-    Prop("database", "comment", **NO_TARGET),
-    Prop("database", "id", **NO_TARGET),
-    Prop("database", "name", mandatory=True, **NO_TARGET),
-    Prop("database", "properties", **NO_TARGET),
-    Prop("database", "forests", **NO_TARGET),
-    Prop("database", "schema", **NO_TARGET),
-    Prop("database", "security", **NO_TARGET),
-    Prop("database", "triggers", **NO_TARGET),
-    Prop("database", "indexes", **NO_TARGET),
+    Prop("database", "compose", ignored=True),
+    Prop("database", "comment", ignored=True),
+    Prop("database", "id", ignored=True),
+    Prop("database", "name", mandatory=True, ignored=True),
+    Prop("database", "properties", ignored=True),
+    Prop("database", "forests", ignored=True),
+    Prop("database", "schema", ignored=True),
+    Prop("database", "security", ignored=True),
+    Prop("database", "triggers", ignored=True),
+    Prop("database", "indexes", ignored=True),
     Prop("database", "fields", target="field", type="list", compare="struct_list"),
-    Prop("database", "searches", **NO_TARGET),
-    Prop("database", "lexicons", **NO_TARGET),
+    Prop("database", "searches", ignored=True),
+    Prop("database", "lexicons", ignored=True),
     Prop("database", "lexicons.uri", target="uri-lexicon", type="boolean"),
     Prop("database", "lexicons.collection", target="collection-lexicon", type="boolean"),
 ]
 
 
+# Classes of range indexes: a kind each, as they need different properties.
+INDEX_CLASSES = ["field-index", "path-index", "attribute-index", "element-index"]
+
+
 def index(root_collation: str) -> list[Prop]:
-    """Range indexes; `root_collation` is the URI the server gives its root collation."""
+    """Range indexes of all classes; `root_collation` is the URI the server gives its root collation."""
+    specs = []
+    for kind in INDEX_CLASSES:
+        specs += [
+            Prop(kind, "type", target="scalar-type", mandatory=True),
+            Prop(kind, "positions", target="range-value-positions"),
+            Prop(kind, "invalid", target="invalid-values", type="enum", values=("ignore", "reject")),
+            Prop(kind, "collation", default=("type", lambda type: default_collation(type, root_collation))),
+        ]
+    named = ["attribute-index", "element-index"]
     return [
-        Prop("index", "type", target="scalar-type", mandatory=True),
-        Prop("index", "positions", target="range-value-positions"),
-        Prop("index", "invalid", target="invalid-values", type="enum", values=("ignore", "reject")),
-        Prop("index", "collation", default=("type", lambda type: default_collation(type, root_collation))),
-        Prop("index", "field", target="field-name"),
-        Prop("index", "path", target="path-expression"),
-        Prop("index", "name", target="localname"),
-        Prop("index", "namespace", target="namespace-uri", default=""),
-        Prop("index", "parent.name", target="parent-localname"),
-        Prop("index", "parent.namespace", target="parent-namespace-uri"),
+        *specs,
+        Prop("field-index", "field", target="field-name", mandatory=True),
+        Prop("path-index", "path", target="path-expression", mandatory=True),
+        *[Prop(kind, "name", target="localname", mandatory=True) for kind in named],
+        *[Prop(kind, "namespace", target="namespace-uri", default="") for kind in named],
+        Prop("attribute-index", "parent", ignored=True),
+        Prop("attribute-index", "parent.name", target="parent-localname", mandatory=True),
+        Prop("attribute-index", "parent.namespace", target="parent-namespace-uri", default=""),
     ]
 
 
+def index_class(field: Column, path: Column, parent: Column) -> Column:
+    """The class of a declaration: by field, path or parent, in this order, else by element."""
+    return (
+        F.when(field.isNotNull(), "field-index").when(path.isNotNull(), "path-index")
+        .when(parent.isNotNull(), "attribute-index").otherwise("element-index")
+    )
+
+
 FOREST = [
-    Prop("forest", "comment", **NO_TARGET),
-    Prop("forest", "name", mandatory=True, **NO_TARGET),
-    Prop("forest", "properties", **NO_TARGET),
-    Prop("forest", "host", **NO_TARGET),
-    Prop("forest", "replica", **NO_TARGET),
-    Prop("forest", "replicas", **NO_TARGET),
+    Prop("forest", "comment", ignored=True),
+    Prop("forest", "name", mandatory=True, ignored=True),
+    Prop("forest", "properties", ignored=True),
+    Prop("forest", "host", ignored=True),
+    Prop("forest", "replica", ignored=True),
+    Prop("forest", "replicas", ignored=True),
     Prop("forest", "dir", target="data-directory"),
     Prop("forest", "large-dir", target="large-data-directory"),
     Prop("forest", "fast-dir", target="fast-data-directory"),
 ]
 
 SERVER = [
-    Prop("server", "compose", **NO_TARGET),
-    Prop("server", "comment", **NO_TARGET),
-    Prop("server", "id", **NO_TARGET),
-    Prop("server", "name", mandatory=True, **NO_TARGET),
-    Prop("server", "group", **NO_TARGET),
-    Prop("server", "properties", **NO_TARGET),
-    Prop("server", "rest-config", **NO_TARGET),
-    Prop("server", "content", mandatory=True, **NO_TARGET),
-    Prop("server", "modules", **NO_TARGET),
+    Prop("server", "compose", ignored=True),
+    Prop("server", "comment", ignored=True),
+    Prop("server", "id", ignored=True),
+    Prop("server", "name", mandatory=True, ignored=True),
+    Prop("server", "group", ignored=True),
+    Prop("server", "properties", ignored=True),
+    Prop("server", "rest-config", ignored=True),
+    Prop("server", "content", mandatory=True, ignored=True),
+    Prop("server", "modules", ignored=True),
     Prop("server", "type", target="server-type", type="enum", values=("http", "rest", "xdbc"), mandatory=True, frozen=True),
     Prop("server", "port", type="integer", mandatory=True),
     Prop("server", "root"),
     Prop("server", "rewriter", target="url-rewriter"),
     Prop("server", "handler", target="error-handler"),
-    Prop("server", "output", **NO_TARGET),
+    Prop("server", "output", ignored=True),
 ]
 
 SOURCE = [
-    Prop("source", "compose", **NO_TARGET),
-    Prop("source", "comment", **NO_TARGET),
-    Prop("source", "name", mandatory=True, **NO_TARGET),
-    Prop("source", "filter", **NO_TARGET),
+    Prop("source", "compose", ignored=True),
+    Prop("source", "comment", ignored=True),
+    Prop("source", "name", mandatory=True, ignored=True),
+    Prop("source", "filter", ignored=True),
     Prop("source", "dir"),
     Prop("source", "type", type="enum", values=("plain", "rest-src", "tde")),
     Prop("source", "garbage", type="list", compare="list"),
@@ -102,9 +120,9 @@ SOURCE = [
 ]
 
 MIME = [
-    Prop("mime", "compose", **NO_TARGET),
-    Prop("mime", "comment", **NO_TARGET),
-    Prop("mime", "name", mandatory=True, **NO_TARGET),
+    Prop("mime", "compose", ignored=True),
+    Prop("mime", "comment", ignored=True),
+    Prop("mime", "name", mandatory=True, ignored=True),
     Prop("mime", "extensions", type="list", mandatory=True, frozen=True, compare="list"),
     Prop("mime", "format", type="enum", values=("binary", "json", "text", "xml"), mandatory=True, frozen=True),
 ]
@@ -112,8 +130,8 @@ MIME = [
 
 def _privilege(kind: str) -> list[Prop]:
     return [
-        Prop(kind, "compose", **NO_TARGET),
-        Prop(kind, "comment", **NO_TARGET),
+        Prop(kind, "compose", ignored=True),
+        Prop(kind, "comment", ignored=True),
         Prop(kind, "name", target="privilege-name", mandatory=True),
         Prop(kind, "action", mandatory=True),
         Prop(kind, "roles", target="role", type="list", compare="list"),
@@ -121,8 +139,8 @@ def _privilege(kind: str) -> list[Prop]:
 
 
 ROLE = [
-    Prop("role", "compose", **NO_TARGET),
-    Prop("role", "comment", **NO_TARGET),
+    Prop("role", "compose", ignored=True),
+    Prop("role", "comment", ignored=True),
     Prop("role", "name", target="role-name", mandatory=True),
     Prop("role", "desc", target="description"),
     Prop("role", "compartment"),
@@ -134,8 +152,8 @@ ROLE = [
 ]
 
 USER = [
-    Prop("user", "compose", **NO_TARGET),
-    Prop("user", "comment", **NO_TARGET),
+    Prop("user", "compose", ignored=True),
+    Prop("user", "comment", ignored=True),
     Prop("user", "name", target="user-name", mandatory=True),
     Prop("user", "password", mandatory=True),
     Prop("user", "desc", target="description"),

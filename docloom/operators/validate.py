@@ -62,6 +62,25 @@ def schema_table(spark: SparkSession, specs: list[Prop]) -> DataFrame:
     )
 
 
+def flatten_nested(props: DataFrame, specs: list[Prop]) -> DataFrame:
+    """Open nested objects: `lexicons` with `{"uri": true}` also gives a row `lexicons.uri`.
+
+    Only objects that the schema has parts of, named with a dot. A value there
+    that is no object is left for `validate` to report.
+    """
+    outer = sorted({(s.kind, s.name.rsplit(".", 1)[0]) for s in specs if "." in s.name})
+    if not outer:
+        return props
+    nested = F.lit(False)
+    for kind, name in outer:
+        nested = nested | ((F.col("kind") == kind) & (F.col("prop") == name))
+    inner = F.from_json(F.when(nested, F.col("value")), "map<string,string>")
+    row = F.struct(F.col("prop").alias("prop"), F.col("value").alias("value"))
+    parts = F.transform(F.map_entries(inner), lambda e: F.struct(F.concat("prop", F.lit("."), e["key"]).alias("prop"), e["value"].alias("value")))
+    others = [c for c in props.columns if c not in ("prop", "value")]
+    return props.select(*others, F.inline(F.concat(F.array(row), F.coalesce(parts, F.filter(F.array(row), lambda _: F.lit(False))))))
+
+
 def _names_of_kind(specs: list[Prop], name) -> Column:
     """The names a schema lists for a row's kind, as a literal; empty for other kinds."""
     none = F.array().cast("array<string>")
@@ -82,7 +101,7 @@ def value_rule(value: Column, type: Column, allowed: Column, is_number: Column |
     )
 
 
-def validate(props: DataFrame, specs: list[Prop], number: str | None = None) -> Checked:
+def validate(props: DataFrame, specs: list[Prop], number: str | None = None, nested: bool = True) -> Checked:
     """Check `kind, entity, prop, value` rows against a closed schema.
 
     Problems found: unknown property, value of the wrong type, the same target
@@ -91,44 +110,52 @@ def validate(props: DataFrame, specs: list[Prop], number: str | None = None) ->
     remaining properties under their target names; all problems are reported,
     not only the first.
 
-    The schema is a hand-written table, so its join is a broadcast of known size.
-    Properties are counted per target first; what is then gathered per entity is
-    at most one item per name of the schema.
+    Nested objects are opened first (`flatten_nested`), unless they have been:
+    then `nested` is false. What should be an object and is none is an issue.
+
+    The schema is a hand-written table, whose size the planner knows. One
+    aggregate per entity counts each target of the schema, combined on the map side.
     """
     schema = schema_table(props.sparkSession, specs)
-    flagged = props.join(schema, ["kind", "prop"], "left")
+    opened = flatten_nested(props, specs) if nested else props
+    flagged = opened.join(schema, ["kind", "prop"], "left")
     used = ~F.col("ignored") & F.col("value").isNotNull()
-    rule = F.when(F.col("type").isNull(), "unknown-property").when(
-        used, value_rule(F.col("value"), F.col("type"), F.col("allowed"), F.col(number) if number else None)
+    outer = sorted({s.name.rsplit(".", 1)[0] for s in specs if "." in s.name})
+    no_object = F.col("prop").isin(outer) & F.col("ignored") & F.from_json("value", "map<string,string>").isNull() & F.col("value").isNotNull()
+    rule = (
+        F.when(F.col("type").isNull(), "unknown-property")
+        .when(no_object, "not-object")
+        .when(used, value_rule(F.col("value"), F.col("type"), F.col("allowed"), F.col(number) if number else None))
     )
     flagged = flagged.withColumn("rule", rule)
     taken = flagged.filter(used & F.col("type").isNotNull())
 
-    wanted = _names_of_kind([s for s in specs if s.mandatory and not s.ignored], lambda s: s.target or s.name)
-    counted = flagged.groupBy("kind", "entity", "target").agg(F.count_if(used).alias("n"))
-    per_entity = (
-        counted.groupBy("kind", "entity")
-        .agg(
-            F.collect_set(F.when(F.col("n") > 0, F.col("target"))).alias("have"),
-            F.collect_set(
-                F.when(
-                    F.col("n") > 1,
-                    F.struct(F.col("target").alias("prop"), F.lit("set-twice").alias("rule"), F.col("n").cast("string").alias("value")),
-                )
-            ).alias("twice"),
-        )
-    )
-    missing = F.transform(
-        F.array_except(wanted, "have"),
-        lambda p: F.struct(
-            p.alias("prop"), F.lit("missing-mandatory").alias("rule"), F.lit(None).cast("string").alias("value")
-        ),
+    wanted: dict[str, set[str]] = {}
+    targets = sorted({s.target or s.name for s in specs if not s.ignored})
+    for s in specs:
+        if s.mandatory and not s.ignored:
+            wanted.setdefault(s.target or s.name, set()).add(s.kind)
+    counted = flagged.groupBy("kind", "entity").agg(
+        *[F.count_if(used & (F.col("target") == t)).alias(f"n_{i}") for i, t in enumerate(targets)]
     )
-    grouped = per_entity.select("kind", "entity", F.inline(F.concat("twice", missing)))
+
+    def problem(target: str, rule: str, value: Column) -> Column:
+        return F.struct(F.lit(target).alias("prop"), F.lit(rule).alias("rule"), value.cast("string").alias("value"))
+
+    found = []
+    for i, t in enumerate(targets):
+        n = F.col(f"n_{i}")
+        found.append(F.when(n > 1, problem(t, "set-twice", n)))
+        if t in wanted:
+            missing = (n == 0) & F.col("kind").isin(sorted(wanted[t]))
+            found.append(F.when(missing, problem(t, "missing-mandatory", F.lit(None))))
     issue = issue_rows(
         flagged.filter(F.col("rule").isNotNull()),
         F.col("kind"), F.col("entity"), F.col("prop"), F.col("rule"), F.col("value"),
-    ).unionByName(issue_rows(grouped, F.col("kind"), F.col("entity"), F.col("prop"), F.col("rule"), F.col("value")))
+    )
+    if found:
+        grouped = counted.select("kind", "entity", F.inline(F.array_compact(F.array(*found))))
+        issue = issue.unionByName(issue_rows(grouped, F.col("kind"), F.col("entity"), F.col("prop"), F.col("rule"), F.col("value")))
     good = taken.filter(F.col("rule").isNull()).select(
         *[c for c in props.columns if c not in ("prop", "value")], F.col("target").alias("prop"), "type", "value"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import comparators as cmp
 from docloom.functions.values import map_to_pairs, merge_permissions as merged_permissions, pad_name, split_list
-from docloom.operators.extract import extract_rows, range_values
+from docloom.operators.extract import extract_issues, extract_rows, range_values
 from docloom.operators.layers import multiply
 from docloom.operators.permissions import explode_permissions, group_permissions
 from docloom.operators.substitute import substitute
@@ -312,6 +312,15 @@ def extract_xml(t: Tables) -> DataFrame:
     return extract_rows(docs, SALES_TEMPLATE, ["l_orderkey", "l_linenumber"], format="xml")["sales.lines"]
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS entity, 'malformed' AS rule FROM documents WHERE doc_id % 3 = 1 OR n_chars > 20000")
+def extraction_issues(t: Tables) -> DataFrame:
+    """Documents as JSON, every third one and all long ones cut short."""
+    whole = F.to_json(F.struct("text"))
+    broken = (F.col("doc_id") % 3 == 1) | (F.col("n_chars") > 20000)
+    docs = t.documents.select("doc_id", F.when(broken, whole.substr(F.lit(1), F.length(whole) - 1)).otherwise(whole).alias("content"))
+    return extract_issues(docs, "doc_id").select("entity", "rule")
+
+
 def _page_records(t: Tables) -> DataFrame:
     last = F.substring_index("path", "/", -1)
     return page_paths(t).select(

@@ -22,8 +22,8 @@ from docloom.operators.environment import load_documents as load
 from docloom.operators.extract import lexicon
 from docloom.plans.registry import Tables, query
 from docloom.sources.documents import flatten_listing as listed
-from docloom.sources.documents import parse_trace, scan_documents as scan, single_document as single
-from docloom.sources.sinks import write_documents
+from docloom.sources.documents import parse_trace, read_contents, scan_documents as scan, single_document as single
+from docloom.sources.sinks import deliver, write_documents, write_file, write_files
 from docloom.storage import fresh_path, local_table
 
 
@@ -250,6 +250,19 @@ def batch_by_source(t: Tables) -> DataFrame:
     return batches.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "batch")
 
 
+@query(
+    """
+    WITH s AS (SELECT doc_id, CASE WHEN source NOT LIKE '%5' THEN source END AS source FROM documents)
+    SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position FROM s
+    """
+)
+def batch_without_source(t: Tables) -> DataFrame:
+    """Some documents have no source: they are a source set of their own."""
+    source = F.when(~F.col("source").like("%5"), F.col("source"))
+    slim = t.documents.select("doc_id", source.alias("source"))
+    return cut_batches(slim, ["doc_id"], by=["source"]).select("doc_id", "source", "position")
+
+
 @query(
     """
     WITH b AS (SELECT (row_number() OVER (ORDER BY source, doc_id) - 1) // 100 AS batch, strlen(text) AS length FROM documents)
@@ -294,6 +307,49 @@ def scan_documents(t: Tables) -> DataFrame:
     return found.groupBy(folder.alias("folder")).agg(F.sum("length").alias("bytes"))
 
 
+@query(
+    """
+    SELECT CASE WHEN source LIKE '%1' THEN '/.' ELSE '/_' END || source AS folder, sum(strlen(text))::BIGINT AS bytes, count(*) AS files
+    FROM documents GROUP BY ALL
+    """
+)
+def scan_hidden(t: Tables) -> DataFrame:
+    """A tree whose folders begin with a dot or an underscore: nothing is passed over."""
+    path = fresh_path(t.spark, "hidden")
+    folder = F.concat(F.when(F.col("source").like("%1"), "/.").otherwise("/_"), "source")
+    full = F.concat(F.lit(path), folder, F.lit("/"), F.col("doc_id").cast("string"))
+    write_files(t.documents.select(full.alias("full"), F.col("text").cast("binary").alias("content")))
+    found = scan(t.spark, path)
+    return found.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(
+        F.sum("length").alias("bytes"), F.count("*").alias("files")
+    )
+
+
+@query("SELECT doc_id // 100 AS batch, doc_id, sha256(text) AS digest FROM documents")
+def deliver_contents(t: Tables) -> DataFrame:
+    """Batched by path, contents read in the tasks that deliver the batches, and read back."""
+    path = fresh_path(t.spark, "contents")
+    full = F.concat(F.lit(f"{path}/in/"), F.col("doc_id").cast("string"))
+    files = t.documents.select("doc_id", full.alias("full"))
+    write_files(t.documents.select(full.alias("full"), F.col("text").cast("binary").alias("content")))
+    batches = cut_batches(files, ["doc_id"])
+    deliver(batches, _Save(f"{path}/out"), ["position"], full="full")
+    back = read_contents(scan(t.spark, f"{path}/out"))
+    parts = F.split(F.col("name"), "-")
+    return back.select(parts[0].cast("long").alias("batch"), parts[1].cast("long").alias("doc_id"), F.sha2("content", 256).alias("digest"))
+
+
+class _Save:
+    """Writes the documents of a batch as files `batch-id`; doing so again changes nothing."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def __call__(self, batch: int, rows: list) -> None:
+        for row in rows:
+            write_file(f"{self.folder}/{batch}-{row.doc_id}", row.content)
+
+
 @query(
     """
     WITH w AS (SELECT unnest(string_split(text, ' ')) AS nameref FROM documents)

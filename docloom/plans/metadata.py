@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import environment, graph, layers, lookup, reconcile as rec, schemas
-from docloom.operators.validate import Prop, apply_defaults, validate
+from docloom.operators.validate import Prop, apply_defaults, flatten_nested, validate
 from docloom.plans.registry import Tables, query
 
 
@@ -172,16 +172,18 @@ def shard_plan(t: Tables) -> DataFrame:
 @query(
     f"""
     WITH {_SHARDS_SQL}
-    , a AS (SELECT printf('db%d-%03d-001', l_orderkey, l_suppkey) AS shard_name,
-                 min(CASE WHEN l_quantity > 25 THEN l_suppkey ELSE l_partkey END) AS actual FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    , a AS (SELECT printf('db%d-%03d-%03d', l_orderkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 999 END) AS shard_name,
+                 min(CASE WHEN l_quantity > 25 THEN l_suppkey ELSE l_partkey END) AS actual FROM lineitem GROUP BY 1)
     SELECT CASE WHEN actual <> host THEN 'host-differs' ELSE 'good' END AS rule,
            CASE WHEN actual <> host THEN NULL ELSE actual IS NOT NULL END AS "exists", count(*) AS n
     FROM p LEFT JOIN a USING (shard_name) GROUP BY ALL
     """
 )
 def placement_check(t: Tables) -> DataFrame:
-    actual = t.lineitem.filter("l_returnflag = 'R'").select(
-        F.format_string("db%d-%03d-001", "l_orderkey", "l_suppkey").alias("shard_name"),
+    """Shards that exist: of each order line one, the first or one that no plan has."""
+    number = F.when(F.col("l_returnflag") == "R", 1).otherwise(999)
+    actual = t.lineitem.select(
+        F.format_string("db%d-%03d-%03d", "l_orderkey", "l_suppkey", number).alias("shard_name"),
         F.when(F.col("l_quantity") > 25, F.col("l_suppkey")).otherwise(F.col("l_partkey")).alias("host"),
     )
     good, issue = lookup.placement_check(_shards(t), actual, _hosts(t), ["cluster"])
@@ -397,46 +399,129 @@ def compile_environments(t: Tables) -> DataFrame:
     """
     SELECT p_partkey AS entity, prop,
            CASE prop WHEN 'scalar-type' THEN CASE WHEN p_size > 25 THEN 'string' ELSE 'int' END
-                     WHEN 'localname' THEN p_name WHEN 'invalid-values' THEN 'ignore'
+                     WHEN 'localname' THEN p_name WHEN 'parent-localname' THEN p_type WHEN 'invalid-values' THEN 'ignore'
                      WHEN 'collation' THEN CASE WHEN p_type = 'SMALL' THEN 'own' WHEN p_size > 25 THEN 'http://example.org/collation/root' ELSE '' END
                      ELSE '' END AS value
-    FROM part, (VALUES ('scalar-type'), ('localname'), ('invalid-values'), ('collation'), ('namespace-uri')) v(prop)
-    WHERE prop <> 'invalid-values' OR p_brand <> 'Brand#3'
+    FROM part, (VALUES ('scalar-type'), ('localname'), ('invalid-values'), ('collation'), ('namespace-uri'),
+                       ('parent-localname'), ('parent-namespace-uri')) v(prop)
+    WHERE (prop <> 'invalid-values' OR p_brand <> 'Brand#3') AND (prop NOT LIKE 'parent%' OR p_size % 2 = 1)
     """
 )
 def index_schema(t: Tables) -> DataFrame:
-    """Range index declarations, defaulted and validated against their schema."""
+    """Range index declarations, of attributes where the size is odd, defaulted and validated by class."""
+    parent = F.when(F.col("p_size") % 2 == 1, F.to_json(F.struct(F.col("p_type").alias("name"))))
     rows = F.array(
         F.struct(F.lit("type").alias("prop"), F.when(F.col("p_size") > 25, "string").otherwise("int").alias("value")),
         F.struct(F.lit("name").alias("prop"), F.col("p_name").alias("value")),
         F.struct(F.lit("invalid").alias("prop"), F.when(F.col("p_brand") == "Brand#3", "never").otherwise("ignore").alias("value")),
         F.when(F.col("p_type") == "SMALL", F.struct(F.lit("collation").alias("prop"), F.lit("own").alias("value"))),
+        F.when(parent.isNotNull(), F.struct(F.lit("parent").alias("prop"), parent.alias("value"))),
     )
-    props = t.part.select(F.lit("index").alias("kind"), F.col("p_partkey").alias("entity"), F.inline(F.array_compact(rows)))
+    kind = schemas.index_class(F.lit(None), F.lit(None), parent)
+    props = t.part.select(kind.alias("kind"), F.col("p_partkey").alias("entity"), F.inline(F.array_compact(rows)))
     schema = schemas.index("http://example.org/collation/root")
-    good = validate(apply_defaults(props, schema), schema).good
+    opened = flatten_nested(props, schema)
+    good = validate(apply_defaults(opened, schema), schema, nested=False).good
     return good.select("entity", "prop", "value")
 
 
+@query(
+    """
+    WITH v AS (SELECT p_partkey, p_size % 4 AS c, p_brand FROM part)
+    SELECT CAST(p_partkey AS VARCHAR) AS entity, 'parent-localname' AS prop, 'missing-mandatory' AS rule FROM v WHERE c = 0 AND p_brand = 'Brand#1'
+    UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'localname', 'missing-mandatory' FROM v WHERE c = 1 AND p_brand = 'Brand#2'
+    UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'name', 'unknown-property' FROM v WHERE c > 1 AND p_brand <> 'Brand#2'
+    UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'parent', 'not-object' FROM v WHERE c = 0 AND p_brand = 'Brand#1'
+    """
+)
+def index_class_issues(t: Tables) -> DataFrame:
+    """Declarations of all four classes: a name where a class has none, no name where it has one, a parent that is no object."""
+    c, brand = F.col("p_size") % 4, F.col("p_brand")
+    pairs = {
+        "type": F.lit("int"),
+        "name": F.when(brand != "Brand#2", F.col("p_name")).when(c == 0, F.col("p_name")),
+        "parent": F.when(c == 0, F.when(brand == "Brand#1", "text").otherwise('{"name":"p","namespace":"u"}')),
+        "path": F.when(c == 2, F.lit("/p")),
+        "field": F.when(c == 3, F.lit("f")),
+    }
+    rows = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("prop"), v.alias("value"))) for k, v in pairs.items()]))
+    kind = schemas.index_class(pairs["field"], pairs["path"], pairs["parent"])
+    props = t.part.select(kind.alias("kind"), F.col("p_partkey").alias("entity"), F.inline(rows))
+    return validate(props, schemas.index("root")).issue.select("entity", "prop", "rule")
+
+
+def _hidden(t: Tables) -> environment.Environment:
+    """Per customer a module that hides its nation's records, or merges with them, by segment."""
+    compose = F.when(F.col("c_mktsegment") == "BUILDING", "hide").otherwise("merge")
+    own = F.format_string("/h/%d.json", "c_custkey")
+    body = F.format_string(
+        '{"top":{"format":"0.1","import":["../g/%d-%s.json","../none/%d.json"],'
+        '"databases":[{"name":"data","compose":"%s","indexes":{"ranges":[{"type":"int","name":"own"}]}}],'
+        '"roles":[{"name":"reader","compose":"%s","permissions":{"own":"read"}}]}}',
+        "c_nationkey", compose, F.col("c_custkey") % 7, compose, compose,
+    )
+    modes = F.explode(F.array(F.lit("hide"), F.lit("merge")))
+    base = F.format_string(
+        '{"top":{"format":"0.1","databases":[{"id":"base","name":"data","compose":"%s","schema":"s","indexes":{"ranges":[{"type":"int","name":"base"}]}}],'
+        '"roles":[{"name":"reader","compose":"%s","permissions":{"base":"read"}}]}}',
+        "mode", "mode",
+    )
+    nations = t.nation.select("n_nationkey", modes.alias("mode"))
+    modules = t.customer.select(own.alias("module"), body.alias("body")).unionByName(
+        nations.select(F.format_string("/g/%d-%s.json", "n_nationkey", "mode").alias("module"), base.alias("body"))
+    )
+    return environment.compile_environments(modules, t.customer.select(own.alias("module")))
+
+
+_HIDDEN_SQL = "c AS (SELECT '/h/' || c_custkey || '.json' AS root, c_mktsegment = 'BUILDING' AS hides, c_custkey % 7 AS gone FROM customer)"
+
+
+@query(
+    f"""
+    WITH {_HIDDEN_SQL}
+    SELECT root, 'name:data' AS entity, 'index' AS what, 'own' AS value FROM c WHERE hides
+    UNION ALL SELECT root, 'name:reader', 'role', 'own' FROM c
+    UNION ALL SELECT root, 'name:reader', 'role', 'base' FROM c WHERE NOT hides
+    UNION ALL SELECT root, 'id:base', 'index', 'own' FROM c WHERE NOT hides
+    UNION ALL SELECT root, 'id:base', 'index', 'base' FROM c WHERE NOT hides
+    UNION ALL SELECT root, 'id:base', 'schema', 's' FROM c WHERE NOT hides
+    """
+)
+def compile_hidden(t: Tables) -> DataFrame:
+    """What hidden records leave behind, in properties, permissions and indexes: nothing."""
+    env = _hidden(t)
+    props = env.props.filter("kind = 'database' AND prop = 'schema'").select("root", "entity", F.col("prop").alias("what"), "value")
+    grants = env.permissions.select("root", "entity", F.lit("role").alias("what"), F.col("role").alias("value"))
+    indexes = env.indexes.select("root", "entity", F.lit("index").alias("what"), F.col("name").alias("value"))
+    return props.unionByName(grants).unionByName(indexes)
+
+
+@query(f"WITH {_HIDDEN_SQL} SELECT DISTINCT '/none/' || gone || '.json' AS entity, 'no-such-module' AS rule FROM c")
+def compile_issues(t: Tables) -> DataFrame:
+    """Imports that lead nowhere."""
+    return _hidden(t).issue.select("entity", "rule")
+
+
 # --- reconciliation ----------------------------------------------------------
 
 
 @query(
     """
-    SELECT p_partkey, CASE WHEN r.l_partkey IS NOT NULL THEN 'check' WHEN p_size > 45 THEN 'missing' ELSE 'create' END AS verb
-    FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25) r ON l_partkey = p_partkey
+    SELECT p_partkey, CASE WHEN r.k IS NOT NULL THEN 'check' WHEN p_size > 45 THEN 'missing' ELSE 'create' END AS verb
+    FROM part LEFT JOIN (SELECT DISTINCT l_partkey + l_linenumber % 3 * 100000 AS k FROM lineitem) r ON k = p_partkey
     """
 )
 def reconcile_entities(t: Tables) -> DataFrame:
-    actual = t.lineitem.filter("l_returnflag = 'R' AND l_quantity > 25").select(F.col("l_partkey").alias("p_partkey"))
+    """Parts that have been ordered exist; two of three order lines carry numbers that no part has."""
+    actual = t.lineitem.select((F.col("l_partkey") + F.col("l_linenumber") % 3 * 100000).alias("p_partkey"))
     desired = t.part.select("p_partkey", "p_size")
     return rec.reconcile_entities(desired, actual, ["p_partkey"], F.col("p_size") > 45).select("p_partkey", "verb")
 
 
 @query(
     """
-    WITH d AS (SELECT DISTINCT l_suppkey AS db, l_partkey AS forest FROM lineitem WHERE l_linestatus = 'O'),
-    a AS (SELECT DISTINCT l_suppkey AS db, l_partkey AS forest FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'R'),
+    WITH d AS (SELECT DISTINCT l_suppkey AS db, l_partkey AS forest FROM lineitem),
+    a AS (SELECT DISTINCT l_suppkey AS db, CASE l_returnflag WHEN 'R' THEN l_partkey WHEN 'A' THEN l_partkey + 1 ELSE -l_partkey END AS forest FROM lineitem),
     x AS (SELECT DISTINCT forest FROM a),
     v AS (SELECT coalesce(d.db, a.db) AS db,
                  CASE WHEN d.db IS NULL THEN 'detach' WHEN a.db IS NOT NULL THEN 'check'
@@ -446,11 +531,12 @@ def reconcile_entities(t: Tables) -> DataFrame:
     """
 )
 def reconcile_members(t: Tables) -> DataFrame:
-    lines = t.lineitem.select(
-        F.col("l_suppkey").alias("db"), F.col("l_partkey").alias("forest"), "l_linestatus", "l_returnflag"
-    )
-    actual = lines.filter("l_linestatus = 'F' AND l_returnflag = 'R'")
-    verbs = rec.reconcile_members(lines.filter("l_linestatus = 'O'"), actual, actual, ["db"], "forest")
+    """All order lines on both sides: as they are, next to their place, or under a name that nobody wants."""
+    part, flag = F.col("l_partkey"), F.col("l_returnflag")
+    there = F.when(flag == "R", part).when(flag == "A", part + 1).otherwise(-part)
+    desired = t.lineitem.select(F.col("l_suppkey").alias("db"), part.alias("forest"))
+    actual = t.lineitem.select(F.col("l_suppkey").alias("db"), there.alias("forest"))
+    verbs = rec.reconcile_members(desired, actual, actual, ["db"], "forest")
     return verbs.groupBy("db", "verb").agg(F.count("*").alias("n"))
 
 
@@ -605,20 +691,45 @@ def same_members(t: Tables) -> DataFrame:
     )
 
 
+ROLE_SCHEMA = [
+    Prop("role", "description"),
+    Prop("role", "permissions", type="json", compare="struct_list"),
+    Prop("role", "ring", compare="ordered"),
+]
+
+
 @query(
     """
-    SELECT CASE WHEN event_type = 'signup' AND value > 10 THEN 2 ELSE 1 END AS phase, event_type AS kind, count(*) AS n
-    FROM events GROUP BY ALL
+    WITH e AS (SELECT c_custkey AS entity, c_custkey % 3 AS c, c_mktsegment AS seg, c_nationkey AS n FROM customer)
+    SELECT 1 AS phase, 'create' AS verb, entity, NULL AS prop, '{"description":"' || seg || '"}' AS new FROM e WHERE c = 0
+    UNION ALL SELECT 2, 'update', entity, 'permissions', '[{"r":"' || n || '"}]' FROM e WHERE c = 0
+    UNION ALL SELECT 1, 'update', entity, 'description', seg FROM e WHERE c = 1
+    UNION ALL SELECT 2, 'update', entity, 'permissions', '[{"r":"' || n || '"}]' FROM e WHERE c = 2 AND n > 10
     """
 )
 def phased_plan(t: Tables) -> DataFrame:
-    kind = F.when(F.col("event_type") == "signup", "role").otherwise(F.col("event_type"))
-    plan = t.events.select(kind.alias("kind"), F.when(F.col("value") > 10, "permissions").otherwise("roles").alias("prop"))
-    phased = rec.role_phase(plan).withColumn("kind", F.when(F.col("kind") == "role", "signup").otherwise(F.col("kind")))
-    return phased.groupBy("phase", "kind").agg(F.count("*").alias("n"))
-
-
-# --- graphs --------------------------------------------------------------------
+    """Roles: a third is created, the others differ in their description or, for some, in their permissions."""
+    c, nation = F.col("c_custkey") % 3, F.col("c_nationkey")
+    ring = '[{"name":"b"},{"name":"a","dir":""}]'
+    base = t.customer.select(F.lit("role").alias("kind"), F.col("c_custkey").alias("entity"), c.alias("c"), "c_mktsegment", nation.alias("n"))
+
+    def perm(n):
+        return F.format_string('[{"r":"%d"}]', n)
+
+    def rows(**pairs):
+        made = F.array(*[F.struct(F.lit(k).alias("prop"), F.lit(y).alias("type"), v.alias("value")) for k, (y, v) in pairs.items()])
+        return F.inline(made)
+
+    ringed = F.when(F.col("c") > 0, ring)
+    props = base.select("kind", "entity", rows(description=("string", F.col("c_mktsegment")), permissions=("json", perm(F.col("n"))), ring=("json", ringed)))
+    description = F.when(F.col("c") == 1, "other").otherwise(F.col("c_mktsegment"))
+    permissions = F.when((F.col("c") == 2) & (F.col("n") > 10), perm(-F.col("n"))).otherwise(perm(F.col("n")))
+    actual = base.filter("c > 0").select(
+        "kind", "entity", rows(description=("", description), permissions=("", permissions), ring=("", F.lit('[{"name":"a"},{"name":"b","dir":null}]')))
+    ).drop("type")
+    verbs = rec.reconcile_entities(base.select("kind", "entity"), actual, ["kind", "entity"])
+    plan = rec.phased_plan(verbs, props, actual, ROLE_SCHEMA).good
+    return plan.select("phase", "verb", "entity", "prop", "new")
 
 
 @query("SELECT conv_id || '/' || turn AS id, CAST(turn AS INT) AS level FROM conversations")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from itertools import groupby
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, Row
 
 from docloom.sources.documents import read_contents, read_file
+from docloom.storage import open_store
 
 
 def by_batch(batches: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
@@ -50,3 +52,22 @@ def deliver(
 def attach_content(batches: DataFrame, full: str = "full") -> DataFrame:
     """Contents of batched rows, read late: each by its path, where its batch has been brought together."""
     return read_contents(batches, full)
+
+
+def write_file(path: str, content: bytes) -> None:
+    """Write one file whole, and its folders where they are missing; an earlier version is replaced."""
+    store, at = open_store(path)
+    if isinstance(store, fs.LocalFileSystem):
+        store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(at) as out:
+        out.write(content or b"")
+
+
+def write_files(files: DataFrame, full: str = "full", content: str = "content") -> None:
+    """Write a file per row, each in the task that has the row."""
+
+    def partition(rows: Iterable) -> None:
+        for row in rows:
+            write_file(row[full], row[content])
+
+    files.foreachPartition(partition)
