@@ -17,7 +17,7 @@ from docloom.operators.documents import (
 from docloom.operators.permissions import explode_permissions, group_permissions
 from docloom.sources.documents import flatten_listing, parse_trace, read_trace, scan_documents, single_document
 from docloom.sources.sinks import attach_content, deliver, write_documents
-from docloom.storage import LOCAL_ROWS, fresh_path, local_table
+from docloom.storage import fresh_path, local_table
 
 PATHS = ["/a.xml", "/b.html", "/x/c.html", "/x/y/d.html", "/x/y/e.xml", "/z/y/f.html", "/z/g~", "/.h/i.html"]
 
@@ -133,21 +133,37 @@ def test_batch_summary(spark):
 
 
 def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([(n, f"/d/{n}") for n in range(25)], "n int, full string")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    for n in range(25):
+        (tmp_path / "in" / str(n)).write_text(f"c{n}")
+    df = spark.createDataFrame([(n, f"{tmp_path}/in/{n}") for n in range(25)], "n int, full string")
     batches = batch_documents(df, ["n"], 10)
     target = fresh_path(spark, "test")
     write_documents(batches, target, ["position"])
     assert spark.read.parquet(target).count() == 25
-    sent = str(tmp_path)
+    sent = str(tmp_path / "out")
 
     def send(batch, rows):
         with open(f"{sent}/{batch}", "w") as f:
             f.write(" ".join(str(r.n) for r in rows))
 
     deliver(batches, send, ["position"])
-    assert (tmp_path / "2").read_text() == "20 21 22 23 24" and len(list(tmp_path.iterdir())) == 3
-    contents = df.select("full", F.concat(F.lit("c"), "n").alias("content"))
-    assert attach_content(batches, contents).filter("content = 'c24' AND batch = 2").count() == 1
+    assert (tmp_path / "out" / "2").read_text() == "20 21 22 23 24" and len(list((tmp_path / "out").iterdir())) == 3
+
+    def send_contents(batch, rows):
+        with open(f"{sent}/{batch}", "wb") as f:
+            f.write(b" ".join(r.content for r in rows))
+
+    deliver(batches, send_contents, ["position"], full="full")
+    assert (tmp_path / "out" / "2").read_text() == "c20 c21 c22 c23 c24"
+    assert attach_content(batches).filter("content = cast('c24' AS binary) AND batch = 2").count() == 1
+
+
+def test_batches_of_rows_without_source(spark):
+    df = spark.createDataFrame([(n, [None, "a", "b"][n % 3]) for n in range(30)], "n int, source string")
+    got = batch_documents(df, ["n"], 4, by=["source"]).collect()
+    assert len(got) == 30 and sorted(r.position for r in got if r.source is None) == list(range(1, 11))
 
 
 def test_scan(spark, tmp_path):
@@ -158,6 +174,9 @@ def test_scan(spark, tmp_path):
         got = scan_documents(spark, root).collect()
         assert {(r.path, r.name, r.length) for r in got} == {("/a/b/x y.txt", "x y.txt", 6), ("/z.xml", "z.xml", 4)}
     assert scan_documents(spark, str(tmp_path), content=True).filter("path = '/z.xml'").first().content == b"<z/>"
+    for hidden in (".x", "_y", "a/.z"):
+        (tmp_path / hidden).write_text("h")
+    assert {r.path for r in scan_documents(spark, str(tmp_path)).collect()} == {"/a/b/x y.txt", "/z.xml", "/.x", "/_y", "/a/.z"}
     manifest = spark.createDataFrame([("a/.hidden",)], "path string")
     assert scan_documents(spark, "/base", manifest).first().full == "/base/a/.hidden"
 
@@ -187,9 +206,8 @@ def test_trace_folder(spark, tmp_path):
     assert parse_trace(spark.createDataFrame([("a.txt", "")], "file_name string, body string")).good.count() == 0
 
 
-def test_local_table_refuses_data(spark):
-    with pytest.raises(ValueError):
-        local_table(spark, {"x": ["a"] * (LOCAL_ROWS + 1)})
+def test_a_long_registry_is_a_table_as_well(spark):
+    assert local_table(spark, {"x": ["a"] * 20_000}).count() == 20_000
 
 
 def test_a_cluster_needs_a_shared_folder():
@@ -204,4 +222,26 @@ def test_a_cluster_needs_a_shared_folder():
     assert shared_dir(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session("yarn", None))
-    assert "docloom-" in shared_dir(session("local[2]", None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("local-cluster[2,1,1024]", None))
+
+
+def test_a_real_session_without_a_folder_gets_one(tmp_path):
+    """Only where one process is all there is. Named folders come from the machine's defaults, so these are put aside."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from docloom.storage import cut, scratch, shared_dir\n"
+        "import os, glob\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "with scratch() as made:\n"
+        "    assert cut(spark.range(3), 'x').count() == 3 and len(made) == 1\n"
+        "assert 'docloom-' in shared_dir(spark) and shared_dir(spark) == shared_dir(spark)\n"
+        "assert not os.path.exists(made[0].removeprefix('file:'))\n"
+    )
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.getcwd()}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

@@ -153,3 +153,23 @@ def test_globs(spark, glob, hits, misses):
 def test_unsupported_globs(glob):
     with pytest.raises(ValueError, match=re.escape(glob)):
         GlobList([glob])
+
+
+@pytest.mark.parametrize("low, high", [(0, 9), (0, 150), (7, 123), (99, 1001), (100, 4321), (1234, 1234)])
+def test_number_ranges_as_one_pattern(low, high):
+    import re
+
+    from docloom.functions.paths import number_regex
+
+    pattern = re.compile(number_regex(low, high))
+    assert [n for n in range(6000) if pattern.fullmatch(str(n))] == list(range(low, high + 1))
+    assert not pattern.fullmatch("007")
+
+
+def test_brace_ranges(spark):
+    assert expand_braces("{01..03}") == ["01", "02", "03"]
+    assert expand_braces("{a..c}x") == ["ax", "bx", "cx"]
+    assert expand_braces("{0..6..2}") == ["0", "2", "4", "6"] and expand_braces("{3..1}") == ["3", "2", "1"]
+    df = spark.createDataFrame([("/p1.x",), ("/p999999.x",), ("/p1000001.x",), ("/p01.x",)], "path string")
+    globs = GlobList(["p{1..1000000}.x"])
+    assert [r.path for r in df.filter(globs.matches_file(df.path)).collect()] == ["/p1.x", "/p999999.x"]

@@ -289,3 +289,26 @@ def test_shards(spark):
 
 def test_capabilities_are_closed():
     assert sorted(CAPABILITIES) == ["execute", "insert", "node-update", "read", "update"]
+
+
+def test_nested_objects_are_validated_by_their_parts(spark, rows):
+    from docloom.operators import schemas
+    from docloom.operators.validate import validate
+
+    props = spark.createDataFrame(
+        [
+            ("database", "a", "name", "a"), ("database", "a", "lexicons", '{"uri": true, "collection": "maybe", "other": 1}'),
+            ("database", "b", "name", "b"), ("database", "b", "lexicons", "text"),
+            ("attribute-index", "i", "type", "int"), ("attribute-index", "i", "name", "n"), ("attribute-index", "i", "parent", '{"namespace": "u"}'),
+            ("path-index", "p", "type", "int"), ("path-index", "p", "name", "n"), ("element-index", "e", "type", None), ("element-index", "e", "name", "n"),
+        ],
+        "kind string, entity string, prop string, value string",
+    )
+    good, issue = validate(props, schemas.ALL + schemas.index("root"))
+    assert rows(issue, "entity", "prop", "rule") == [
+        ("a", "lexicons.collection", "not-boolean"), ("a", "lexicons.other", "unknown-property"), ("b", "lexicons", "not-object"),
+        ("e", "scalar-type", "missing-mandatory"), ("i", "parent-localname", "missing-mandatory"), ("p", "name", "unknown-property"),
+        ("p", "path-expression", "missing-mandatory"),
+    ]
+    assert ("a", "uri-lexicon", "true") in rows(good, "entity", "prop", "value")
+    assert ("i", "parent-namespace-uri", "u") in rows(good, "entity", "prop", "value")

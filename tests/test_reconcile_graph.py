@@ -93,7 +93,7 @@ def test_immutable(spark):
     desired = long(spark, ("s", "x", "group", "g"), ("s", "x", "policy", "other"), ("s", "y", "debug", "true"))
     actual = long(spark, ("s", "x", "group", "h"), ("s", "x", "debug", "false"), ("s", "x", "policy", "merge"), ("s", "y", "debug", "true"), ("s", "y", "policy", "odd"))
     plan, issue = rec.diff_with_immutable(desired, actual, specs)
-    assert {(r.entity, r.prop, r.new) for r in plan.collect()} == {("x", "policy", "other"), ("y", "policy", None)}
+    assert {(r.entity, r.prop, r.new) for r in plan.collect()} == {("x", "policy", "other"), ("y", "policy", "merge")}
     assert [(r.entity, r.prop) for r in issue.collect()] == [("x", "group")]
 
 
@@ -330,3 +330,27 @@ def test_several_paths_come_from_one_parse(spark, rows):
     assert rows(good, "name", "value") == [("/a/n", 1), ("/a/n", 2), ("/a/n", 3), ("/b", 4)]
     plan = good._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") + plan.count("LocalTableScan") <= 2 and "Python" not in plan
+
+
+def test_rules_of_comparison(spark, rows):
+    from docloom.operators.validate import Prop
+
+    specs = [Prop("k", "ring", compare="ordered"), Prop("k", "priv", compare="privileges"), Prop("k", "dir", compare="default", default="here")]
+    schema = "kind string, entity string, prop string, value string"
+    ring = '[{"name":"b","d":"2"},{"name":"a","d":"1"}]'
+    desired = spark.createDataFrame(
+        [("k", "1", "ring", ring), ("k", "2", "ring", ring), ("k", "1", "priv", '[{"privilege-name":"p","kind":"uri","action":"x"}]'),
+         ("k", "2", "priv", '[{"privilege-name":"p","kind":"uri"}]'), ("k", "1", "dir", None), ("k", "2", "dir", None), ("k", "3", "dir", "there")],
+        schema,
+    )
+    actual = spark.createDataFrame(
+        [("k", "1", "ring", '[{"name":"a","d":"1","e":""},{"name":"b","d":"2"}]'), ("k", "2", "ring", '[{"name":"b","d":"2"},{"name":"a","d":"1"}]'),
+         ("k", "1", "priv", '[{"privilege-name":"p","kind":"uri","action":"y"}]'), ("k", "2", "priv", '[{"privilege-name":"q","kind":"uri"}]'),
+         ("k", "1", "dir", "here"), ("k", "2", "dir", "elsewhere"), ("k", "3", "dir", "here")],
+        schema,
+    )
+    plan = rec.diff_properties(desired, actual, specs).good
+    assert rows(plan, "entity", "prop", "new") == [
+        ("2", "dir", "here"), ("2", "priv", '[{"privilege-name":"p","kind":"uri"}]'), ("2", "ring", ring), ("3", "dir", "there"),
+    ]
+    assert rec.diff_properties(desired, rec.apply_plan(actual, plan.filter("prop <> 'ring'")), specs).good.filter("prop <> 'ring'").count() == 0
