@@ -14,7 +14,7 @@ from docloom.storage import cut
 # Labelled rows that a model is fitted on at most, those with the least hashes of their ids.
 SAMPLE_ROWS = 16_000
 # Words remembered per Python worker: a bound of memory, not of the result.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def remainder(id_column: Column, of: int) -> Column:

@@ -1,46 +1,96 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of `WINDOW` lines decides where a chunk ends, so
-the same passage is cut alike wherever it stands; a long line always ends a chunk
-on either side, and so is a chunk of its own. Chunks that occur again anywhere
-are removed from all places but the first, where the run of repeated chunks that
-they stand in has `MIN_WORDS` words. Chunks are compared by all of their bytes.
+Texts are cut into logical lines: at line breaks, and within a long line after
+each sentence, so that a paragraph written as one line counts as several. A
+rolling hash over the hashes of `WINDOW` logical lines decides where a chunk
+ends, so the same passage is cut alike wherever it stands; a long line always
+ends a chunk on either side. Chunks that occur again anywhere are removed from
+all places but the first. A run of them takes in those whole words of the chunks
+next to it that agree with the chunks next to its first place, and goes if it has
+`MIN_WORDS` words. Chunks are compared by all of their bytes.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.batches import free, name, pieces
+from docloom.storage import cut
 
-WINDOW, DIVISOR, LONGEST = 2, 2, 32
-# A line of so many words is a chunk of its own.
-LONG_LINE = 16
+# A chunk ends where the mixed hash of `WINDOW` logical lines is no multiple of `RARE`, after `LONGEST` at the latest.
+WINDOW, RARE, LONGEST = 2, 4, 32
+# A line of so many characters begins and ends a chunk; a shorter chunk is not looked for by itself.
+LONG_LINE, SHORTEST = 96, 24
+# Chunks next to a run that are compared: its first may have come out otherwise, as its window reaches over the run's start.
+NEXT = 2
 # A run of repeated chunks goes if it has so many words: a common heading or notice stays.
 MIN_WORDS = 32
-_MASK = 0xFFFFFFFFFFFFFFFF
-
-
-def chunks(text: str) -> list[tuple[int, int, int]]:
-    """First line, line after the last, and number of words of each chunk of `text.split("\\n")`."""
-    lines = text.split("\n")
-    if len(lines) == 1:
-        return [(0, 1, len(text.split()))]
-    counts = [len(line.split()) for line in lines]
-    hashes = [xxhash.xxh64_intdigest(line.strip().encode()) for line in lines]
-    out, first, rolling = [], 0, 0
-    for i in range(len(lines)):
-        rolling += hashes[i] - (hashes[i - WINDOW] if i >= WINDOW else 0)
-        ends = i >= WINDOW - 1 and ((rolling * 0x9E3779B97F4A7C15 & _MASK) >> 40) % DIVISOR == 0
-        long = counts[i] >= LONG_LINE or (i + 1 < len(lines) and counts[i + 1] >= LONG_LINE)
-        if ends or long or i + 1 - first >= LONGEST or i + 1 == len(lines):
-            out.append((first, i + 1, sum(counts[first : i + 1])))
-            first = i + 1
-    return out
+# Bits of the filter that says which hashes may be repeated. It is of this size whatever the table's; a fuller one lets
+# more chunks through to the exact comparison, and loses none.
+FILTER_BITS = 1 << 27
+# Every separator is one character: a space after the end of a sentence, or a line break.
+_CUT = re.compile(r"(?<=[.!?]) |\n")
+_MIX, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+with np.errstate(over="ignore"):
+    _POWERS = np.cumprod(np.full(LONGEST, _PLACE, np.uint64))
+
+
+def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end (code points, the separator behind it not included) and hash of each chunk."""
+    units = _CUT.split(text)
+    n = len(units)
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, units)), ">u8").astype(np.uint64)
+    sizes = np.fromiter(map(len, units), np.int64, n)
+    stops = np.cumsum(sizes + 1) - 1
+    starts = stops - sizes
+    with np.errstate(over="ignore"):
+        ends = np.zeros(n, bool)
+        if n >= WINDOW:
+            # the rolling hash: a sum over the window, from running totals
+            totals = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))
+            rolling = totals[WINDOW:] - totals[:-WINDOW]
+            ends[WINDOW - 1 :] = (rolling * _MIX >> np.uint64(40)) % np.uint64(RARE) != 0
+        if "\n" in text:
+            breaks = np.fromiter((text[s] == "\n" for s in stops[:-1].tolist()), bool, n - 1)
+            first = np.concatenate(([0], np.flatnonzero(breaks) + 1))
+            length = np.append(starts[first[1:]] - 1, len(text)) - starts[first]
+            long = length >= LONG_LINE
+            ends[first[1:][long[1:] | long[:-1]] - 1] = True
+        ends[-1] = True
+        first = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
+        counts = np.diff(np.append(first, n))
+        if counts.max() > LONGEST:
+            first = np.concatenate([np.arange(a, a + c, LONGEST) for a, c in zip(first.tolist(), counts.tolist())])
+            counts = np.diff(np.append(first, n))
+        within = np.arange(n) - np.repeat(first, counts)
+        made = np.add.reduceat(hashes * _POWERS[within], first)
+    return starts[first], stops[first + counts - 1], made
+
+
+def neighbour(starts: np.ndarray, stops: np.ndarray, k: int, side: int) -> slice:
+    """Where the `NEXT` chunks before (-1) or after (1) chunk `k` stand; short ones in between do not count."""
+    far = at = k + side
+    long = 0
+    while 0 <= at < len(starts) and long < NEXT:
+        long += stops[at] - starts[at] >= SHORTEST
+        far, at = at, at + side
+    if not 0 <= far < len(starts):
+        return slice(0, 0)
+    return slice(int(starts[far]), int(stops[k - 1])) if side < 0 else slice(int(starts[k + 1]), int(stops[far]))
+
+
+def _probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in the filter per hash."""
+    with np.errstate(over="ignore"):
+        bits = np.uint64(FILTER_BITS - 1)
+        return hashes & bits, (hashes * _MIX >> np.uint64(20)) & bits
 
 
 def _keyed(df: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -51,77 +101,180 @@ def _keyed(df: DataFrame, id_column: str, text: str) -> DataFrame:
     )
 
 
-def _chunk_rows(df: DataFrame, id_column: str, text: str, with_bytes: bool) -> DataFrame:
-    """One row per chunk that has words: the document's key, the chunk's number, its hash and its bytes, outer spaces cut."""
+def repeat_filter(df: DataFrame, text: str = "text") -> np.ndarray:
+    """A bit per place that a hash of a chunk met more than once falls on; `FILTER_BITS` in all.
+
+    Hashes are counted with partial counts per task, and turned into words of
+    bits; these, of a bounded number, come to the driver.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, 0):
+                found = []
+                for value in piece.column(0).to_pylist():
+                    starts, stops, hashes = chunks(value)
+                    found.append(hashes[stops - starts >= SHORTEST])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["hash"])
+
+    def places(batches):
+        for batch in batches:
+            at = np.concatenate(_probes(np.asarray(batch.column(0)).view(np.uint64)))
+            words, bits = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    texts = df.select(F.coalesce(name(text).cast("string"), F.lit("")).alias("text"))
+    twice = texts.mapInArrow(run, "hash long").groupBy("hash").count().filter("count > 1").select("hash")
+    words = twice.mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).view(np.uint64)
+    return out
+
+
+def candidates(df: DataFrame, id_column: str, text: str, allowed: np.ndarray) -> DataFrame:
+    """Chunks that may be repeated: the document's key, the chunk's number `n`, its hash and bytes, and the chunks
+    `before` and `after` it, where the one next to it is none that may be repeated and so has no row of its own."""
     source = _keyed(df, id_column, text)
+    shared = df.sparkSession.sparkContext.broadcast(allowed)
     schema = T.StructType(
-        [*source.schema.fields[:2], T.StructField("n", T.IntegerType()), T.StructField("chunk_hash", T.BinaryType())]
-        + [T.StructField("chunk", T.BinaryType())] * with_bytes
+        [*source.schema.fields[:2], T.StructField("n", T.IntegerType()), T.StructField("hash", T.LongType())]
+        + [T.StructField(c, T.StringType()) for c in ("chunk", "before", "after")]
     )
 
     def run(batches):
+        bits = shared.value
         for batch in batches:
             for piece in pieces(batch, 2):
-                rows, n, hashes, parts = [], [], [], []
+                rows, n, hashes, parts, before, after = [], [], [], [], [], []
                 for r, value in enumerate(piece.column(2).to_pylist()):
-                    lines = value.split("\n")
-                    for k, (a, b, w) in enumerate(chunks(value)):
-                        if w:
-                            part = "\n".join(lines[a:b]).strip().encode()
-                            rows.append(r)
-                            n.append(k)
-                            hashes.append(xxhash.xxh3_128_digest(part))
-                            parts.append(part if with_bytes else None)
+                    starts, stops, made = chunks(value)
+                    may = stops - starts >= SHORTEST
+                    for at in _probes(made):
+                        may &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    for k in np.flatnonzero(may).tolist():
+                        a, b = int(starts[k]), int(stops[k])
+                        rows.append(r)
+                        n.append(k)
+                        hashes.append(made[k])
+                        parts.append(value[a:b])
+                        before.append(None if k and may[k - 1] else value[neighbour(starts, stops, k, -1)])
+                        after.append(None if k + 1 < len(may) and may[k + 1] else value[neighbour(starts, stops, k, 1)])
                 taken = pa.array(rows, pa.int64())
-                made = [piece.column(0).take(taken), piece.column(1).take(taken), pa.array(n, pa.int32()), pa.array(hashes, pa.binary())]
-                yield pa.RecordBatch.from_arrays(made + [pa.array(parts, pa.binary())] * with_bytes, names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0).take(taken), piece.column(1).take(taken), pa.array(n, pa.int32()),
+                     pa.array(np.array(hashes, np.uint64).view(np.int64)), *(pa.array(x, pa.string()) for x in (parts, before, after))],
+                    names=schema.fieldNames(),
+                )
 
     return source.mapInArrow(run, schema)
 
 
 def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document that has chunks which occur earlier: its key (`id`, `text_hash`) and their numbers, `repeats`.
+    """Per document that has chunks which occur earlier: its key (`id`, `text_hash`) and `repeats`, with the number
+    of each and, at the ends of a run of them, the chunks next to its first place.
 
     Occurrences are in the order of id (null first), hash of the text and place; the first is not returned.
     """
-    place = F.struct("id", "text_hash", "n")
+    key = ["id", "text_hash"]
+    found = cut(candidates(df, id_column, text, repeat_filter(df, text)), "line-candidates")
     # Equal bytes meet in one group, after as many groups per task have been combined.
     firsts = (
-        _chunk_rows(df, id_column, text, True)
-        .groupBy("chunk_hash", "chunk")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .select("chunk_hash", "first", "last")
-        # Chunks of one hash but other bytes, should there ever be any, are not taken for each other: none of them goes.
-        .groupBy("chunk_hash")
-        .agg(F.count(F.lit(1)).alias("variants"), F.first("first").alias("first"), F.first("last").alias("last"))
-        .filter((F.col("variants") == 1) & (F.col("first") != F.col("last")))
-        .select("chunk_hash", "first")
+        found.groupBy("hash", "chunk")
+        .agg(F.min(F.struct(*key, "n")).alias("first"), F.count(F.lit(1)).alias("times"))
+        .filter("times > 1")
+        .select(F.col("hash").alias("f_hash"), F.col("chunk").alias("f_chunk"), "first")
     )
-    # One row per hash on this side, so a hash that many documents share is split by adaptive execution.
-    again = _chunk_rows(df, id_column, text, False).join(firsts, "chunk_hash").filter(place != F.col("first"))
-    # No more numbers than the document has chunks.
-    return again.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("n")).alias("repeats"))
-
-
-def strip_runs(text: str, repeats: list[int], min_words: int = MIN_WORDS) -> tuple[str, int]:
-    """The text without those runs of `repeats` that have enough words, and the number of chunks removed."""
-    lines, spans, gone = text.split("\n"), chunks(text), set(repeats)
-    drop, removed, k = set(), 0, 0
-    while k < len(spans):
-        stop = k
-        # chunks without words lie between others, and go with them
-        while stop < len(spans) and (stop in gone or (stop > k and not spans[stop][2])):
-            stop += 1
-        run = spans[k:stop]
-        if run and sum(w for _, _, w in run) >= min_words:
-            drop.update(range(run[0][0], run[-1][1]))
-            removed += len(run)
-        k = max(stop, k + 1)
-    return "\n".join(line for i, line in enumerate(lines) if i not in drop) if drop else text, removed
+    # Written, and with one row per chunk: adaptive execution splits a chunk that many documents share.
+    firsts = cut(firsts, "line-firsts")
+    same = (F.col("hash") == F.col("f_hash")) & (F.col("chunk") == F.col("f_chunk"))
+    again = found.select(*key, "n", "hash", "chunk").join(firsts, same).filter(F.struct(*key, "n") != F.col("first"))
+    # Windows within one document's chunks.
+    in_turn = Window.partitionBy(*key).orderBy("n")
+    lag = lambda c, k=1: F.lag(c, k).over(in_turn)
+    lead = lambda c, k=1: F.lead(c, k).over(in_turn)
+    begins, ends = lag("n"), lead("n")
+    again = cut(
+        again.select(*key, "n", "first", (begins.isNull() | (begins != F.col("n") - 1)).alias("begins"), (ends.isNull() | (ends != F.col("n") + 1)).alias("ends")),
+        "line-again",
+    )
+    around = found.select(
+        F.struct(*key, "n").alias("place"),
+        # where the next chunk has a row of its own, that one and what stands next to it
+        F.coalesce("before", F.concat_ws(" ", F.coalesce(lag("before"), lag("chunk", 2)), lag("chunk"))).alias("before"),
+        F.coalesce("after", F.concat_ws(" ", lead("chunk"), F.coalesce(lead("after"), lead("chunk", 2)))).alias("after"),
+    )
+    outer = again.filter("begins OR ends").join(around, F.col("first") == F.col("place"))
+    none = F.lit(None).cast("string")
+    marks = outer.select(*key, "n", F.when(F.col("begins"), F.col("before")).alias("before"), F.when(F.col("ends"), F.col("after")).alias("after"))
+    inner = again.filter("NOT (begins OR ends)").select(*key, "n", none.alias("before"), none.alias("after"))
+    # No more marks than the document has chunks.
+    return marks.unionByName(inner).groupBy(*key).agg(F.collect_list(F.struct("n", "before", "after")).alias("repeats"))
+
+
+def _alike(a: str, b: str) -> bool:
+    """The same character; any white space for any other."""
+    return a == b or (a.isspace() and b.isspace())
+
+
+def _agree_before(text: str, stop: int, context: str) -> int:
+    """Where the whole words begin that stand before `stop` and its separator, and end `context` alike."""
+    at, n = stop - 1, 0
+    most = min(at, len(context))
+    while n < most and _alike(text[at - 1 - n], context[-1 - n]):
+        n += 1
+    # not within a word, of either text
+    if (n < at and not text[at - 1 - n].isspace()) or (n < len(context) and not context[-1 - n].isspace()):
+        while n and not text[at - n].isspace():
+            n -= 1
+    return at - n if n else stop
+
+
+def _agree_after(text: str, start: int, context: str) -> int:
+    """Where the whole words end that stand after `start` and its separator, and begin `context` alike."""
+    at, n = start + 1, 0
+    most = min(len(text) - at, len(context))
+    while n < most and _alike(text[at + n], context[n]):
+        n += 1
+    if (at + n < len(text) and not text[at + n].isspace()) or (n < len(context) and not context[n].isspace()):
+        while n and not text[at + n - 1].isspace():
+            n -= 1
+    return at + n if n > 0 else start
+
+
+def strip_runs(text: str, repeats: list[tuple[int, str | None, str | None]], min_words: int = MIN_WORDS) -> tuple[str, int]:
+    """The text without those runs of repeated chunks that have enough words, and the number of runs removed."""
+    starts, stops, _ = chunks(text)
+    spans: list[list[int]] = []
+    for n, before, after in sorted(repeats, key=lambda r: r[0]):
+        a, b = int(starts[n]), int(stops[n])
+        if before:
+            a = _agree_before(text, a, before)
+        if after:
+            b = _agree_after(text, b, after)
+        # only white space, and chunks too short to be looked for, may lie between two parts of a run
+        if spans and not text[spans[-1][1] : a].strip():
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+    gone = [(a, b) for a, b in spans if len(text[a:b].split()) >= min_words]
+    if not gone:
+        return text, 0
+    out, at = "", 0
+    for a, b in [*gone, (len(text), len(text))]:
+        part = text[at:a]
+        if at:
+            # of the white space on both sides of a removed run, that of one side is enough
+            part = part.lstrip(" ")
+            if part.startswith("\n") and (not out or out.endswith("\n")):
+                part = part[1:]
+            elif out and part and not out[-1].isspace() and not part[0].isspace():
+                out += " "
+        out, at = out + part, b
+    return out, len(gone)
 
 
 def dedup_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, count: str | None = None) -> DataFrame:
-    """The rows of `df`, all columns, `text` without repeated chunks; with `count`, also how many were removed.
+    """The rows of `df`, all columns, `text` without repeated chunks; with `count`, also how many runs were removed.
 
     A repetition counts within a document, too. Null texts stay null. Documents
     that are equal in id and text are one document: repeated rows are cleaned alike
@@ -142,12 +295,12 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", mi
         for batch in batches:
             for piece in pieces(batch, at):
                 made = [
-                    (t, 0) if not r or t is None else strip_runs(t, r, min_words)
+                    (t, 0) if not r or t is None else strip_runs(t, [(m["n"], m["before"], m["after"]) for m in r], min_words)
                     for t, r in zip(piece.column(at).to_pylist(), piece.column(last).to_pylist())
                 ]
                 columns = list(piece.columns[:last])
                 columns[at] = pa.array([m[0] for m in made], pa.string())
-                columns += [pa.array([m[1] for m in made], pa.int32())] * bool(count)
+                columns += [pa.array([m[1] for m in made], pa.int32())] if count else []
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return joined.mapInArrow(run, schema)

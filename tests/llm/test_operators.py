@@ -442,51 +442,80 @@ def test_ledger_scans_only_what_is_new(spark, documents):
 
 
 def _slow_dedup(pairs):
-    seen, order, repeats = {}, sorted(set(pairs), key=lambda p: (p[0] is not None, p[0] or 0)), defaultdict(list)
+    """Every chunk against all earlier ones, by a list of texts; what stands next to a first place is looked up whole."""
+    seen, order, marks = {}, sorted(set(pairs), key=lambda p: (p[0] is not None, p[0] or 0)), defaultdict(list)
     for i, t in order:
-        lines = (t or "").split("\n")
-        for k, (a, b, w) in enumerate(line_dedup.chunks(t or "")):
-            part = "\n".join(lines[a:b]).strip()
-            if w and part in seen:
-                repeats[i, t].append(k)
-            elif w:
-                seen[part] = 1
-    return Counter((i, t if t is None else line_dedup.strip_runs(t, repeats[i, t])[0]) for i, t in pairs)
+        text = t or ""
+        starts, stops, _ = line_dedup.chunks(text)
+        parts = [text[a:b] for a, b in zip(starts, stops)]
+        for k, part in enumerate(parts):
+            if len(part) >= line_dedup.SHORTEST:
+                if part in seen:
+                    marks[i, t].append((k, *seen[part]))
+                else:
+                    seen[part] = text[line_dedup.neighbour(starts, stops, k, -1)], text[line_dedup.neighbour(starts, stops, k, 1)]
+    for which, found in marks.items():
+        at = {k for k, _, _ in found}
+        marks[which] = [(k, before if k - 1 not in at else None, after if k + 1 not in at else None) for k, before, after in found]
+    return Counter((i, t if t is None else line_dedup.strip_runs(t, marks[i, t])[0]) for i, t in pairs)
 
 
 def _lines(seed, n, words=9):
     return "\n".join(" ".join(f"w{seed}x{(i * 31 + j * 7) % 97}" for j in range(words)) for i in range(n))
 
 
-def test_chunks_are_the_text_and_withstand_shifts():
-    passage = _lines(1, 12)
-    texts = ["\n".join([_lines(2, 5), passage, _lines(3, 4)]), "\n".join([_lines(4, 2), passage])]
-    parts = []
-    for t in texts:
-        spans = line_dedup.chunks(t)
-        assert [a for a, _, _ in spans] == [0, *(b for _, b, _ in spans[:-1])] and spans[-1][1] == len(t.split("\n"))
-        lines = t.split("\n")
-        parts.append({"\n".join(lines[a:b]) for a, b, _ in spans})
-    shared = sum(p.count("\n") + 1 for p in parts[0] & parts[1])
-    assert shared >= 8
+def _prose(seed, n):
+    return " ".join(" ".join(f"p{seed}q{(i * 13 + j * 5) % 101}" for j in range(4 + (i * i) % 9)) + "." for i in range(n))
+
+
+@given(st.text(alphabet="ab. \n!é", max_size=120))
+@settings(deadline=None)
+def test_chunks_are_the_text(text):
+    starts, stops, hashes = line_dedup.chunks(text)
+    assert starts[0] == 0 and stops[-1] == len(text) and len(hashes) == len(starts)
+    assert (starts[1:] == stops[:-1] + 1).all() and all(text[s] in " \n" for s in stops[:-1])
+
+
+def test_long_texts_without_ends_are_cut_as_well():
+    starts, stops, _ = line_dedup.chunks("\n" * 1000)
+    assert len(starts) > 1000 // line_dedup.LONGEST - 1 and stops[-1] == 1000
+
+
+def test_chunks_withstand_shifts():
+    passage = _prose(1, 30)
+    found = []
+    for text in (_prose(2, 5) + " " + passage + " " + _prose(3, 4), _lines(4, 2) + "\nwords before " + passage + "\n" + _lines(5, 3)):
+        starts, stops, _ = line_dedup.chunks(text)
+        found.append({text[a:b] for a, b in zip(starts, stops)})
+    assert sum(map(len, found[0] & found[1])) > 0.75 * len(passage)
 
 
 def test_repeated_passages_go_from_all_but_the_first(spark, documents, odd_texts):
-    passage, long = _lines(1, 14), " ".join(f"long{i}" for i in range(60))
+    passage, long, prose = _lines(1, 14), " ".join(f"long{i}." if i % 7 == 6 else f"long{i}" for i in range(70)), _prose(9, 12)
     pairs = odd_texts[:-1] + [
         (100, _lines(2, 3) + "\n" + passage), (101, _lines(3, 3) + "\n" + passage + "\n" + _lines(4, 2)), (102, f"head a\n{long}\ntail"),
-        (103, f"other\n{long}"), (104, "Licensed to all.\nkept"), (105, "Licensed to all.\nalso"), (106, long + "\n" + long),
+        (103, f"other\n{long}\nend"), (104, "Licensed to all of you, without any warranty.\nkept"), (105, "Licensed to all of you, without any warranty.\nalso"),
+        (106, long + "\n" + long), (107, f"In the middle of {prose} of a line"), (108, f"At another place {prose} too"),
     ]
     docs = documents(pairs, clash=True)
     got = line_dedup.dedup_lines(docs, count="n_removed")
     assert Counter((r.doc_id, r.text) for r in got.collect()) == _slow_dedup(pairs)
     texts = {r.doc_id: r.text for r in got.collect() if r.doc_id and r.doc_id >= 100}
-    assert texts[102].endswith("tail") and long in texts[102] and texts[103] == "other" and texts[106] == ""
+    assert texts[102] == dict(pairs)[102] and texts[103] == "other\nend" and texts[106] == ""
     assert texts[104].startswith("Licensed") and texts[105].startswith("Licensed")
-    assert passage in texts[100] and len(texts[101]) < len(pairs[-6][1]) - len(passage) // 2
+    assert texts[101] == _lines(3, 3) + "\n" + _lines(4, 2)
+    assert texts[107] == dict(pairs)[107] and texts[108] == "At another place too"
     assert line_dedup.dedup_lines(documents([])).count() == 0
 
 
+def test_a_full_filter_changes_nothing(spark, documents, monkeypatch):
+    pairs = [(i, _prose(i % 5, 12) + f" own {i}") for i in range(20)]
+    want = line_dedup.dedup_lines(documents(pairs)).collect()
+    monkeypatch.setattr(line_dedup, "repeat_filter", lambda df, text="text": np.full(line_dedup.FILTER_BITS // 64, (1 << 64) - 1, np.uint64))
+    got = line_dedup.dedup_lines(documents(pairs)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want != []
+
+
 # 10 toxicity
 
 
