@@ -13,6 +13,7 @@ next to it that agree with the chunks next to its first place, and goes if it ha
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from docloom.llm.batches import free, name, pieces
 from docloom.storage import cut
 
 # A chunk ends where the mixed hash of `WINDOW` logical lines is no multiple of `RARE`, after `LONGEST` at the latest.
-WINDOW, RARE, LONGEST = 2, 4, 32
+WINDOW, RARE, LONGEST = 2, 4, 8
 # A line of so many characters begins and ends a chunk; a shorter chunk is not looked for by itself.
 LONG_LINE, SHORTEST = 96, 24
 # Chunks next to a run that are compared: its first may have come out otherwise, as its window reaches over the run's start.
@@ -42,36 +43,72 @@ with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.full(LONGEST, _PLACE, np.uint64))
 
 
-def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end (code points, the separator behind it not included) and hash of each chunk."""
-    units = _CUT.split(text)
-    n = len(units)
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, units)), ">u8").astype(np.uint64)
-    sizes = np.fromiter(map(len, units), np.int64, n)
+class Chunks(NamedTuple):
+    """Of a list of texts: where each one's chunks begin in the arrays, and per chunk its start and end (code points,
+    the separator behind it not included) and its hash."""
+
+    bounds: np.ndarray
+    starts: np.ndarray
+    stops: np.ndarray
+    hashes: np.ndarray
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = slice(self.bounds[i], self.bounds[i + 1])
+        return self.starts[at], self.stops[at], self.hashes[at]
+
+
+def chunk_all(texts: list[str]) -> Chunks:
+    """Cut all texts, each for itself; a text has one chunk at least."""
+    lines, owner_sizes = [], []
+    for text in texts:
+        found = _CUT.split(text)
+        lines += found
+        owner_sizes.append(len(found))
+    n = len(lines)
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, lines)), ">u8").astype(np.uint64)
+    sizes = np.fromiter(map(len, lines), np.int64, n)
+    counts = np.array(owner_sizes, np.int64)
+    last = np.cumsum(counts) - 1  # of each text, its last logical line
+    head = last - counts + 1
+    # places within all texts, one after the other with a separator between
     stops = np.cumsum(sizes + 1) - 1
     starts = stops - sizes
+    base = np.repeat(starts[head], counts)
+    breaks = np.zeros(n, bool)
+    for i, text in enumerate(texts):
+        if "\n" in text:
+            own = stops[head[i] : last[i]] - starts[head[i]]
+            breaks[head[i] : last[i]] = [text[s] == "\n" for s in own.tolist()]
+    breaks[last] = True
     with np.errstate(over="ignore"):
+        # the rolling hash: a sum over the window, from running totals; a window stays within its text
+        totals = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))
+        rolling = totals[WINDOW:] - totals[:-WINDOW]
         ends = np.zeros(n, bool)
-        if n >= WINDOW:
-            # the rolling hash: a sum over the window, from running totals
-            totals = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))
-            rolling = totals[WINDOW:] - totals[:-WINDOW]
-            ends[WINDOW - 1 :] = (rolling * _MIX >> np.uint64(40)) % np.uint64(RARE) != 0
-        if "\n" in text:
-            breaks = np.fromiter((text[s] == "\n" for s in stops[:-1].tolist()), bool, n - 1)
-            first = np.concatenate(([0], np.flatnonzero(breaks) + 1))
-            length = np.append(starts[first[1:]] - 1, len(text)) - starts[first]
-            long = length >= LONG_LINE
-            ends[first[1:][long[1:] | long[:-1]] - 1] = True
-        ends[-1] = True
+        ends[WINDOW - 1 :] = (rolling * _MIX >> np.uint64(40)) % np.uint64(RARE) != 0
+        for k in range(WINDOW - 1):
+            ends[head[counts > k] + k] = False
+        # a long line begins and ends a chunk
+        first = np.concatenate(([0], np.flatnonzero(breaks)[:-1] + 1))
+        end = np.flatnonzero(breaks)
+        long = stops[end] - starts[first] >= LONG_LINE
+        ends[end[long]] = True
+        ends[first[1:][long[1:]] - 1] = True
+        ends[last] = True
         first = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
-        counts = np.diff(np.append(first, n))
-        if counts.max() > LONGEST:
-            first = np.concatenate([np.arange(a, a + c, LONGEST) for a, c in zip(first.tolist(), counts.tolist())])
-            counts = np.diff(np.append(first, n))
-        within = np.arange(n) - np.repeat(first, counts)
+        parts = np.diff(np.append(first, n))
+        if parts.max() > LONGEST:
+            first = np.concatenate([np.arange(a, a + c, LONGEST) for a, c in zip(first.tolist(), parts.tolist())])
+            parts = np.diff(np.append(first, n))
+        within = np.arange(n) - np.repeat(first, parts)
         made = np.add.reduceat(hashes * _POWERS[within], first)
-    return starts[first], stops[first + counts - 1], made
+    bounds = np.append(np.searchsorted(first, head), len(first))
+    return Chunks(bounds, starts[first] - base[first], stops[first + parts - 1] - base[first], made)
+
+
+def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each chunk of one text."""
+    return chunk_all([text]).of(0)
 
 
 def neighbour(starts: np.ndarray, stops: np.ndarray, k: int, side: int) -> slice:
@@ -101,36 +138,59 @@ def _keyed(df: DataFrame, id_column: str, text: str) -> DataFrame:
     )
 
 
-def repeat_filter(df: DataFrame, text: str = "text") -> np.ndarray:
-    """A bit per place that a hash of a chunk met more than once falls on; `FILTER_BITS` in all.
+def fixed_filter(hashes: DataFrame) -> np.ndarray:
+    """`FILTER_BITS` bits, set where a hash of the one long column falls.
 
-    Hashes are counted with partial counts per task, and turned into words of
-    bits; these, of a bounded number, come to the driver.
+    Tasks turn hashes into words of bits; these, of a bounded number, come to the driver.
     """
 
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch, 0):
-                found = []
-                for value in piece.column(0).to_pylist():
-                    starts, stops, hashes = chunks(value)
-                    found.append(hashes[stops - starts >= SHORTEST])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["hash"])
-
     def places(batches):
         for batch in batches:
             at = np.concatenate(_probes(np.asarray(batch.column(0)).view(np.uint64)))
             words, bits = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-    texts = df.select(F.coalesce(name(text).cast("string"), F.lit("")).alias("text"))
-    twice = texts.mapInArrow(run, "hash long").groupBy("hash").count().filter("count > 1").select("hash")
-    words = twice.mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = hashes.mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.uint64)
     out[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).view(np.uint64)
     return out
 
 
+def passes(allowed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through: all that were put in, and some more."""
+    may = np.ones(len(hashes), bool)
+    for at in _probes(hashes):
+        may &= (allowed[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return may
+
+
+def repeat_filter(df: DataFrame, text: str = "text") -> np.ndarray:
+    """The filter of all hashes of chunks that are met more than once, counted with partial counts per task."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, 0):
+                found = chunk_all(piece.column(0).to_pylist())
+                kept = found.hashes[found.stops - found.starts >= SHORTEST]
+                yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64))], names=["hash"])
+
+    texts = df.select(F.coalesce(name(text).cast("string"), F.lit("")).alias("text"))
+    return fixed_filter(texts.mapInArrow(run, "hash long").groupBy("hash").count().filter("count > 1").select("hash"))
+
+
+def _passing(df: DataFrame, column: str, allowed: np.ndarray) -> DataFrame:
+    """The rows of `df` whose `column`, a long hash, passes the filter."""
+    shared = df.sparkSession.sparkContext.broadcast(allowed)
+    at = df.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(passes(shared.value, np.asarray(batch.column(at)).view(np.uint64))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def candidates(df: DataFrame, id_column: str, text: str, allowed: np.ndarray) -> DataFrame:
     """Chunks that may be repeated: the document's key, the chunk's number `n`, its hash and bytes, and the chunks
     `before` and `after` it, where the one next to it is none that may be repeated and so has no row of its own."""
@@ -146,11 +206,14 @@ def candidates(df: DataFrame, id_column: str, text: str, allowed: np.ndarray) ->
         for batch in batches:
             for piece in pieces(batch, 2):
                 rows, n, hashes, parts, before, after = [], [], [], [], [], []
-                for r, value in enumerate(piece.column(2).to_pylist()):
-                    starts, stops, made = chunks(value)
-                    may = stops - starts >= SHORTEST
-                    for at in _probes(made):
-                        may &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                texts = piece.column(2).to_pylist()
+                cut_up = chunk_all(texts)
+                all_may = passes(bits, cut_up.hashes) & (cut_up.stops - cut_up.starts >= SHORTEST)
+                owners = np.repeat(np.arange(len(texts)), np.diff(cut_up.bounds))
+                for r in np.unique(owners[all_may]).tolist():
+                    value = texts[r]
+                    starts, stops, made = cut_up.of(r)
+                    may = all_may[cut_up.bounds[r] : cut_up.bounds[r + 1]]
                     for k in np.flatnonzero(may).tolist():
                         a, b = int(starts[k]), int(stops[k])
                         rows.append(r)
@@ -177,17 +240,25 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     """
     key = ["id", "text_hash"]
     found = cut(candidates(df, id_column, text, repeat_filter(df, text)), "line-candidates")
+    place = F.struct(*key, "n")
     # Equal bytes meet in one group, after as many groups per task have been combined.
-    firsts = (
+    same_bytes = (
         found.groupBy("hash", "chunk")
-        .agg(F.min(F.struct(*key, "n")).alias("first"), F.count(F.lit(1)).alias("times"))
-        .filter("times > 1")
-        .select(F.col("hash").alias("f_hash"), F.col("chunk").alias("f_chunk"), "first")
+        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+        .select("hash", F.xxhash64("chunk").alias("second"), "first", "times")
+    )
+    # From here on a chunk goes by two hashes. Chunks of the same two but other bytes, should there ever be any, are not
+    # taken for each other: none of them goes.
+    firsts = (
+        same_bytes.groupBy(F.col("hash").alias("f_hash"), F.col("second").alias("f_second"))
+        .agg(F.count(F.lit(1)).alias("variants"), F.first("first").alias("first"), F.first("times").alias("times"))
+        .filter("variants = 1 AND times > 1")
+        .select("f_hash", "f_second", "first")
     )
     # Written, and with one row per chunk: adaptive execution splits a chunk that many documents share.
     firsts = cut(firsts, "line-firsts")
-    same = (F.col("hash") == F.col("f_hash")) & (F.col("chunk") == F.col("f_chunk"))
-    again = found.select(*key, "n", "hash", "chunk").join(firsts, same).filter(F.struct(*key, "n") != F.col("first"))
+    same = (F.col("hash") == F.col("f_hash")) & (F.col("second") == F.col("f_second"))
+    again = found.select(*key, "n", "hash", F.xxhash64("chunk").alias("second")).join(firsts, same).filter(place != F.col("first"))
     # Windows within one document's chunks.
     in_turn = Window.partitionBy(*key).orderBy("n")
     lag = lambda c, k=1: F.lag(c, k).over(in_turn)
@@ -197,8 +268,11 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
         again.select(*key, "n", "first", (begins.isNull() | (begins != F.col("n") - 1)).alias("begins"), (ends.isNull() | (ends != F.col("n") + 1)).alias("ends")),
         "line-again",
     )
-    around = found.select(
-        F.struct(*key, "n").alias("place"),
+    # What stands next to those first places that a run ends at: only they and their neighbours are brought together.
+    asked = again.filter("begins OR ends").select("first").distinct()
+    near = asked.select(F.explode(F.array(*[F.xxhash64("first.id", "first.text_hash", F.col("first.n") + F.lit(k)) for k in range(-NEXT, NEXT + 1)])))
+    around = _passing(found.select(*key, "n", "chunk", "before", "after", F.xxhash64(*key, "n").alias("at")), "at", fixed_filter(near)).select(
+        place.alias("place"),
         # where the next chunk has a row of its own, that one and what stands next to it
         F.coalesce("before", F.concat_ws(" ", F.coalesce(lag("before"), lag("chunk", 2)), lag("chunk"))).alias("before"),
         F.coalesce("after", F.concat_ws(" ", lead("chunk"), F.coalesce(lead("after"), lead("chunk", 2)))).alias("after"),
