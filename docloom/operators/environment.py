@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.values import json_escaped, list_column
 from docloom.operators.batching import BATCH_SIZE, batch_documents
 from docloom.operators.documents import derive_uri, effective_collections, select_paths
-from docloom.operators.graph import flatten_imports
+from docloom.operators import schemas
+from docloom.operators.graph import SLOTS, flatten_embedded, flatten_imports, topo_levels
 from docloom.operators.layers import (
     first_values,
     layered_permissions,
@@ -19,7 +20,9 @@ from docloom.operators.layers import (
     precedence_lookup,
     surviving,
 )
+from docloom.operators.lookup import resolve_reference
 from docloom.operators.substitute import resolve_param_table, substitute
+from docloom.operators.validate import apply_defaults, flatten_nested, validate
 from docloom.sources.layers import component_props, index_rows, split_layers
 from docloom.storage import Checked, cut, issue_rows
 
@@ -32,7 +35,8 @@ class Environment(NamedTuple):
 
     `params`: name, value. `props`: kind, entity, id, name, prop, value.
     `permissions`: kind, entity, role, value. `indexes`: entity and index
-    columns. `apis`: api, prop, value. `issue`: whatever did not fit.
+    columns. `apis`: api, prop, value. `config`: name, value. `issue`: whatever
+    did not fit.
     """
 
     params: DataFrame
@@ -40,15 +44,18 @@ class Environment(NamedTuple):
     permissions: DataFrame
     indexes: DataFrame
     apis: DataFrame
+    config: DataFrame
     issue: DataFrame
 
 
-def compile_environments(modules: DataFrame, roots: DataFrame, given: DataFrame | None = None) -> Environment:
+def compile_environments(
+    modules: DataFrame, roots: DataFrame, given: DataFrame | None = None, defaults: DataFrame | None = None
+) -> Environment:
     """Compile the environments starting at `roots`, all at once.
 
     `modules`: `module`, `body`; `roots`: `module`; `given`: `root, name,
-    value`, parameters that go before those of any module. Imports are
-    flattened, parameters looked up (last import first) and resolved, records
+    value`, parameters that go before those of any module, and `defaults` like it
+    such that come after all. Imports are flattened, parameters looked up (last import first) and resolved, records
     substituted and merged (first import first).
     """
     layers = split_layers(modules)
@@ -59,10 +66,12 @@ def compile_environments(modules: DataFrame, roots: DataFrame, given: DataFrame
     declared = layers.params.join(place, "module").select(
         "root", "name", "value", "own", F.lit(1).alias("rank"), "path_last"
     )
-    if given is not None:
-        declared = declared.unionByName(
-            given.select("root", "name", "value", F.lit(True).alias("own"), F.lit(0).alias("rank"), F.array().cast("array<int>").alias("path_last"))
-        )
+    for rank, more in ((0, given), (2, defaults)):
+        if more is not None:
+            none = F.array().cast("array<int>").alias("path_last")
+            declared = declared.unionByName(
+                more.select("root", "name", "value", F.lit(True).alias("own"), F.lit(rank).alias("rank"), none)
+            )
     looked_up = precedence_lookup(declared, ["root", "name"], ["rank", "path_last"], own=F.col("own"))
     params, unresolved = resolve_param_table(looked_up, ["root"])
 
@@ -106,7 +115,94 @@ def compile_environments(modules: DataFrame, roots: DataFrame, given: DataFrame
     issue = layers.issue
     for more in (cycles, absent, unresolved, unfilled, unmerged, unmergeable, unknown_apis):
         issue = issue.unionByName(more)
-    return Environment(params, merged, permissions, indexes, apis, issue)
+    config = precedence_lookup(layers.config.join(place, "module").select("root", "name", "value", "path_last"), ["root", "name"], ["path_last"])
+    return Environment(params, merged, permissions, indexes, apis, config, issue)
+
+
+class Settled(NamedTuple):
+    """`props`: root, kind, entity, prop (target names), type, value, validated, defaults added.
+    `indexes`: the same, of index declarations, with their class as `kind`. `references`: root, name, slot,
+    target. `levels`: root, name, level of each database, embedded ones included. `issue`: what broke a rule."""
+
+    props: DataFrame
+    indexes: DataFrame
+    references: DataFrame
+    levels: DataFrame
+    issue: DataFrame
+
+
+# Properties of a server that name a database.
+SERVER_SLOTS = ["content", "modules"]
+
+
+def settle(env: Environment, root_collation: str) -> Settled:
+    """Check compiled environments and bring them into order: defaults, schemas, references, dependency levels."""
+    owner = F.struct("root", "entity").alias("entity")
+    records = cut(env.props.select("kind", owner, "id", "name", "prop", "value"), "records")
+    plain = ["kind", "entity", "prop", "value"]
+    opened = flatten_nested(records.select(*plain), schemas.ALL)
+    good, bad = validate(apply_defaults(opened, schemas.ALL), schemas.ALL, nested=False)
+
+    index_schema = schemas.index(root_collation)
+    parts = {c: F.col(c) for c in ("type", "positions", "invalid", "collation", "field", "path", "name", "namespace")}
+    parts |= {"parent.name": F.col("parent_name"), "parent.namespace": F.col("parent_namespace")}
+    rows = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("prop"), v.alias("value"))) for k, v in parts.items()]))
+    kind = schemas.index_class(F.col("field"), F.col("path"), F.col("parent_name"))
+    whole = F.concat_ws("|", "type", "field", "path", "parent_namespace", "parent_name", "namespace", "name")
+    declared = env.indexes.select(kind.alias("kind"), F.struct("root", "entity", whole.alias("index")).alias("entity"), F.inline(rows))
+    good_index, bad_index = validate(apply_defaults(declared, index_schema), index_schema, nested=False)
+
+    # A database as one definition again: few properties each.
+    slot = F.col("prop").isin("id", "name", *SLOTS) & F.col("value").isNotNull()
+    text = F.when(F.col("prop").isin("id", "name"), F.concat(F.lit('"'), json_escaped(F.col("value")), F.lit('"'))).otherwise(F.col("value"))
+    member = F.concat(F.lit('"'), "prop", F.lit('":'), text)
+    bodies = (
+        records.filter((F.col("kind") == "database") & slot)
+        .groupBy(F.col("entity.root").alias("root"), F.col("entity.entity").alias("entity"))
+        .agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_set(member)), ","), F.lit("}")).alias("body"))
+    )
+    nodes, refs = flatten_embedded(bodies.select(F.to_json(F.array("root", "entity")).alias("key"), "body"))
+    root = F.get(F.from_json(F.regexp_extract("key", r"^(\[.*?\])(?:/|$)", 1), "array<string>"), F.lit(0))
+    fields = ["id", "name", "idref", "nameref", "sysref"]
+    servers = records.filter((F.col("kind") == "server") & F.col("prop").isin(SERVER_SLOTS)).select(
+        F.col("entity.root").alias("root"), F.col("prop").alias("slot"), *[F.get_json_object("value", f"$.{f}").alias(f) for f in fields],
+        F.lit(None).cast("string").alias("own_id"), F.col("name").alias("own_name"), F.lit("server").alias("of"),
+    )
+    refs = refs.select(root.alias("root"), "slot", *fields, "own_id", "own_name", F.lit("database").alias("of"))
+
+    # Names hold within their environment.
+    def scoped(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.concat("root", F.lit("\n"), c)).alias(c)
+
+    every = refs.unionByName(servers.filter(F.coalesce(*fields).isNotNull()))
+    keyed = every.select("root", "slot", "of", *[scoped(c) for c in [*fields, "own_id", "own_name"]])
+    databases = cut(nodes.select(root.alias("root"), "id", "name"), "databases")
+    found, unresolved = resolve_reference(keyed, databases.select(*[scoped(c) for c in ("id", "name")]), own_id="own_id", own_name="own_name")
+
+    def bare(c: str) -> Column:
+        return F.substring_index(F.col(c), "\n", -1)
+
+    references = found.select(
+        "root", "of", bare("own_name").alias("name"), "slot", F.coalesce(bare("target_name"), bare("target_id")).alias("target")
+    )
+    node = F.coalesce("name", "id")
+    edges = found.filter("of = 'database'").select(
+        F.coalesce("own_name", "own_id").alias("id"), F.coalesce("target_name", "target_id").alias("dep")
+    )
+    names = databases.select(F.concat("root", F.lit("\n"), node).alias("id")).distinct()
+    placed, cycles = topo_levels(names, edges, self_ok=True, kind="database")
+    levels = placed.select(F.substring_index("id", "\n", 1).alias("root"), bare("id").alias("name"), "level")
+
+    issue = bad
+    for more in (bad_index, unresolved, cycles):
+        issue = issue.unionByName(more)
+    readable = issue.withColumns({c: F.regexp_replace(c, "\n", " ") for c in ("entity", "value")})
+    typed = ["prop", "type", "value"]
+    return Settled(
+        good.select("entity.root", "kind", "entity.entity", *typed),
+        good_index.select("entity.root", "kind", "entity.entity", "entity.index", *typed),
+        references, levels, readable,
+    )
 
 
 def _index_settings(declaring: DataFrame) -> Checked:

@@ -31,6 +31,8 @@ DATABASE = [
     Prop("database", "security", ignored=True),
     Prop("database", "triggers", ignored=True),
     Prop("database", "indexes", ignored=True),
+    Prop("database", "indexes.ranges", ignored=True),
+    Prop("database", "indexes.namespaces", ignored=True),
     Prop("database", "fields", target="field", type="list", compare="struct_list"),
     Prop("database", "searches", ignored=True),
     Prop("database", "lexicons", ignored=True),

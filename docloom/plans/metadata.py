@@ -502,6 +502,40 @@ def compile_issues(t: Tables) -> DataFrame:
     return _hidden(t).issue.select("entity", "rule")
 
 
+@query(
+    """
+    WITH c AS (SELECT '/s/' || c_custkey || '.json' AS root, c_mktsegment = 'BUILDING' AS odd, c_acctbal < 0 AS chained FROM customer)
+    SELECT root, 'level' AS what, 'data' AS name, CASE WHEN chained THEN '2' ELSE '1' END AS value FROM c
+    UNION ALL SELECT root, 'level', 'types', CASE WHEN chained THEN '1' ELSE '0' END FROM c
+    UNION ALL SELECT root, 'level', 'safe', '0' FROM c
+    UNION ALL SELECT root, 'content', 'web', 'data' FROM c
+    UNION ALL SELECT root, 'schema', 'data', 'types' FROM c
+    UNION ALL SELECT root, 'security', 'types', 'safe' FROM c WHERE chained
+    UNION ALL SELECT root, 'port', 'id:web', '8080' FROM c WHERE NOT odd
+    UNION ALL SELECT root, 'group', 'name:h', 'Default' FROM c
+    UNION ALL SELECT '{' || root || ', id:web}', 'not-integer', 'port', 'none' FROM c WHERE odd
+    """
+)
+def settle_environments(t: Tables) -> DataFrame:
+    """One environment per customer, checked and put in order."""
+    own = F.format_string("/s/%d.json", "c_custkey")
+    body = F.format_string(
+        '{"top":{"format":"0.1","hosts":[{"name":"h"}],"servers":[{"id":"web","name":"web","type":"http","port":"%s","content":{"idref":"d"}}],'
+        '"databases":[{"id":"d","name":"data","schema":{"nameref":"types"}},{"name":"safe"},{"name":"types"%s}]}}',
+        F.when(F.col("c_mktsegment") == "BUILDING", "none").otherwise("8080"),
+        F.when(F.col("c_acctbal") < 0, ',"security":{"nameref":"safe"}').otherwise(""),
+    )
+    modules = t.customer.select(own.alias("module"), body.alias("body"))
+    done = environment.settle(environment.compile_environments(modules, modules.select("module")), "http://example.org/root")
+    text_ = F.col("level").cast("string").alias("value")
+    return (
+        done.levels.select("root", F.lit("level").alias("what"), "name", text_)
+        .unionByName(done.references.select("root", F.col("slot").alias("what"), "name", F.col("target").alias("value")))
+        .unionByName(done.props.filter("prop IN ('port', 'group')").select("root", F.col("prop").alias("what"), F.col("entity").alias("name"), "value"))
+        .unionByName(done.issue.select(F.col("entity").alias("root"), F.col("rule").alias("what"), F.col("prop").alias("name"), "value"))
+    )
+
+
 # --- reconciliation ----------------------------------------------------------
 
 

@@ -40,12 +40,13 @@ _MAP = "map<string,string>"
 
 class Layers(NamedTuple):
     """`components`: module, kind, pos, body. `params`: module, name, value.
-    `imports`: module, import, pos. `apis`: module, api, prop, value."""
+    `imports`: module, import, pos. `apis`: module, api, prop, value. `config`: module, name, value."""
 
     components: DataFrame
     params: DataFrame
     imports: DataFrame
     apis: DataFrame
+    config: DataFrame
     issue: DataFrame
 
 
@@ -129,11 +130,12 @@ def split_layers(modules: DataFrame) -> Layers:
         opened.filter(F.col("__rule").isNotNull()), "module", F.col("module"), "format", F.col("__rule"),
         F.get_json_object("__root", "$.format"),
     )
+    config = sound.select("module", F.explode(F.from_json(F.get_json_object("__root", "$.config"), _MAP)).alias("name", "value"))
     no_list = records.filter(~F.ltrim("__list").startswith("["))
     issue = issue.unionByName(issue_rows(no_list, "module", F.col("module"), F.col("kind"), "section-no-list", F.col("__list")))
     no_record = bodies.filter(F.from_json("body", _MAP).isNull())
     issue = issue.unionByName(issue_rows(no_record, "module", F.col("module"), F.col("kind"), "record-no-object", F.col("body")))
-    return Layers(components, params, imports, apis, issue)
+    return Layers(components, params, imports, apis, config, issue)
 
 
 def component_props(components: DataFrame) -> DataFrame:

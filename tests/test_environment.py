@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators.environment import compile_environments, load_documents
+from docloom.operators.environment import compile_environments, load_documents, settle
 from docloom.operators.substitute import resolve_param_table
 from docloom.sources.layers import read_modules, split_layers
 
@@ -112,6 +112,42 @@ def test_apis(compiled):
     assert compiled.apis.filter("prop = 'colour'").count() == 0
 
 
+def test_settled_environment(spark, rows):
+    """Defaults, schemas, references and levels of a whole environment."""
+    top = {
+        "format": "0.1", "config": {"verbose": "false", "depth": "2"},
+        "hosts": [{"name": "h1"}],
+        "databases": [
+            {"id": "docs", "name": "docs", "schema": {"name": "types", "security": {"idref": "safe"}}, "lexicons": {"uri": True, "odd": 1},
+             "indexes": {"ranges": [{"type": "string", "name": "title"}, {"name": "broken"}, {"type": "int", "name": "n", "parent": {"name": "p"}}]}},
+            {"id": "safe", "name": "safe", "security": {"idref": "safe"}},
+            {"name": "lost", "triggers": {"nameref": "nowhere"}},
+        ],
+        "servers": [{"id": "web", "name": "web", "type": "http", "port": "eighty", "content": {"idref": "docs"}, "modules": {"nameref": "types"}}],
+    }
+    derived = {"format": "0.1", "import": "top.json", "config": {"depth": "3"}}
+    modules = [("/top.json", json.dumps({"e": top})), ("/low.json", json.dumps({"e": derived}))]
+    modules = spark.createDataFrame(modules, "module string, body string")
+    roots = spark.createDataFrame([("/low.json",)], "module string")
+    defaults = spark.createDataFrame([("/low.json", "@code", "none"), ("/low.json", "@user", "me")], "root string, name string, value string")
+    env = compile_environments(modules, roots, defaults=defaults)
+    assert rows(env.config, "name", "value") == [("depth", "3"), ("verbose", "false")]
+    assert rows(env.params, "name", "value") == [("@code", "none"), ("@user", "me")]
+    got = settle(env, "http://root")
+    assert ("host", "name:h1", "group", "Default") in rows(got.props, "kind", "entity", "prop", "value")
+    assert ("database", "id:docs", "uri-lexicon", "true") in rows(got.props, "kind", "entity", "prop", "value")
+    assert rows(got.indexes.filter("prop = 'collation'"), "kind", "value") == [("attribute-index", ""), ("element-index", ""), ("element-index", "http://root")]
+    assert rows(got.references, "of", "name", "slot", "target") == [
+        ("database", "docs", "schema", "types"), ("database", "safe", "security", "safe"), ("database", "types", "security", "safe"),
+        ("server", "web", "content", "docs"), ("server", "web", "modules", "types"),
+    ]
+    assert rows(got.levels, "name", "level") == [("docs", 2), ("lost", 0), ("safe", 0), ("types", 1)]
+    assert {(r.kind, r.prop, r.rule) for r in got.issue.collect()} == {
+        ("database", "lexicons.odd", "unknown-property"), ("server", "port", "not-integer"), ("element-index", "scalar-type", "missing-mandatory"),
+        ("reference", "reference", "unresolved"),
+    }
+
+
 def test_bad_modules_are_reported(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"top": {"format": "0.1",\n "code": "x"}}')
     (tmp_path / "b.json").write_text('{"top": {"format": "0.2"}}')
