@@ -12,7 +12,6 @@ next to it that agree with the chunks next to its first place, and goes if it ha
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
@@ -36,8 +35,6 @@ MIN_WORDS = 32
 # Bits of the filter that says which hashes may be repeated. It is of this size whatever the table's; a fuller one lets
 # more chunks through to the exact comparison, and loses none.
 FILTER_BITS = 1 << 27
-# Every separator is one character: a space after the end of a sentence, or a line break.
-_CUT = re.compile(r"(?<=[.!?]) |\n")
 _MIX, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.full(LONGEST, _PLACE, np.uint64))
@@ -57,11 +54,16 @@ class Chunks(NamedTuple):
         return self.starts[at], self.stops[at], self.hashes[at]
 
 
+def logical_lines(text: str) -> list[str]:
+    """The text cut at line breaks and at the first space after each sentence; every separator is one character."""
+    return text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
+
+
 def chunk_all(texts: list[str]) -> Chunks:
     """Cut all texts, each for itself; a text has one chunk at least."""
     lines, owner_sizes = [], []
     for text in texts:
-        found = _CUT.split(text)
+        found = logical_lines(text)
         lines += found
         owner_sizes.append(len(found))
     n = len(lines)
@@ -98,7 +100,7 @@ def chunk_all(texts: list[str]) -> Chunks:
         first = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
         parts = np.diff(np.append(first, n))
         if parts.max() > LONGEST:
-            first = np.concatenate([np.arange(a, a + c, LONGEST) for a, c in zip(first.tolist(), parts.tolist())])
+            first = np.flatnonzero((np.arange(n) - np.repeat(first, parts)) % LONGEST == 0)
             parts = np.diff(np.append(first, n))
         within = np.arange(n) - np.repeat(first, parts)
         made = np.add.reduceat(hashes * _POWERS[within], first)
@@ -111,7 +113,7 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return chunk_all([text]).of(0)
 
 
-def neighbour(starts: np.ndarray, stops: np.ndarray, k: int, side: int) -> slice:
+def neighbour(starts: list[int], stops: list[int], k: int, side: int) -> slice:
     """Where the `NEXT` chunks before (-1) or after (1) chunk `k` stand; short ones in between do not count."""
     far = at = k + side
     long = 0
@@ -120,7 +122,7 @@ def neighbour(starts: np.ndarray, stops: np.ndarray, k: int, side: int) -> slice
         far, at = at, at + side
     if not 0 <= far < len(starts):
         return slice(0, 0)
-    return slice(int(starts[far]), int(stops[k - 1])) if side < 0 else slice(int(starts[k + 1]), int(stops[far]))
+    return slice(starts[far], stops[k - 1]) if side < 0 else slice(starts[k + 1], stops[far])
 
 
 def _probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,12 +194,12 @@ def _passing(df: DataFrame, column: str, allowed: np.ndarray) -> DataFrame:
 
 
 def candidates(df: DataFrame, id_column: str, text: str, allowed: np.ndarray) -> DataFrame:
-    """Chunks that may be repeated: the document's key, the chunk's number `n`, its hash and bytes, and the chunks
+    """Chunks that may be repeated: the document's key, the chunk's number `n` and start, its hash and bytes, and the chunks
     `before` and `after` it, where the one next to it is none that may be repeated and so has no row of its own."""
     source = _keyed(df, id_column, text)
     shared = df.sparkSession.sparkContext.broadcast(allowed)
     schema = T.StructType(
-        [*source.schema.fields[:2], T.StructField("n", T.IntegerType()), T.StructField("hash", T.LongType())]
+        [*source.schema.fields[:2], T.StructField("n", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("hash", T.LongType())]
         + [T.StructField(c, T.StringType()) for c in ("chunk", "before", "after")]
     )
 
@@ -205,26 +207,27 @@ def candidates(df: DataFrame, id_column: str, text: str, allowed: np.ndarray) ->
         bits = shared.value
         for batch in batches:
             for piece in pieces(batch, 2):
-                rows, n, hashes, parts, before, after = [], [], [], [], [], []
+                rows, n, at, hashes, parts, before, after = [], [], [], [], [], [], []
                 texts = piece.column(2).to_pylist()
                 cut_up = chunk_all(texts)
                 all_may = passes(bits, cut_up.hashes) & (cut_up.stops - cut_up.starts >= SHORTEST)
                 owners = np.repeat(np.arange(len(texts)), np.diff(cut_up.bounds))
                 for r in np.unique(owners[all_may]).tolist():
                     value = texts[r]
-                    starts, stops, made = cut_up.of(r)
+                    starts, stops, made = (x.tolist() for x in cut_up.of(r))
                     may = all_may[cut_up.bounds[r] : cut_up.bounds[r + 1]]
-                    for k in np.flatnonzero(may).tolist():
-                        a, b = int(starts[k]), int(stops[k])
+                    chosen, may = np.flatnonzero(may).tolist(), may.tolist()
+                    for k in chosen:
                         rows.append(r)
                         n.append(k)
+                        at.append(starts[k])
                         hashes.append(made[k])
-                        parts.append(value[a:b])
+                        parts.append(value[starts[k] : stops[k]])
                         before.append(None if k and may[k - 1] else value[neighbour(starts, stops, k, -1)])
                         after.append(None if k + 1 < len(may) and may[k + 1] else value[neighbour(starts, stops, k, 1)])
                 taken = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(taken), piece.column(1).take(taken), pa.array(n, pa.int32()),
+                    [piece.column(0).take(taken), piece.column(1).take(taken), pa.array(n, pa.int32()), pa.array(at, pa.int32()),
                      pa.array(np.array(hashes, np.uint64).view(np.int64)), *(pa.array(x, pa.string()) for x in (parts, before, after))],
                     names=schema.fieldNames(),
                 )
@@ -233,8 +236,8 @@ def candidates(df: DataFrame, id_column: str, text: str, allowed: np.ndarray) ->
 
 
 def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document that has chunks which occur earlier: its key (`id`, `text_hash`) and `repeats`, with the number
-    of each and, at the ends of a run of them, the chunks next to its first place.
+    """Per document that has chunks which occur earlier: its key (`id`, `text_hash`) and `repeats`, with the start and
+    end of each and, at the ends of a run of them, the chunks next to its first place.
 
     Occurrences are in the order of id (null first), hash of the text and place; the first is not returned.
     """
@@ -258,14 +261,15 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     # Written, and with one row per chunk: adaptive execution splits a chunk that many documents share.
     firsts = cut(firsts, "line-firsts")
     same = (F.col("hash") == F.col("f_hash")) & (F.col("second") == F.col("f_second"))
-    again = found.select(*key, "n", "hash", F.xxhash64("chunk").alias("second")).join(firsts, same).filter(place != F.col("first"))
+    span = [F.col("start"), (F.col("start") + F.char_length("chunk")).alias("stop")]
+    again = found.select(*key, "n", *span, "hash", F.xxhash64("chunk").alias("second")).join(firsts, same).filter(place != F.col("first"))
     # Windows within one document's chunks.
     in_turn = Window.partitionBy(*key).orderBy("n")
     lag = lambda c, k=1: F.lag(c, k).over(in_turn)
     lead = lambda c, k=1: F.lead(c, k).over(in_turn)
     begins, ends = lag("n"), lead("n")
     again = cut(
-        again.select(*key, "n", "first", (begins.isNull() | (begins != F.col("n") - 1)).alias("begins"), (ends.isNull() | (ends != F.col("n") + 1)).alias("ends")),
+        again.select(*key, "start", "stop", "first", (begins.isNull() | (begins != F.col("n") - 1)).alias("begins"), (ends.isNull() | (ends != F.col("n") + 1)).alias("ends")),
         "line-again",
     )
     # What stands next to those first places that a run ends at: only they and their neighbours are brought together.
@@ -279,10 +283,10 @@ def repeated(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     )
     outer = again.filter("begins OR ends").join(around, F.col("first") == F.col("place"))
     none = F.lit(None).cast("string")
-    marks = outer.select(*key, "n", F.when(F.col("begins"), F.col("before")).alias("before"), F.when(F.col("ends"), F.col("after")).alias("after"))
-    inner = again.filter("NOT (begins OR ends)").select(*key, "n", none.alias("before"), none.alias("after"))
+    marks = outer.select(*key, "start", "stop", F.when(F.col("begins"), F.col("before")).alias("before"), F.when(F.col("ends"), F.col("after")).alias("after"))
+    inner = again.filter("NOT (begins OR ends)").select(*key, "start", "stop", none.alias("before"), none.alias("after"))
     # No more marks than the document has chunks.
-    return marks.unionByName(inner).groupBy(*key).agg(F.collect_list(F.struct("n", "before", "after")).alias("repeats"))
+    return marks.unionByName(inner).groupBy(*key).agg(F.collect_list(F.struct("start", "stop", "before", "after")).alias("repeats"))
 
 
 def _alike(a: str, b: str) -> bool:
@@ -315,12 +319,13 @@ def _agree_after(text: str, start: int, context: str) -> int:
     return at + n if n > 0 else start
 
 
-def strip_runs(text: str, repeats: list[tuple[int, str | None, str | None]], min_words: int = MIN_WORDS) -> tuple[str, int]:
-    """The text without those runs of repeated chunks that have enough words, and the number of runs removed."""
-    starts, stops, _ = chunks(text)
+def strip_runs(text: str, repeats: list[tuple[int, int, str | None, str | None]], min_words: int = MIN_WORDS) -> tuple[str, int]:
+    """The text without those runs of repeated chunks that have enough words, and the number of runs removed.
+
+    `repeats`: start and end of each repeated chunk, and what stands next to its first place.
+    """
     spans: list[list[int]] = []
-    for n, before, after in sorted(repeats, key=lambda r: r[0]):
-        a, b = int(starts[n]), int(stops[n])
+    for a, b, before, after in sorted(repeats, key=lambda r: r[0]):
         if before:
             a = _agree_before(text, a, before)
         if after:
@@ -369,7 +374,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text", mi
         for batch in batches:
             for piece in pieces(batch, at):
                 made = [
-                    (t, 0) if not r or t is None else strip_runs(t, [(m["n"], m["before"], m["after"]) for m in r], min_words)
+                    (t, 0) if not r or t is None else strip_runs(t, [(m["start"], m["stop"], m["before"], m["after"]) for m in r], min_words)
                     for t, r in zip(piece.column(at).to_pylist(), piece.column(last).to_pylist())
                 ]
                 columns = list(piece.columns[:last])

@@ -446,7 +446,7 @@ def _slow_dedup(pairs):
     seen, order, marks = {}, sorted(set(pairs), key=lambda p: (p[0] is not None, p[0] or 0)), defaultdict(list)
     for i, t in order:
         text = t or ""
-        starts, stops, _ = line_dedup.chunks(text)
+        starts, stops = (x.tolist() for x in line_dedup.chunks(text)[:2])
         parts = [text[a:b] for a, b in zip(starts, stops)]
         for k, part in enumerate(parts):
             if len(part) >= line_dedup.SHORTEST:
@@ -456,7 +456,10 @@ def _slow_dedup(pairs):
                     seen[part] = text[line_dedup.neighbour(starts, stops, k, -1)], text[line_dedup.neighbour(starts, stops, k, 1)]
     for which, found in marks.items():
         at = {k for k, _, _ in found}
-        marks[which] = [(k, before if k - 1 not in at else None, after if k + 1 not in at else None) for k, before, after in found]
+        starts, stops, _ = line_dedup.chunks(which[1] or "")
+        marks[which] = [
+            (int(starts[k]), int(stops[k]), before if k - 1 not in at else None, after if k + 1 not in at else None) for k, before, after in found
+        ]
     return Counter((i, t if t is None else line_dedup.strip_runs(t, marks[i, t])[0]) for i, t in pairs)
 
 
@@ -476,6 +479,11 @@ def test_chunks_are_the_text(text):
     assert (starts[1:] == stops[:-1] + 1).all() and all(text[s] in " \n" for s in stops[:-1])
 
 
+@given(st.text(alphabet="ab. \n!?", max_size=60))
+def test_logical_lines_against_a_pattern(text):
+    assert line_dedup.logical_lines(text) == re.split(r"(?<=[.!?]) |\n", text)
+
+
 def test_long_texts_without_ends_are_cut_as_well():
     starts, stops, _ = line_dedup.chunks("\n" * 1000)
     assert len(starts) > 1000 // line_dedup.LONGEST - 1 and stops[-1] == 1000
