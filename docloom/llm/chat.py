@@ -28,8 +28,10 @@ OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 _IN_TEXT, _IN_ROLE = r"\\|(?=###)|(?=</turn>)", r"\\|(?=###)|(?=</turn>)|(?=:)"
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*+): ((?:[^\\<]|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
-# Turns that are assembled at a time, unless one conversation has more.
-BATCH_TURNS = 4096
+# Turns and bytes that are assembled at a time, unless one conversation has more.
+BATCH_TURNS, BATCH_BYTES = 4096, 32 << 20
+# A longer value is copied as a whole: its bytes need no indices of their own.
+LONG_VALUE = 1 << 16
 
 
 def escape(column, marks: str):
@@ -48,11 +50,14 @@ def scatter(segments: list[pa.Array], out: np.ndarray, offsets: list[np.ndarray]
         if not total:
             continue
         bounds = np.frombuffer(values.buffers()[1], np.int32 if pa.types.is_string(values.type) else np.int64)
-        begin = bounds[values.offset]
-        data = np.frombuffer(values.buffers()[2], np.uint8)[begin : begin + total]
-        # the i-th byte of a value goes i places after its offset
-        shift = np.repeat(at - (np.cumsum(sizes) - sizes), sizes)
-        out[shift + np.arange(total)] = data
+        begins = bounds[values.offset : values.offset + len(values)].astype(np.int64)
+        data = np.frombuffer(values.buffers()[2], np.uint8)
+        for i in np.flatnonzero(sizes > LONG_VALUE).tolist():
+            out[at[i] : at[i] + sizes[i]] = data[begins[i] : begins[i] + sizes[i]]
+        short = np.where(sizes > LONG_VALUE, 0, sizes)
+        # the i-th byte of a value goes from i places after its begin to i places after its offset
+        within = np.arange(int(short.sum())) - np.repeat(np.cumsum(short) - short, short)
+        out[np.repeat(at, short) + within] = data[np.repeat(begins, short) + within]
 
 
 def assemble(roles: pa.Array, texts: pa.Array, first_of: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -128,13 +133,14 @@ def format_chats(
         return pa.RecordBatch.from_arrays(made, names=schema.fieldNames())
 
     def run(batches):
-        held, turns = [], 0
+        held, turns, size = [], 0, 0
         for table in groups(batches, 1):
             held.append(table)
             turns += table.num_rows
-            if turns >= BATCH_TURNS:
+            size += table.nbytes
+            if turns >= BATCH_TURNS or size >= BATCH_BYTES:
                 yield emit(held)
-                held, turns = [], 0
+                held, turns, size = [], 0, 0
         if held:
             yield emit(held)
 

@@ -289,6 +289,17 @@ def test_template_is_reversible(turns):
         assert [chat.unescape(data[a:b].decode()) for a, b in zip(begins, ends)] == [t for _, t in turns]
 
 
+def test_long_and_short_values_are_put_alike(monkeypatch):
+    import pyarrow as pa
+
+    turns = [("user", "x" * n) for n in (0, 3, 9, 10, 11, 200, 1)]
+    made = []
+    for limit in (10, 1 << 16):
+        monkeypatch.setattr(chat, "LONG_VALUE", limit)
+        made.append(chat.assemble(pa.array([r for r, _ in turns]), pa.array([t for _, t in turns]), np.array([0, 2]))[0].to_pylist())
+    assert made[0] == made[1] and chat.parse_chat(made[0][0]) == turns[:2] and chat.parse_chat(made[0][1]) == turns[2:]
+
+
 def test_conversations(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [
