@@ -90,38 +90,38 @@ def flatten_imports(edges: DataFrame, roots: DataFrame) -> Checked:
         "imports",
     )
     start = F.array().cast("array<int>")
-    state = roots.select(
-        F.col("module").alias("root"), F.col("module").alias("node"),
-        start.alias("path_first"), start.alias("path_last"), F.lit(True).alias("improved"),
+    paths = ["path_first", "path_last"]
+    frontier = roots.select(
+        F.col("module").alias("root"), F.col("module").alias("node"), *[start.alias(p) for p in paths]
     ).distinct()
-    state = cut(state, "closure")
+    frontier = cut(frontier, "closure")
+    found = frontier
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("root", "node").agg(*[F.min(p).alias(p) for p in paths])
+
     while True:
-        reached = (
-            state.filter("improved")
-            .join(edges, F.col("node") == F.col("module"))
-            .select(
-                "root",
-                F.col("to").alias("node"),
-                F.array_append("path_first", F.col("pos")).alias("path_first"),
-                F.array_append("path_last", -F.col("last_pos")).alias("path_last"),
-                F.lit(False).alias("old"),
-            )
-        )
-        both = state.select("root", "node", "path_first", "path_last", F.lit(True).alias("old")).unionByName(reached)
-        best = both.groupBy("root", "node").agg(
-            F.min("path_first").alias("path_first"),
-            F.min("path_last").alias("path_last"),
-            F.min(F.when(F.col("old"), F.col("path_first"))).alias("__f"),
-            F.min(F.when(F.col("old"), F.col("path_last"))).alias("__l"),
+        reached = frontier.join(edges, F.col("node") == F.col("module")).select(
+            "root",
+            F.col("to").alias("node"),
+            F.array_append("path_first", F.col("pos")).alias("path_first"),
+            F.array_append("path_last", -F.col("last_pos")).alias("path_last"),
         )
-        improved = ~(F.col("path_first").eqNullSafe(F.col("__f")) & F.col("path_last").eqNullSafe(F.col("__l")))
-        state, seen = cut_observed(
-            best.select("root", "node", "path_first", "path_last", improved.alias("improved")),
+        known = best(found).select("root", "node", *[F.col(p).alias(f"__{p}") for p in paths])
+        joined = best(reached).join(known, ["root", "node"], "left")
+        better = F.lit(False)
+        for p in paths:
+            better = better | F.col(f"__{p}").isNull() | (F.col(p) < F.col(f"__{p}"))
+        # only what has improved is written, with the better of each path
+        frontier, seen = cut_observed(
+            joined.filter(better).select("root", "node", *[F.least(p, f"__{p}").alias(p) for p in paths]),
             "closure",
-            F.count_if(F.col("improved")).alias("n"),
+            F.count("*").alias("n"),
         )
         if not seen["n"]:
             break
+        found = found.unionByName(frontier)
+    state = cut(best(found), "closure")
     # An edge back to a module whose path leads to the importer closes a cycle.
     back = (
         state.select("root", F.col("node").alias("module"), F.col("path_first").alias("__from"))
