@@ -1,22 +1,22 @@
-"""Line dedup by content-defined chunks of lines.
-
-Texts are cut into logical lines: at line breaks, and within a long line after
-each sentence, so that a paragraph written as one line counts as several. A
-rolling hash over the hashes of `WINDOW` logical lines decides where a chunk
-ends, so the same passage is cut alike wherever it stands; a long line always
-ends a chunk on either side. Chunks that occur again anywhere are removed from
-all places but the first. A run of them takes in those whole words of the chunks
-next to it that agree with the chunks next to its first place, and goes if it has
-`MIN_WORDS` words. Chunks are compared by all of their bytes.
+"""Line dedup by content-defined chunks of words.
+
+Texts are cut into short runs of words: one begins where the hash of `WINDOW`
+words is less than those of the `REACH` places on either side, so the same
+passage is cut alike wherever it stands, in whatever sentence or line. A long
+line always ends a chunk on either side, and is cut for itself. Chunks that
+occur again anywhere are removed from all places but the first. A run of them
+takes in those whole words of the chunks next to it that agree with the chunks
+next to its first place, and goes if it has `MIN_WORDS` words. Chunks are
+compared by all of their bytes.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from docloom.llm.batches import free, name, pieces
 from docloom.storage import cut
 
-# A chunk ends where the mixed hash of `WINDOW` logical lines is no multiple of `RARE`, after `LONGEST` at the latest.
-WINDOW, RARE, LONGEST = 2, 4, 8
+# A chunk begins where the mixed hash of `WINDOW` words is the least of `REACH` places on either side, so it has over `REACH`
+# words; one of over `LONGEST` words (as the same few words over and over) is cut after so many, or fewer by less than `REACH`.
+WINDOW, REACH, LONGEST = 2, 4, 24
 # A line of so many characters begins and ends a chunk; a shorter chunk is not looked for by itself.
 LONG_LINE, SHORTEST = 96, 24
 # Chunks next to a run that are compared: its first may have come out otherwise, as its window reaches over the run's start.
@@ -36,8 +37,10 @@ MIN_WORDS = 32
 # more chunks through to the exact comparison, and loses none.
 FILTER_BITS = 1 << 27
 _MIX, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-with np.errstate(over="ignore"):
-    _POWERS = np.cumprod(np.full(LONGEST, _PLACE, np.uint64))
+_UNPLACE = np.uint64(pow(int(_PLACE), -1, 1 << 64))
+_BYTES = np.random.default_rng(9).integers(1, 1 << 64, 256, np.uint64)
+# Bytes that are cut at a time; a longer text by itself.
+BLOCK_BYTES = 1 << 18
 
 
 class Chunks(NamedTuple):
@@ -61,51 +64,86 @@ def logical_lines(text: str) -> list[str]:
 
 def chunk_all(texts: list[str]) -> Chunks:
     """Cut all texts, each for itself; a text has one chunk at least."""
-    lines, owner_sizes = [], []
-    for text in texts:
-        found = logical_lines(text)
-        lines += found
-        owner_sizes.append(len(found))
-    n = len(lines)
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, lines)), ">u8").astype(np.uint64)
-    sizes = np.fromiter(map(len, lines), np.int64, n)
-    counts = np.array(owner_sizes, np.int64)
-    last = np.cumsum(counts) - 1  # of each text, its last logical line
-    head = last - counts + 1
-    # places within all texts, one after the other with a separator between
-    stops = np.cumsum(sizes + 1) - 1
-    starts = stops - sizes
-    base = np.repeat(starts[head], counts)
-    breaks = np.zeros(n, bool)
-    for i, text in enumerate(texts):
-        if "\n" in text:
-            own = stops[head[i] : last[i]] - starts[head[i]]
-            breaks[head[i] : last[i]] = [text[s] == "\n" for s in own.tolist()]
-    breaks[last] = True
+    coded = [text.encode() for text in texts]
+    made, block, held = [], [], 0
+    for data in coded:
+        if block and held + len(data) > BLOCK_BYTES:
+            made.append(_chunk_block(block))
+            block, held = [], 0
+        block.append(data)
+        held += len(data) + 1
+    if block:
+        made.append(_chunk_block(block))
+    if not made:
+        return Chunks(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    counts = np.concatenate([np.diff(m.bounds) for m in made])
+    return Chunks(np.concatenate(([0], np.cumsum(counts))), *(np.concatenate([m[k] for m in made]) for k in (1, 2, 3)))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        # the rolling hash: a sum over the window, from running totals; a window stays within its text
-        totals = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))
-        rolling = totals[WINDOW:] - totals[:-WINDOW]
-        ends = np.zeros(n, bool)
-        ends[WINDOW - 1 :] = (rolling * _MIX >> np.uint64(40)) % np.uint64(RARE) != 0
-        for k in range(WINDOW - 1):
-            ends[head[counts > k] + k] = False
-        # a long line begins and ends a chunk
-        first = np.concatenate(([0], np.flatnonzero(breaks)[:-1] + 1))
-        end = np.flatnonzero(breaks)
-        long = stops[end] - starts[first] >= LONG_LINE
-        ends[end[long]] = True
-        ends[first[1:][long[1:]] - 1] = True
-        ends[last] = True
-        first = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
-        parts = np.diff(np.append(first, n))
-        if parts.max() > LONGEST:
-            first = np.flatnonzero((np.arange(n) - np.repeat(first, parts)) % LONGEST == 0)
-            parts = np.diff(np.append(first, n))
-        within = np.arange(n) - np.repeat(first, parts)
-        made = np.add.reduceat(hashes * _POWERS[within], first)
+        return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, p, np.uint64))), dtype=np.uint64) for p in (_PLACE, _UNPLACE))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(29))) * _MIX
+        return h ^ (h >> np.uint64(32))
+
+
+def _chunk_block(coded: list[bytes]) -> Chunks:
+    data = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
+    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+    up, down = _powers(max(BLOCK_BYTES + 1, 1 << (len(data) - 1).bit_length()))
+    stops = np.flatnonzero((data == 32) | (data == 10))  # of the words, in bytes
+    starts = np.concatenate(([0], stops[:-1] + 1))
+    n = len(stops)
+    with np.errstate(over="ignore"):
+        # hashes of any bytes from running totals
+        totals = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64)))
+        words = _mixed((totals[stops] - totals[starts]) * down[starts])
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before a byte
+    last = np.searchsorted(stops, np.cumsum(lengths + 1) - 1)  # of each text, its last word
+    head = np.concatenate(([0], last[:-1] + 1))
+    # a long line begins and ends a chunk, and so does a text
+    line_end = np.flatnonzero(data[stops] == 10)
+    line = np.concatenate(([0], line_end[:-1] + 1))
+    long = chars[stops[line_end]] - chars[starts[line]] >= LONG_LINE
+    begins = np.zeros(n + 1, bool)
+    begins[line[long]] = begins[line_end[long] + 1] = True
+    begins[head] = begins[n] = True
+    # least hashes around each place; none is chosen within `REACH` of where a line or text is cut anyway
+    part = np.cumsum(begins[:n])
+    at = np.arange(n) + REACH * part
+    with np.errstate(over="ignore"):
+        rolling = words.copy()
+        for k in range(1, min(WINDOW, n)):
+            rolling[:-k] += np.where(part[k:] == part[:-k], words[k:], np.uint64(0)) * _PLACE ** np.uint64(k)
+    rolling = _mixed(rolling)
+    padded = np.zeros(n + REACH * (int(part[-1]) + 1), np.uint64)
+    padded[at] = rolling
+    least = np.ones(len(padded) - 2 * REACH, bool)
+    middle = padded[REACH : len(padded) - REACH]
+    for k in range(1, REACH + 1):
+        least &= middle < padded[REACH + k : len(padded) - REACH + k]
+        least &= middle <= padded[REACH - k : len(padded) - REACH - k]
+    begins[:n] |= least[at - REACH]
+    first = np.flatnonzero(begins[:n])
+    parts = np.diff(np.append(first, n))
+    if parts.max() > LONGEST:
+        # after the least of the last places, so that pieces of a few words over and over begin with the same of them
+        for begin, end in zip(first[parts > LONGEST].tolist(), (first + parts)[parts > LONGEST].tolist()):
+            while end - begin > LONGEST:
+                begin += LONGEST - int(np.argmin(rolling[begin + LONGEST : begin + LONGEST - REACH : -1]))
+                begins[begin] = True
+        first = np.flatnonzero(begins[:n])
+    begin, end = starts[first], stops[np.append(first[1:], n) - 1]
+    with np.errstate(over="ignore"):
+        hashes = _mixed((totals[end] - totals[begin]) * down[begin])
     bounds = np.append(np.searchsorted(first, head), len(first))
-    return Chunks(bounds, starts[first] - base[first], stops[first + parts - 1] - base[first], made)
+    base = np.repeat(chars[starts[head]], np.diff(bounds))
+    return Chunks(bounds, chars[begin] - base, chars[end] - base, hashes)
 
 
 def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -527,6 +527,25 @@ def test_repeated_passages_go_from_all_but_the_first(spark, documents, odd_texts
     assert line_dedup.dedup_lines(documents([])).count() == 0
 
 
+def test_all_shared_runs_of_over_fifty_words_go(spark, documents):
+    """A plain search by words finds no run of over 50 words left that stands in an earlier text, wherever sentences end."""
+    rng = np.random.default_rng(11)
+    own = lambda n: [f"u{w}" + ". "[: int(rng.random() < 0.1)] for w in rng.integers(0, 1 << 60, n).tolist()]
+    passages = [own(51 + k % 9) for k in range(60)] + [["and"] * 51, ["to", "and", "fro"] * 17]
+    pairs = [(2 * k + side, " ".join(own(5 + k % 40) + p + own(7 + k % 23))) for k, p in enumerate(passages) for side in (0, 1)]
+    texts = [(r.doc_id, r.text.split()) for r in line_dedup.dedup_lines(documents(pairs)).collect()]
+    seen, left = set(), []
+    for i, words in sorted(texts):
+        runs = {tuple(words[k : k + 51]) for k in range(len(words) - 50)}
+        left += [i] * bool(runs & seen)
+        seen |= runs
+    assert left == []
+    # the words about them stay, and all of each first text
+    before = {i: t.split() for i, t in pairs}
+    assert all(words == before[i] for i, words in texts if i % 2 == 0)
+    assert all(not set(before[i]) - set(words) - set(passages[i // 2]) for i, words in texts)
+
+
 def test_a_full_filter_changes_nothing(spark, documents, monkeypatch):
     pairs = [(i, _prose(i % 5, 12) + f" own {i}") for i in range(20)]
     want = line_dedup.dedup_lines(documents(pairs)).collect()
