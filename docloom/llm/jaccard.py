@@ -1,0 +1,162 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose, exact sets decide.
+
+A band is a hash of `ROWS` least hashes; two sets of similarity s share one of
+`BANDS` with probability 1 - (1 - s ** ROWS) ** BANDS. Sets that hang together by
+bands are brought together once, in shards where they are many words, and there
+every pair that may reach the similarity is compared by all its shingles.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docloom.llm.batches import groups, map_texts, name
+from docloom.llm.simhash import _pairs, _root, classes, components, kept_rows
+from docloom.storage import cut
+
+# Near-duplicates share this much of their shingles of so many words.
+WORDS, SIMILAR = 5, 0.8
+# At a similarity of 0.8 three pairs in a million share no band.
+BANDS, ROWS = 24, 4
+# Shingles of one shard of a group, about.
+SHARD = 500_000
+_MIX, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_XOR, _TIMES = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+_TIMES |= np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(29))) * _MIX
+        return h ^ (h >> np.uint64(32))
+
+
+def _combined(parts) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        made = np.zeros(len(parts[0]), np.uint64)
+        for p in parts:
+            made = _mixed(made * _PLACE + p)
+        return made
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the different word shingles; words as for SimHash, fewer than a shingle has are one shingle."""
+    found = text.encode().lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, found)), ">u8").astype(np.uint64)
+    n = max(1, len(found) - words + 1)
+    return np.unique(_combined([hashes[k : k + n] for k in range(min(words, len(found)))]))
+
+
+def bands(of: np.ndarray) -> np.ndarray:
+    """The bands of a set of hashes; none of the empty one."""
+    if not len(of):
+        return of
+    with np.errstate(over="ignore"):
+        least = np.min([((of[k : k + 4096] ^ _XOR) * _TIMES).min(axis=1) for k in range(0, len(of), 4096)], axis=0)
+    least = least.reshape(BANDS, ROWS)
+    return _combined([np.arange(BANDS, dtype=np.uint64), *least.T])
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets reach the similarity."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both) - 1e-9
+
+
+def local_links(prints: list[int], sets: list[np.ndarray], searched: list[bool]) -> list[tuple[int, int]]:
+    """Links (print, least of its local group) of all similar sets; with some `searched`, of these to the others.
+
+    Of sorted sets that similar, the first fifth (and one) share a hash.
+    """
+    parent, index, two = list(range(len(sets))), {}, any(searched)
+    for place in sorted(range(len(sets)), key=lambda p: searched[p]):
+        own = sets[place]
+        first = own[: len(own) - int(np.ceil(SIMILAR * len(own) - 1e-9)) + 1].tolist()
+        for other in sorted({o for h in first for o in index.get(h, ())}):
+            a, b = _root(parent, place), _root(parent, other)
+            if a != b and min(len(own), len(sets[other])) >= SIMILAR * max(len(own), len(sets[other])) - 1e-9 and similar(own, sets[other]):
+                low, high = (a, b) if prints[a] < prints[b] else (b, a)
+                parent[high] = low
+        if not (two and searched[place]):
+            for h in first:
+                index.setdefault(h, []).append(place)
+    return [(prints[i], prints[r]) for i in range(len(sets)) if (r := _root(parent, i)) != i]
+
+
+def _sketched(texts: DataFrame, keep: list[str]) -> DataFrame:
+    fields = [T.StructField("fingerprint", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+
+    def setup():
+        def work(values):
+            sets = [shingles(v) for v in values]
+            prints = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            return [pa.array(prints), pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))]
+
+        return work
+
+    return map_texts(texts, "text", fields, setup, keep)
+
+
+def _with_sets(texts: DataFrame, keep: list[str]) -> DataFrame:
+    return map_texts(texts, "text", [T.StructField("set", T.BinaryType())], lambda: lambda values: [pa.array([shingles(v).tobytes() for v in values], pa.binary())], keep)
+
+
+def links(prints: DataFrame, texts: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Links (`a`, `b`) that join all similar sets that hang together by bands.
+
+    `prints` (written): `fingerprint`, `bands` and `text_hash` per row; `texts`: `text_hash` and `text`.
+    """
+    distinct = prints.groupBy("fingerprint").agg(F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"))
+    distinct = cut(distinct, "jaccard-distinct")
+    dealt = distinct.select(F.explode("bands").alias("band"), "fingerprint")
+    hubs = dealt.groupBy("band").agg(F.min("fingerprint").alias("hub"), F.max("fingerprint").alias("last")).filter("hub < last")
+    hubs = cut(hubs.select(F.col("band").alias("h_band"), "hub"), "jaccard-hubs")
+    star = dealt.join(hubs, F.col("band") == F.col("h_band")).filter("fingerprint != hub")
+    roots = components(star.select(F.col("fingerprint").alias("a"), F.col("hub").alias("b")).distinct())
+    members = distinct.join(roots, F.col("fingerprint") == F.col("v")).select("fingerprint", "root", F.col("text_hash").alias("m_hash"))
+    found = texts.join(cut(members, "jaccard-members"), F.col("text_hash") == F.col("m_hash")).select("fingerprint", "root", "text")
+    found = found.groupBy("fingerprint", "root").agg(F.first("text").alias("text"))
+    sets = cut(_with_sets(found, ["fingerprint", "root"]), "jaccard-sets")
+    sizes = sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("set")) / (8 * shard)).cast("int").alias("n"))
+    sizes = cut(sizes.select(F.col("root").alias("s_root"), F.greatest("n", F.lit(1)).alias("n")), "jaccard-sizes")
+    mine = F.pmod(F.xxhash64("fingerprint"), F.col("n")).cast("int")
+    to = F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda other: F.struct(F.least("mine", other).alias("tree"), F.greatest("mine", other).alias("side"), (F.col("mine") > other).alias("searched")),
+    )
+    by = ["root", "tree", "side"]
+    rows = sets.join(sizes, F.col("root") == F.col("s_root")).withColumn("mine", mine).withColumn("to", F.explode(to))
+    rows = rows.select("root", "to.tree", "to.side", "to.searched", "fingerprint", "set").repartition(*by).sortWithinPartitions(*by, "searched", "fingerprint")
+
+    def run(batches):
+        for table in groups(batches, len(by)):
+            if table.num_rows > 1:
+                values = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+                across = table.column("tree")[0] != table.column("side")[0]
+                made = local_links(
+                    np.asarray(table.column("fingerprint")).view(np.uint64).tolist(), values,
+                    table.column("searched").to_pylist() if across else [False] * len(values),
+                )
+                if made:
+                    yield _pairs(made)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df`, all columns, with one row of each group joined by similar pairs.
+
+    That with the least id stays (null ids last). Texts without words, null or not,
+    are one group. An empty table gives no rows.
+    """
+    slim = df.select(name(id_column).alias("id"), F.xxhash64(name(text)).alias("text_hash"), name(text).alias("text"))
+    prints = cut(_sketched(slim, ["id", "text_hash"]), "jaccard-prints")
+    found = classes(prints.drop("bands"), "id", linked=lambda _: links(prints, slim.select("text_hash", "text")))
+    return kept_rows(df, found, id_column, text)

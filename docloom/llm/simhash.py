@@ -12,6 +12,7 @@ are fingerprints at most, never all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -234,17 +235,20 @@ def components(pairs: DataFrame) -> DataFrame:
             return roots
 
 
-def classes(prints: DataFrame, id_column: str, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def classes(
+    prints: DataFrame, id_column: str, radius: int = RADIUS, blocks: int = BLOCKS, linked: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """`prints` (an id and `fingerprint` per row) with `component`, the least id reachable over links,
     and `root`, a fingerprint that names the component.
 
     Fingerprints are compared once each, however many rows have them. Null ids
     take part, but are never the least id, unless a component has no other: then
-    it is null. Pass written rows: they are read twice.
+    it is null. Pass written rows: they are read twice. `linked`, if given, makes
+    the links of different fingerprints in another way than `links`.
     """
     ident = name(id_column)
     distinct = cut(prints.groupBy("fingerprint").agg(F.min(ident).alias("least")), "simhash-distinct")
-    roots = components(links(distinct, radius, blocks))
+    roots = components(linked(distinct) if linked else links(distinct, radius, blocks))
     rooted = distinct.join(roots, distinct.fingerprint == roots.v, "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
@@ -289,11 +293,14 @@ def keep_one(
     That with the least id stays (null ids last); among rows of that id, one of
     them, repeated rows included. An empty table gives no rows.
     """
-    prints = _prints(df, id_column, text, words)
+    return kept_rows(df, classes(_prints(df, id_column, text, words), "id", radius, blocks), id_column, text)
+
+
+def kept_rows(df: DataFrame, found: DataFrame, id_column: str, text: str) -> DataFrame:
+    """The rows of `df` that stay, one per `root` of `found` (`id`, `text_hash` and `root` per row)."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     kept = (
-        classes(prints, "id", radius, blocks)
-        .groupBy("root")
+        found.groupBy("root")
         .agg(F.min(order).alias("kept"))
         .select(F.col("kept.id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"))
     )
