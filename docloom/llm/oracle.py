@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docloom.llm.decontaminate import MASKS, MIN_EQUAL, MIN_SHARE, MIN_WORDS
 from docloom.llm.secret_scan import RULES
+from docloom.llm.suffix_dedup import LEAST
 
 
 def _words(text: str) -> str:
@@ -80,3 +81,51 @@ SELECT doc_id, {", ".join(f"n_{r.kind}" for r in RULES)}, sha256(spans) AS base_
 
 
 SECRETS = _secrets()
+
+SUFFIX_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT n, doc_id, a, substr(h, 2 * a + 1, {2 * (LEAST + 99)}) AS s FROM (
+  SELECT n, doc_id, h, unnest(range(0, length(h) // 2 - {LEAST - 1}, 100)) AS a FROM d WHERE length(h) >= {2 * LEAST})),
+w AS MATERIALIZED (SELECT n, doc_id, a + q AS p, substr(s, 2 * q + 1, {2 * LEAST}) AS s FROM (
+  SELECT n, doc_id, a, s, unnest(range(0, least(100, length(s) // 2 - {LEAST - 1}))) AS q FROM b)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING max(doc_id) > min(doc_id)),
+g AS (SELECT n, p, coalesce(p > lag(p) OVER (PARTITION BY n ORDER BY p) + {LEAST}, true) AS new FROM w JOIN m USING (s) WHERE first < doc_id),
+i AS (SELECT n, p, sum(CAST(new AS INTEGER)) OVER (PARTITION BY n ORDER BY p) AS turn FROM g),
+r AS (SELECT n, min(p) AS a, max(p) + {LEAST} AS b FROM i GROUP BY n, turn),
+k AS (SELECT n, a, b, coalesce(lag(b) OVER (PARTITION BY n ORDER BY a), 0) AS past FROM r),
+j AS (SELECT n, count(*) AS spans, CAST(sum(b - a) AS BIGINT) AS gone, max(b) AS last, string_agg(substr(h, 2 * past + 1, 2 * (a - past)), '' ORDER BY a) AS kept
+  FROM k JOIN d USING (n) GROUP BY n)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN j USING (n)
+"""
+
+FILTER_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+m AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS fails
+  FROM w LEFT JOIN m USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x)
+  JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+  CAST(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65))) AS BIGINT) AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)),
+e AS (SELECT part, filter_order, step, bit,
+  sum(CASE WHEN fails & (bit | coalesce(before, 0)) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN fails & bit <> 0 AND fails & coalesce(before, 0) = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN fails & bit <> 0 AND fails & coalesce(before, 0) <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN fails & bit <> 0 AND fails & coalesce(before, 0) = 0 THEN n_good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN fails & bit <> 0 AND fails & coalesce(before, 0) = 0 THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM e
+"""

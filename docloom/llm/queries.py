@@ -13,6 +13,7 @@ from docloom.llm import (
     bpe,
     chat,
     decontaminate,
+    filter_audit,
     labels,
     line_dedup,
     oracle,
@@ -20,7 +21,9 @@ from docloom.llm import (
     resharding,
     secret_scan,
     simhash,
+    suffix_dedup,
     toxicity,
+    whitening,
     winnowing,
 )
 
@@ -29,6 +32,8 @@ SQL: dict[str, str] = {
     "op5_decontamination": oracle.DECONTAMINATION,
     "op6_chat": oracle.CHAT,
     "op8_secrets": oracle.SECRETS,
+    "op12_suffix_dedup": oracle.SUFFIX_DEDUP,
+    "op13_filter_audit": oracle.FILTER_AUDIT,
 }
 
 OLD_SHARDS, NEW_SHARDS, SHARD_BLOCKS = 6, 8, 4096
@@ -131,3 +136,27 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", apart.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
         F.size("passages").alias("n_passages"),
     )
+
+
+@_query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per embedding and component, from the first on."""
+    white = whitening.whiten(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "of")
+    return white.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error"
+    )
+
+
+@_query
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    clean = suffix_dedup.dedup_substrings(_table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
+    return clean.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@_query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
