@@ -25,10 +25,11 @@ def remainder(id_column: Column, of: int) -> Column:
 def labelled_texts(
     docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, allowed: Column, bound: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """Written rows (`id`, `text`, `label` 0 or 1) of at most `bound` documents with an `allowed` label.
+    """Written rows (`id`, `text`, `label` 0 or 1): at most `bound`, of documents with an `allowed` label.
 
-    Several labels of one id count by their mean, at least a half being 1. The
-    sample is bounded, so it may be broadcast to the documents.
+    Several labels of one id count by their mean, at least a half being 1; of several
+    rows of one id, the one whose text has the least hash. The sample is bounded, so it may be broadcast to the
+    documents. Null ids and null labels are left out, null texts are empty.
     """
     ident = name(id_column).cast("long")
     known = labels.filter(allowed & name(label).isNotNull() & ident.isNotNull())
@@ -36,7 +37,11 @@ def labelled_texts(
     rows = mean.select("s_id", (F.col("mean") >= 0.5).cast("int").alias("label"))
     chosen = cut(rows.orderBy(F.xxhash64("s_id"), "s_id").limit(bound), "labels")
     texts = docs.select(ident.alias("id"), F.coalesce(name(text).cast("string"), F.lit("")).alias("text"))
-    return cut(texts.join(F.broadcast(chosen), F.col("id") == F.col("s_id")).select("id", "text", "label"), "labelled")
+    of = texts.join(F.broadcast(chosen), F.col("id") == F.col("s_id")).withColumn("hash", F.xxhash64("text"))
+    # combined on the map side: an id that many rows have sends one hash per task
+    one = cut(of.groupBy("id").agg(F.min("hash").alias("hash")), "labelled").withColumnRenamed("id", "o_id").withColumnRenamed("hash", "o_hash")
+    first = of.join(F.broadcast(one), (F.col("id") == F.col("o_id")) & (F.col("hash") == F.col("o_hash")))
+    return cut(first.groupBy("id", "label", "hash").agg(F.first("text").alias("text")).select("id", "text", "label"), "labelled")
 
 
 class Words(dict):

@@ -1,6 +1,8 @@
-"""Line dedup by content-defined chunks of words.
+"""Line dedup by content-defined chunks.
 
-Texts are cut into short runs of words: one begins where the hash of `WINDOW`
+The logical line is a word: passages begin and end inside lines and sentences, so that hashes of
+whole lines would meet too few of them. Rolling hashes over word hashes choose the
+boundaries, and chunks are runs of words, in one line or over several. One begins where the hash of `WINDOW`
 words is less than those of the `REACH` places on either side, so the same
 passage is cut alike wherever it stands, in whatever sentence or line. A long
 line always ends a chunk on either side, and is cut for itself. Chunks that
@@ -12,6 +14,7 @@ compared by all of their bytes.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.batches import free, name, pieces
-from docloom.storage import cut
+from docloom.storage import cut, cut_observed
 
 # A chunk begins where the mixed hash of `WINDOW` words is the least of `REACH` places on either side, so it has over `REACH`
 # words; one of over `LONGEST` words (as the same few words over and over) is cut after so many, or fewer by less than `REACH`.
@@ -31,8 +34,10 @@ WINDOW, REACH, LONGEST = 2, 4, 24
 LONG_LINE, SHORTEST = 96, 24
 # Chunks next to a run that are compared: its first may have come out otherwise, as its window reaches over the run's start.
 NEXT = 2
-# A run of repeated chunks goes if it has so many words: a common heading or notice stays.
+# A run of repeated chunks goes if it has so many words: a common heading or notice stays. Of scripts that have no spaces
+# between words, two characters count as one word.
 MIN_WORDS = 32
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 # Bits of the filter that says which hashes may be repeated. It is of this size whatever the table's; a fuller one lets
 # more chunks through to the exact comparison, and loses none.
 FILTER_BITS = 1 << 27
@@ -57,11 +62,6 @@ class Chunks(NamedTuple):
         return self.starts[at], self.stops[at], self.hashes[at]
 
 
-def logical_lines(text: str) -> list[str]:
-    """The text cut at line breaks and at the first space after each sentence; every separator is one character."""
-    return text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
-
-
 def chunk_all(texts: list[str]) -> Chunks:
     """Cut all texts, each for itself; a text has one chunk at least."""
     coded = [text.encode() for text in texts]
@@ -96,7 +96,7 @@ def _chunk_block(coded: list[bytes]) -> Chunks:
     data = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
     lengths = np.fromiter(map(len, coded), np.int64, len(coded))
     up, down = _powers(max(BLOCK_BYTES + 1, 1 << (len(data) - 1).bit_length()))
-    stops = np.flatnonzero((data == 32) | (data == 10))  # of the words, in bytes
+    stops = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))  # of the words, in bytes: any white space of ASCII
     starts = np.concatenate(([0], stops[:-1] + 1))
     n = len(stops)
     with np.errstate(over="ignore"):
@@ -171,11 +171,19 @@ def _probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    return df.select(
-        name(id_column).cast("long").alias("id"),
-        F.xxhash64(name(text)).alias("text_hash"),
-        F.coalesce(name(text).cast("string"), F.lit("")).alias("text"),
+    """Each document (`id`, `text_hash`, `text`) once, however many rows it has."""
+    ident, text_hash = name(id_column).cast("long").alias("id"), F.xxhash64(name(text)).alias("text_hash")
+    again, seen = cut_observed(
+        df.select(ident, text_hash).groupBy("id", "text_hash").count().filter("count > 1"), "line-rows", F.count(F.lit(1)).alias("n")
     )
+    rows = df.select(ident, text_hash, F.coalesce(name(text).cast("string"), F.lit("")).alias("text"))
+    if not seen["n"]:
+        return rows
+    # only texts of repeated rows are moved, and one of each per task
+    known = again.select(F.col("id").alias("a_id"), F.col("text_hash").alias("a_hash"))
+    same = F.col("id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash"))
+    first = rows.join(known, same, "left_semi").groupBy("id", "text_hash").agg(F.first("text").alias("text"))
+    return rows.join(known, same, "left_anti").unionByName(first)
 
 
 def fixed_filter(hashes: DataFrame) -> np.ndarray:
@@ -357,6 +365,10 @@ def _agree_after(text: str, start: int, context: str) -> int:
     return at + n if n > 0 else start
 
 
+def count_words(text: str) -> int:
+    return len(text.split()) + (0 if text.isascii() else len(_UNSPACED.findall(text)) // 2)
+
+
 def strip_runs(text: str, repeats: list[tuple[int, int, str | None, str | None]], min_words: int = MIN_WORDS) -> tuple[str, int]:
     """The text without those runs of repeated chunks that have enough words, and the number of runs removed.
 
@@ -373,7 +385,7 @@ def strip_runs(text: str, repeats: list[tuple[int, int, str | None, str | None]]
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
-    gone = [(a, b) for a, b in spans if len(text[a:b].split()) >= min_words]
+    gone = [(a, b) for a, b in spans if count_words(text[a:b]) >= min_words]
     if not gone:
         return text, 0
     out, at = "", 0

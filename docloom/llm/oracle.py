@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm.decontaminate import MASKS, MIN_EQUAL, MIN_SHARE, MIN_WORDS
+from docloom.llm.decontaminate import WINDOW, needed
 from docloom.llm.secret_scan import RULES
 from docloom.llm.suffix_dedup import LEAST
 
@@ -11,30 +11,32 @@ def _words(text: str) -> str:
     return rf"list_filter(string_split_regex(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
 
-def _key(mask: str, number: int) -> str:
-    parts = ", ' ', ".join(f"w[p + {k + 1}]" for k, bit in enumerate(mask) if bit == "1")
-    return f"concat('{number} ', {parts})"
+def _run(length: int) -> int:
+    """Equal words without a gap that any overlap of a window of `length` words has: the replaced ones part it."""
+    equal, parts = needed(length), length - needed(length) + 1
+    return -(-equal // parts)
 
 
-_SPAN = len(MASKS[0])
-_KEYS = "[" + ", ".join(_key(m, n) for n, m in enumerate(MASKS)) + "]"
+# Overlaps without masks: places that share the shortest unbroken run, compared word by word. The empty words stand beside a document's own.
+_CASES = lambda f: "CASE l " + " ".join(f"WHEN {n} THEN {f(n)}" for n in range(1, WINDOW + 1)) + " END"
+_PAD = max(n - needed(n) for n in range(1, WINDOW + 1))
 
 DECONTAMINATION = f"""
-WITH d AS (SELECT DISTINCT doc_id, text, {_words("text")} AS w FROM documents),
+WITH d AS (SELECT DISTINCT doc_id, text, {_words("text")} AS own FROM documents),
+e AS (SELECT row_number() OVER () AS n, doc_id, text, list_concat(list_concat({["" for _ in range(_PAD)]}, own), {["" for _ in range(_PAD)]}) AS w FROM d),
 i AS (SELECT DISTINCT item_id, {_words("text")} AS w FROM benchmark),
-dp AS (SELECT doc_id, text, w, unnest(range(0, len(w) - {_SPAN - 1})) AS p FROM d WHERE len(w) >= {_SPAN}),
-ip AS (SELECT item_id, w, unnest(range(0, len(w) - {_SPAN - 1})) AS p FROM i WHERE len(w) >= {_SPAN}),
-dk AS (SELECT doc_id, text, p, unnest({_KEYS}) AS k FROM dp),
-ik AS (SELECT item_id, w, p, unnest({_KEYS}) AS k FROM ip),
-hits AS (SELECT DISTINCT doc_id, text, item_id, ik.w AS wanted, dk.p - ik.p AS start FROM dk JOIN ik USING (k)),
-e AS (SELECT hits.*, least(len(wanted), greatest({MIN_WORDS}, CAST(ceil(len(wanted) * {MIN_SHARE}) AS BIGINT))) AS n_words,
-  list_transform(range(0, len(wanted)), lambda q: CASE WHEN start + q >= 0 AND d.w[start + q + 1] = wanted[q + 1] THEN 1 ELSE 0 END) AS eq
-  FROM hits JOIN d ON d.doc_id IS NOT DISTINCT FROM hits.doc_id AND d.text IS NOT DISTINCT FROM hits.text),
-c AS (SELECT doc_id, text, item_id, n_words, start, eq, unnest(range(0, len(wanted) - n_words + 1)) AS s FROM e),
-v AS (SELECT doc_id, text, item_id, n_words, start + s AS begins, CAST(list_sum(eq[s + 1 : s + n_words]) AS BIGINT) AS n_equal FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY n_equal DESC, begins) AS turn
-  FROM v WHERE n_equal >= ceil(n_words * {MIN_EQUAL}))
-SELECT doc_id, item_id, CAST(greatest(begins, 0) AS INTEGER) AS start_word, CAST(n_words AS INTEGER) AS n_words, CAST(n_equal AS INTEGER) AS n_equal
+j AS (SELECT row_number() OVER () AS k, item_id, w, least(len(w), {WINDOW}) AS l FROM i WHERE len(w) > 0),
+t AS (SELECT k, item_id, w, l, {_CASES(_run)} AS g, {_CASES(needed)} AS needed FROM j),
+ig AS (SELECT k, g, p, array_to_string(w[p + 1 : p + g], ' ') AS run FROM (SELECT k, g, w, unnest(range(0, len(w) - g + 1)) AS p FROM t)),
+dg AS (SELECT n, g, p, array_to_string(w[p + 1 : p + g], ' ') AS run FROM (
+  SELECT n, w, g, unnest(range(0, greatest(0, len(w) - g + 1))) AS p FROM e, (SELECT DISTINCT g FROM t))),
+a AS (SELECT DISTINCT n, k, dg.p - ig.p AS shift FROM dg JOIN ig USING (g, run)),
+s AS (SELECT n, k, shift, unnest(range(0, len(w) - l + 1)) AS s FROM a JOIN t USING (k)),
+v AS (SELECT doc_id, text, item_id, l, needed, shift + s - {_PAD} AS at,
+  len(list_filter(range(1, l + 1), lambda q: shift + s + q >= 1 AND e.w[shift + s + q] = t.w[s + q])) AS equal
+  FROM s JOIN e USING (n) JOIN t USING (k) WHERE shift + s + l >= 1 AND shift + s < len(e.w)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY equal DESC, l DESC, greatest(at, 0)) AS turn FROM v WHERE equal >= needed)
+SELECT doc_id, item_id, CAST(greatest(at, 0) AS INTEGER) AS start_word, CAST(l AS INTEGER) AS n_words, CAST(equal AS INTEGER) AS n_equal
 FROM r WHERE turn = 1
 """
 

@@ -1,9 +1,11 @@
 """Resharding that moves the fewest bytes: a minimum-cost flow from old shards to new capacities.
 
-Rows are dealt into blocks by a hash; a block is the unit that moves. Block sizes
-(a bounded number of rows) go to the driver, which solves the flow between shards,
+Rows are dealt into blocks by a hash; a block is the unit that moves, and the unit that files
+hold. Block sizes (a bounded number of rows) go to the driver, which solves the flow between shards,
 picks the blocks that make up each transfer, and sends the plan back as one small
-table. Only files of shards that a transfer touches need to be written again.
+table. Only blocks that move are written again; the files of all others stay as they are.
+
+Rows without an old shard (null) have a supply of their own, from which every byte moves.
 """
 
 from __future__ import annotations
@@ -15,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.batches import name
+from docloom.llm.batches import free, name
 from docloom.storage import fresh_path
 
 # Blocks over all old shards: what the driver holds, whatever the table's size.
 BLOCKS = 1 << 15
+# The old shard of rows that have none.
+NOWHERE = -1
+# A group with over one part in so many of all bytes is dealt row by row.
+LARGE = 64
 
 
 class Plan(NamedTuple):
@@ -117,30 +123,45 @@ def _block(columns: list[Column], n: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
+def group_key(df: DataFrame, group: Column, size: Column, apart: Column) -> list[Column]:
+    """What deals rows such that those of a group stay together: the group's hash, and for a large group `apart`, too.
+
+    A group is large with over a `LARGE`th of all bytes, so there are less than `LARGE` of them.
+    """
+    of = F.xxhash64(group)
+    sizes = df.select(of.alias("of"), size.cast("long").alias("size")).groupBy("of").agg(F.sum("size").alias("size"))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    large = [r["of"] for r in sizes.filter(F.col("size") * LARGE > total).collect()]
+    return [of, F.when(of.isin(large), F.xxhash64(apart))] if large else [of]
+
+
 def plan(df: DataFrame, old: Column, size: Column, capacities: list[int] | int, by: list[Column], blocks: int = BLOCKS) -> Plan:
     """Plan transfers to `capacities` (bytes per new shard, or a number of equal ones).
 
-    `old` is each row's present shard (from 0), `size` its bytes, `by` what deals
-    it to a block. Reads only these columns; one row per block reaches the driver.
+    `old` is each row's present shard (from 0; null: none yet), `size` its bytes (null: 0), `by` what deals
+    it to a block. Reads only these columns; one row per block reaches the driver. An empty table moves nothing.
     """
-    measured = df.select(old.cast("int").alias("old"), _block(by, blocks).alias("block"), size.cast("long").alias("size"))
+    was = F.coalesce(old.cast("int"), F.lit(NOWHERE))
+    measured = df.select(was.alias("old"), _block(by, blocks).alias("block"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
     rows = measured.groupBy("old", "block").agg(F.sum("size").alias("size")).collect()
     sizes = {(r.old, r.block): r.size for r in rows}
-    n_old = 1 + max((k[0] for k in sizes), default=-1)
-    supply = [0] * n_old
+    n_old = 1 + max((k[0] for k in sizes), default=NOWHERE)
+    # the supply of rows without a shard comes last, and none of it stays
+    supply = [0] * (n_old + 1)
     for (i, _), s in sizes.items():
         supply[i] += s
     if isinstance(capacities, int):
         capacities = even_capacities(sum(supply), capacities)
-    flow = solve_flow(supply, capacities)
+    flow = solve_flow(supply, capacities, lambda i, j: int(i != j or i == n_old))
+    flow = {(NOWHERE if i == n_old else i, j): amount for (i, j), amount in flow.items()}
     return Plan(flow, choose_blocks(flow, sizes, len(capacities)), sizes)
 
 
 def assign(df: DataFrame, planned: Plan, old: Column, by: list[Column], blocks: int = BLOCKS, shard: str = "shard", was: str = "old_shard") -> DataFrame:
-    """Add each row's new `shard`, its old one as `was`, and its `block`.
+    """Add each row's new `shard`, its old one as `was` (null where it had none), and its `block`.
 
     The plan has at most `blocks` rows per old shard, so it may be broadcast. Any
-    columns of these names are replaced.
+    columns of these names are replaced; repeated rows each stay; an empty table gives no rows.
     """
     moves = sorted(planned.moves.items())
     table = df.sparkSession.createDataFrame(
@@ -152,61 +173,69 @@ def assign(df: DataFrame, planned: Plan, old: Column, by: list[Column], blocks:
             }
         )
     )
-    new = {shard, was, "block"}
-    kept = [c for c in df.columns if c not in new]
-    dealt = df.select(F.struct(*map(name, kept)).alias("row"), old.cast("int").alias("r_old"), _block(by, blocks).alias("r_block"))
+    new = {shard.lower(), was.lower(), "block"}
+    kept = [c for c in df.columns if c.lower() not in new]
+    own = F.coalesce(old.cast("int"), F.lit(NOWHERE))
+    dealt = df.select(F.struct(*map(name, kept)).alias("row"), own.alias("r_old"), _block(by, blocks).alias("r_block"))
     joined = dealt.join(F.broadcast(table), (F.col("r_old") == F.col("p_old")) & (F.col("r_block") == F.col("p_block")))
-    return joined.select("row.*", F.col("p_shard").alias(shard), F.col("r_old").alias(was), F.col("r_block").alias("block"))
+    before = F.when(F.col("r_old") != NOWHERE, F.col("r_old"))
+    return joined.select("row.*", F.col("p_shard").alias(shard), before.alias(was), F.col("r_block").alias("block"))
 
 
 def touched(planned: Plan) -> set[int]:
-    """Old shards whose files change, since a block leaves or comes."""
-    return {s for (i, _), j in planned.moves.items() if i != j for s in (i, j)}
+    """Shards that a block leaves or comes to."""
+    return {s for (i, _), j in planned.moves.items() if i != j for s in (i, j) if s != NOWHERE}
 
 
-def rewrite(assigned: DataFrame, planned: Plan, path: str | None = None, shard: str = "shard", was: str = "old_shard") -> str:
-    """Write the rows of affected shards below `path`, one folder per shard; returns the path.
+def moved_bytes(planned: Plan) -> int:
+    """Bytes of the blocks that move."""
+    return sum(planned.sizes[k] for k, j in planned.moves.items() if k[0] != j)
 
-    Rows of untouched shards stay in the files that they are in. No shuffle: each
+
+def _moves(shard: str, was: str) -> Column:
+    return ~F.col(shard).eqNullSafe(F.col(was))
+
+
+def rewrite(assigned: DataFrame, path: str | None = None, shard: str = "shard", was: str = "old_shard") -> str:
+    """Write the rows of blocks that move below `path`, one folder per new shard; returns the path.
+
+    Files are of whole blocks, so those of other blocks need not be touched. No shuffle: each
     task writes to every shard that its rows go to.
     """
     path = path or fresh_path(assigned.sparkSession, "resharded")
-    changed = sorted(touched(planned))
-    affected = assigned.filter(F.col(shard).isin(changed)) if changed else assigned.limit(0)
-    affected.drop(was).write.partitionBy(shard).parquet(path)
+    assigned.filter(_moves(shard, was)).drop(was).write.partitionBy(shard).parquet(path)
     return path
 
 
 def reshard(df: DataFrame, planned: Plan, old: Column, by: list[Column], blocks: int = BLOCKS, shard: str = "shard") -> DataFrame:
-    """Carry out a plan: write the affected shards' rows, and return all rows with `shard` and `block`.
+    """Carry out a plan: write the rows of blocks that move, and return all rows with `shard` and `block`.
 
-    Rows of affected shards are read from their new files, the others from where they are.
+    Rows that moved are read from their new files, the others from where they are. Columns named `shard`
+    or `block` are replaced; nulls, repeated rows and empty tables as in `assign`.
     """
-    spark = df.sparkSession
-    assigned = assign(df, planned, old, by, blocks, shard)
-    changed = sorted(touched(planned))
-    written = assigned.drop("old_shard")
-    path = rewrite(assigned, planned, shard=shard)
-    rows = spark.read.schema(written.schema).parquet(path)
-    if len(changed) == len({j for j in planned.moves.values()} | {i for i, _ in planned.moves}):
-        return rows
-    return rows.select(*written.columns).union(written.filter(~F.col(shard).isin(changed)))
+    was = free("old_shard", [*df.columns, shard])
+    assigned = assign(df, planned, old, by, blocks, shard, was)
+    written = assigned.drop(was)
+    if all(i == j for (i, _), j in planned.moves.items()):
+        return written
+    path = rewrite(assigned, shard=shard, was=was)
+    rows = df.sparkSession.read.schema(written.schema).parquet(path).select(*map(name, written.columns))
+    return rows.union(assigned.filter(~_moves(shard, was)).drop(was))
 
 
 def with_slots(df: DataFrame, shard: str = "shard", order: list[str] | None = None) -> DataFrame:
     """Add `slot`, gapless from 0 within each shard: block after block, within a block by `order`.
 
     Rows are numbered per block; the blocks' counts (a bounded number of rows) give
-    each its offset. No task sees a whole shard.
+    each its offset. No task sees a whole shard. A column named `slot` is replaced, others stay, whatever
+    their names; ties and repeated rows get slots of their own; an empty table gives no rows.
     """
-    block = [shard, "block"]
-    counts = df.groupBy(*block).count()
-    before = Window.partitionBy(shard).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    place = F.row_number().over(Window.partitionBy(*block).orderBy(*(order or [])))
-    return (
-        df.withColumn("place", place)
-        .join(F.broadcast(offsets), block)
-        .withColumn("slot", (F.col("offset") + F.col("place") - 1).cast("long"))
-        .drop("place", "offset")
-    )
+    kept = [c for c in df.columns if c.lower() != "slot"]
+    block = [name(shard).alias("o_shard"), name("block").alias("o_block")]
+    counts = df.select(*block).groupBy("o_shard", "o_block").count()
+    before = Window.partitionBy("o_shard").orderBy("o_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("o_shard", "o_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("o_offset"))
+    within = F.row_number().over(Window.partitionBy(name(shard), name("block")).orderBy(*map(name, order or [])))
+    rows = df.select(F.struct(*map(name, kept)).alias("row"), name(shard).alias("r_shard"), name("block").alias("r_block"), within.alias("r_place"))
+    same = (F.col("r_shard") == F.col("o_shard")) & (F.col("r_block") == F.col("o_block"))
+    return rows.join(F.broadcast(offsets), same).select("row.*", (F.col("o_offset") + F.col("r_place") - 1).cast("long").alias("slot"))

@@ -79,7 +79,7 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ..., then those of starts[1], and so on."""
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
@@ -93,27 +93,32 @@ def prefix_bounds(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, leas
     n = len(symbols)
     first = np.append(symbols[order], np.uint16(0xFFFF))
     before = symbols[order - 1]
-    step_left = rank[order - 1]
-    step_right = np.append(rank[(order + 1) % n], n)
+    # the row after that of the suffix one longer to the left; 0, which is a bound, where a separator stands there
+    left = (rank[order - 1] + 1).astype(np.int32)
+    left[before == 0] = 0
+    right = np.append(rank[(order + 1) % n], n).astype(np.int32)
     bound = np.zeros(n + 1, bool)
     bound[[0, n]] = True
     bound[1:n] = (first[1:n] != first[: n - 1]) | (first[: n - 1] == 0)
-    ends = np.flatnonzero(bound)[1:]
+    bounds = np.flatnonzero(bound).astype(np.int32)
+    ends, begins = bounds[1:], bounds[:-1]
     for _ in range(2, least + 1):
+        alone = ends - begins == 1
+        found = left[begins[alone]]
+        begins, ends = begins[~alone], ends[~alone]
+        if len(ends):
+            sizes = ends - begins
+            rows, end = _ranges(begins, sizes), np.repeat(ends, sizes)
+            after = left[rows]
+            # the last row of its symbol: the next one has another symbol, or comes from beyond the interval
+            last = (right[after] >= end) | (first[after] != before[rows])
+            found = np.concatenate((found, after[last]))
+        ends = np.sort(found[~bound[found]])
         if not len(ends):
             break
-        bounds = np.flatnonzero(bound)
-        begins = bounds[np.searchsorted(bounds, ends) - 1]
-        sizes = ends - begins
-        rows, end = _ranges(begins, sizes), np.repeat(ends, sizes)
-        symbol = before[rows]
-        kept = symbol > 0
-        rows, end, symbol = rows[kept], end[kept], symbol[kept]
-        after = step_left[rows] + 1
-        # the last row of its symbol: the next one has another symbol, or comes from beyond the interval
-        ends = after[(first[after] != symbol) | (step_right[after] >= end)]
-        ends = ends[~bound[ends]]
         bound[ends] = True
+        bounds = np.flatnonzero(bound).astype(np.int32)
+        begins = bounds[np.searchsorted(bounds, ends) - 1]
     return bound[:n]
 
 

@@ -114,6 +114,72 @@ def test_sample_is_bounded(spark, documents):
     assert labels.labelled_texts(docs, marks, "doc_id", "text", "quality", F.lit(True), 10).count() == 10
 
 
+def test_sample_has_one_row_per_id(spark, documents):
+    docs = documents([(1, f"text {k % 300}") for k in range(1000)] + [(2, "two"), (2, "two"), (3, "three"), (None, "none")])
+    marks = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    every = labels.labelled_texts(docs, marks, "doc_id", "text", "quality", F.lit(True)).collect()
+    assert sorted((r.id, r.label) for r in every) == [(1, 1), (2, 0), (3, 1)]
+    assert labels.labelled_texts(docs, marks, "doc_id", "text", "quality", F.lit(True), 2).count() == 2
+    again = labels.labelled_texts(docs.repartition(7), marks, "doc_id", "text", "quality", F.lit(True)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, every))
+
+
+def test_word_vectors_against_counting_by_hand(spark, documents):
+    texts = ["the Quick fox, the fox", "", "one", "fox FOX 9 the a b c the", None]
+    context, seen = quality.context_counts(documents(list(enumerate(texts))).repartition(3))
+    places, signs = quality._index()
+    want, times = np.zeros_like(context), np.zeros_like(seen)
+    for text in texts:
+        ids = [zlib.crc32(w.lower().encode()) % quality.WORD_BUCKETS for w in (text or "").split()]
+        for i, a in enumerate(ids):
+            times[a] += 1
+            for j, b in enumerate(ids):
+                if 0 < abs(i - j) <= quality.NEAR:
+                    for k in range(quality.PLACES):
+                        want[a, places[k][b]] += signs[k][b]
+    assert np.array_equal(context, want) and np.array_equal(seen, times)
+    # vectors of length one, less their mean over all tokens, then weighted
+    share = times / times.sum()
+    unit = np.array([v / n if (n := np.linalg.norm(v)) > 1e-9 else v for v in want])
+    centred = unit - sum(share[b] * unit[b] for b in np.flatnonzero(times))
+    for b in np.flatnonzero(times).tolist():
+        assert quality.word_vectors(context, seen)[b] == pytest.approx(centred[b] * 1e-3 / (1e-3 + share[b]), rel=1e-5, abs=1e-9)
+
+
+def test_features_against_pooling_by_hand():
+    vectors = np.random.default_rng(0).normal(size=(quality.WORD_BUCKETS, quality.DIM)).astype(np.float32)
+    shapes = quality.shape_vectors()
+    text = "The cat, 42 the\nCAT cat"
+    row = quality.Features(vectors)([text, ""])[0]
+    tokens = text.split()
+    words = [zlib.crc32(t.lower().encode()) % quality.WORD_BUCKETS for t in tokens]
+    kinds = ["Aa", "a,", "9", "a", "A", "a"]
+    marks = [zlib.crc32(k.encode()) % quality.SHAPE_BUCKETS for k in kinds]
+    assert row[: quality.DIM] == pytest.approx(vectors[words].mean(0), abs=1e-5)
+    assert row[quality.DIM : 2 * quality.DIM] == pytest.approx(shapes[marks].mean(0), abs=1e-5)
+    assert row[2 * quality.DIM :] == pytest.approx([np.log1p(6), 5 / 6, len(text) / 6, 1 / 6], abs=1e-5)
+    assert not quality.Features(vectors)([""]).any()
+
+
+def test_temperature_is_the_best_of_the_grid():
+    rng = np.random.default_rng(1)
+    logits = rng.normal(0, 3, 400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-logits / 2.5))).astype(float)
+    got = quality.fit_temperature(logits, y)
+    loss = lambda t: -np.mean(np.log(np.where(y == 1, 1 / (1 + np.exp(-logits / t)), 1 - 1 / (1 + np.exp(-logits / t)))))
+    fine = np.linspace(0.25, 8, 3000)
+    best = fine[int(np.argmin([loss(t) for t in fine]))]
+    assert got == pytest.approx(best, rel=0.06) and loss(got) <= loss(1.0)
+
+
+def test_gradients_of_the_network_reach_a_separating_line():
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(600, 5))
+    y = (z[:, 0] - z[:, 3] > 0).astype(float)
+    layers = quality.train(z, y)
+    assert (((quality._logits(z, layers) > 0) == (y == 1)).mean()) > 0.97
+
+
 # 3 winnowing
 
 
@@ -160,11 +226,26 @@ def _edited(pairs):
     return out
 
 
+def _likenesses(pairs):
+    """By sets of chosen hashes, from all windows."""
+    hashes = lambda t: set(_slow_winnow(t, winnowing.K, winnowing.WINDOW)[0]) if len(t) < 5000 else set(winnowing.select(winnowing.code_points(t))[0].tolist())
+    like = lambda a, b: len(a & b) / len(a | b) if a and b else float(bool(a) == bool(b))
+    order = sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, p[1] or ""), reverse=True)
+    out = Counter()
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        t, n = t or "", n or ""
+        half = len(t) // 2
+        own = hashes(t)
+        out[i, len(t), round(like(own, hashes(t[: len(t) - half] + n[:half])), 9), round(like(own, hashes(n)), 9)] += 1
+    return out
+
+
 def test_edited_texts(spark, documents, odd_texts):
     for pairs in (odd_texts, [(1, "alone here")], [(i, f"text {i} " * i) for i in range(40)]):
         got = winnowing.with_next(documents(pairs, clash=True)).collect()
         assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == _edited(pairs)
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        assert Counter((r.doc_id, r.n_chars, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == _likenesses(pairs)
     assert winnowing.with_next(documents([])).count() == 0
     prints = winnowing.fingerprints(documents(odd_texts, clash=True)).filter("doc_id = 8").select("hashes", "positions").collect()
     assert prints[0] == prints[1]
@@ -211,54 +292,129 @@ def test_resharding_files_and_slots(spark, documents, odd_texts):
     same = resharding.plan(docs, F.lit(0), size, 1, by, 64)
     assert resharding.touched(same) == set()
     assert resharding.reshard(docs, same, F.lit(0), by, 64).count() == len(pairs)
+    # only blocks that move are in new files
+    assigned = resharding.assign(docs, planned, old, by, 64)
+    files = spark.read.parquet(resharding.rewrite(assigned))
+    assert files.count() == assigned.filter("shard <> old_shard").count() < len(pairs)
     empty = documents([])
     nothing = resharding.plan(empty, old, size, 3, by, 64)
     assert resharding.with_slots(resharding.reshard(empty, nothing, old, by, 64), order=["doc_id"]).count() == 0
 
 
+def test_shards_are_even_and_few_bytes_move(spark, documents):
+    rng = np.random.default_rng(3)
+    docs = documents([(i, "x" * int(n)) for i, n in enumerate(rng.integers(0, 400, 3000))])
+    size, by = F.octet_length("text") + 1, [F.col("doc_id")]
+    old = F.pmod(F.hash("doc_id"), F.lit(6))
+    planned = resharding.plan(docs, old, size, 8, by, 256)
+    supply = Counter()
+    for (i, _), n in planned.sizes.items():
+        supply[i] += n
+    total = sum(supply.values())
+    capacity = resharding.even_capacities(total, 8)
+    least = _least_moves([supply[i] for i in range(6)] + [0, 0], capacity)
+    assert least <= resharding.moved_bytes(planned) <= 1.02 * least
+    rows = resharding.reshard(docs, planned, old, by, 256).groupBy("shard").agg(F.sum(size).alias("bytes")).collect()
+    assert len(rows) == 8 and all(abs(r.bytes - total / 8) <= 0.01 * total / 8 for r in rows)
+
+
+def test_rows_without_a_shard_and_names_that_clash(spark, documents):
+    docs = documents([(i, f"text {i}") for i in range(200)]).withColumns({c: F.lit(f"own {c}") for c in ("place", "offset", "count", "slot", "o_shard", "block")})
+    old = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 - 1)
+    size, by = F.octet_length("text"), [F.col("doc_id")]
+    planned = resharding.plan(docs, old, size, 4, by, 64)
+    moved = resharding.reshard(docs, planned, old, by, 64)
+    assert moved.count() == 200 and moved.filter("shard IS NULL").count() == 0
+    rows = resharding.with_slots(moved, order=["doc_id"]).collect()
+    assert {(r.place, r.offset, r["count"], r.o_shard) for r in rows} == {("own place", "own offset", "own count", "own o_shard")}
+    for shard in range(4):
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots))) and slots
+    assert resharding.plan(docs, F.lit(None), size, 4, by, 64).flow.keys() == {(resharding.NOWHERE, j) for j in range(4)}
+
+
+def test_equal_texts_stay_together_unless_they_are_too_many(spark, documents):
+    docs = documents([(i, f"text {i // 4}") for i in range(2000)] + [(5000 + i, "the same") for i in range(1000)])
+    size = F.octet_length("text") + 1
+    by = resharding.group_key(docs, F.col("text"), size, F.col("doc_id"))
+    assert len(by) == 2 and len(resharding.group_key(docs.filter("doc_id < 2000"), F.col("text"), size, F.col("doc_id"))) == 1
+    old = F.pmod(F.hash(*by), F.lit(2))
+    planned = resharding.plan(docs, old, size, 4, by, 512)
+    at = resharding.reshard(docs, planned, old, by, 512).groupBy("text").agg(F.count_distinct("shard").alias("n")).collect()
+    assert {r.n for r in at if r.text != "the same"} == {1} and {r.n for r in at if r.text == "the same"} == {4}
+
+
 # 5 decontamination
 
 
 def _slow_overlaps(docs, items):
+    """All alignments of all windows, word by word, whatever a mask would find: the best of each pair."""
     words = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
-    found = set()
+    found = {}
+    split = [(k, words(x)) for k, x in items]
     for i, t in docs:
         d = words(t)
-        for k, x in items:
-            w = words(x)
-            n = len(w)
-            for start in range(-n + 1, len(d)):
-                equal = [0 <= start + p < len(d) and d[start + p] == w[p] for p in range(n)]
-                seeded = any(
-                    all(equal[p + q] for q, bit in enumerate(m) if bit == "1") and start + p >= 0 and start + p + 8 <= len(d)
-                    for m in decontaminate.MASKS for p in range(n - 7)
-                )
-                size = min(n, max(13, -(-n // 2)))
-                if seeded and any(sum(equal[s : s + size]) >= -(-size * 8 // 10) for s in range(n - size + 1)):
-                    found.add((i, k))
+        for k, w in split:
+            size = min(len(w), 13)
+            least = -(-size * 8 // 10)
+            for start in range(-len(w) + 1, len(d)) if set(d) & set(w) else []:
+                equal = [0 <= start + p < len(d) and d[start + p] == w[p] for p in range(len(w))]
+                for s in range(len(w) - size + 1):
+                    n = sum(equal[s : s + size])
+                    if n >= least and start + s < len(d):
+                        found[i, k] = max(found.get((i, k), (0,)), (n, size, -max(start + s, 0)))
     return found
 
 
-def test_overlaps_against_all_alignments(spark, documents):
-    import random
+def test_masks_ignore_any_replaced_words():
+    for n in range(1, 14):
+        allowed = n - -(-n * 8 // 10)
+        for gone in combinations(range(n), allowed):
+            assert any(all(m[p] == "0" for p in gone) for m in decontaminate.masks(n))
+        assert all(len(m) == n and "1" in m for m in decontaminate.masks(n))
 
-    rng = random.Random(5)
-    vocabulary = [f"w{i}" for i in range(12)]
-    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([5, 9, 14, 30])))) for k in range(8)] + [(8, None), (9, "")]
+
+def _quoted(rng, vocabulary, items, n):
+    """Documents that quote items whole and in part, with words replaced, some over their begin or end."""
     docs = []
-    for i in range(60):
+    for i in range(n):
         base = rng.choices(vocabulary, k=rng.randrange(0, 40))
         quoted = (items[i % 8][1]).split()
-        for p in rng.sample(range(len(quoted)), len(quoted) // 6):
+        for p in rng.sample(range(len(quoted)), rng.randrange(0, 1 + len(quoted) // 4)):
             quoted[p] = "other"
-        docs.append((i, " ".join(base + quoted[: rng.randrange(1, 40)] + base[:3])))
-    docs += [(60, None), (61, ""), (None, items[3][1]), (62, items[3][1]), (62, items[3][1])]
+        a = rng.randrange(0, 4)
+        docs.append((i, " ".join(base[: rng.choice([0, 40])] + quoted[a : a + rng.randrange(1, 40)] + base[:3])))
+    return docs
+
+
+def test_overlaps_against_all_alignments(spark, documents):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(12)]
+    sizes = [3, 5, 7, 9, 12, 13, 14, 59]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate(sizes)] + [(8, None), (9, ""), (None, " ".join(f"n{i}" for i in range(13)))]
+    docs = _quoted(rng, vocabulary, items, 90)
+    docs += [(100, None), (101, ""), (None, items[3][1]), (102, items[3][1]), (102, items[3][1]), (103, items[10][1]), (104, items[7][1][30:])]
     tests = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.overlaps(documents(docs, clash=True), tests)
-    pairs = [(r.doc_id, r.item_id) for r in got.collect()]
-    assert len(pairs) == len(set(pairs)) and set(pairs) == _slow_overlaps(docs, items)
+    rows = got.collect()
+    assert len(rows) == len({(r.doc_id, r.item_id) for r in rows})
+    assert {(r.doc_id, r.item_id): (r.n_equal, r.n_words, -r.start_word) for r in rows} == _slow_overlaps(docs, items)
     kept = decontaminate.without_overlaps(documents(docs, clash=True), tests)
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in docs if i not in {p[0] for p in pairs})
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in docs if i not in {r.doc_id for r in rows})
+
+
+def test_no_overlap_is_lost(spark, documents):
+    """Each of these was lost by a search with fewer masks."""
+    item = lambda k, n: " ".join(f"i{k}x{p}" for p in range(n))
+    items = [(1, item(1, 13)), (2, item(2, 7)), (None, item(3, 20)), (4, item(4, 59))]
+    replaced = " ".join("other" if p in (5, 7) else w for p, w in enumerate(items[0][1].split()))
+    part = " ".join(items[3][1].split()[17:37])
+    docs = [(1, "so " + replaced + " on"), (2, "so " + items[1][1]), (3, items[2][1].upper()), (4, "so " + part), (5, " ".join(part.split()[:10]))]
+    got = decontaminate.overlaps(documents(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_equal) for r in got if r.item_id) == [(1, 1, 11), (2, 2, 7), (4, 4, 13)]
+    assert [r.doc_id for r in got if r.item_id is None] == [3]
 
 
 def test_overlaps_without_rows_and_without_broadcast(spark, documents, monkeypatch):
@@ -267,8 +423,8 @@ def test_overlaps_without_rows_and_without_broadcast(spark, documents, monkeypat
     assert decontaminate.overlaps(documents([]), tests).count() == 0
     assert decontaminate.overlaps(documents([(1, text)]), tests.limit(0)).count() == 0
     monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", 0)
-    # of the windows of 13 words, that before the replaced word ends is 13 words with one replaced; the best begin after it
-    assert [tuple(r)[0::2] for r in decontaminate.overlaps(documents([(1, text)]), tests).select("doc_id", "text_hash", "n_equal").collect()] == [(1, 12)]
+    # the word replaced is in each window but for the last twelve words: some window has one of 13 replaced
+    assert [tuple(r) for r in decontaminate.overlaps(documents([(1, text)]), tests).select("doc_id", "n_words", "n_equal", "start_word").collect()] == [(1, 13, 12, 1)]
 
 
 # 6 chat
@@ -482,17 +638,12 @@ def _prose(seed, n):
     return " ".join(" ".join(f"p{seed}q{(i * 13 + j * 5) % 101}" for j in range(4 + (i * i) % 9)) + "." for i in range(n))
 
 
-@given(st.text(alphabet="ab. \n!é", max_size=120))
+@given(st.text(alphabet="ab. \n!é\t\r", max_size=120))
 @settings(deadline=None)
 def test_chunks_are_the_text(text):
     starts, stops, hashes = line_dedup.chunks(text)
     assert starts[0] == 0 and stops[-1] == len(text) and len(hashes) == len(starts)
-    assert (starts[1:] == stops[:-1] + 1).all() and all(text[s] in " \n" for s in stops[:-1])
-
-
-@given(st.text(alphabet="ab. \n!?", max_size=60))
-def test_logical_lines_against_a_pattern(text):
-    assert line_dedup.logical_lines(text) == re.split(r"(?<=[.!?]) |\n", text)
+    assert (starts[1:] == stops[:-1] + 1).all() and all(text[s] in " \n\t\r" for s in stops[:-1])
 
 
 def test_long_texts_without_ends_are_cut_as_well():
@@ -546,6 +697,26 @@ def test_all_shared_runs_of_over_fifty_words_go(spark, documents):
     assert all(not set(before[i]) - set(words) - set(passages[i // 2]) for i, words in texts)
 
 
+def test_other_white_space_and_scripts_without_spaces(spark, documents):
+    tabbed = "\t".join(f"word{k}" for k in range(200))
+    chinese = "".join(chr(0x4E00 + (k * 37) % 5000) for k in range(400))
+    pairs = [(1, f"one a\n{tabbed}\nend a"), (2, f"two b\n{tabbed}\nend b"), (3, f"three\n{chinese}\nend c"), (4, f"four\n{chinese}\nend d")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(pairs)).collect()}
+    assert got == {1: pairs[0][1], 2: "two b\nend b", 3: pairs[2][1], 4: "four\nend d"}
+    assert line_dedup.count_words("two words") == 2 and line_dedup.count_words("漢字漢字 kana") == 4
+
+
+def test_repeated_rows_are_one_document(spark, documents):
+    text = _lines(7, 14)
+    once = [(1, text), (2, "head of it\n" + text), (3, None), (None, text)]
+    many = once + [once[1]] * 300 + [once[2]] * 3 + [once[3]] * 3
+    want = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(once)).collect()}
+    got = line_dedup.dedup_lines(documents(many)).collect()
+    assert len(got) == len(many) and {(r.doc_id, r.text) for r in got} == set(want.items())
+    marks = line_dedup.repeated(documents(many)).collect()
+    assert sorted(len(r.repeats) for r in marks) == sorted(len(r.repeats) for r in line_dedup.repeated(documents(once)).collect())
+
+
 def test_a_full_filter_changes_nothing(spark, documents, monkeypatch):
     pairs = [(i, _prose(i % 5, 12) + f" own {i}") for i in range(20)]
     want = line_dedup.dedup_lines(documents(pairs)).collect()
@@ -581,6 +752,53 @@ def test_segments_have_the_best_scores(scores):
     assert all(b <= c for (_, b, _), (c, _, _) in zip(got, got[1:]))
 
 
+def test_log_odds_by_hand():
+    rng = np.random.default_rng(5)
+    toxic, other = rng.integers(0, 400, 50).astype(float), rng.integers(0, 400, 50).astype(float)
+    corpus = toxic + other + rng.integers(0, 1000, 50)
+    got = toxicity._sure_log_odds(toxic, other, corpus)
+    whole = sum(c + 0.1 for c in corpus)
+    for k in range(50):
+        prior = toxicity.PRIOR * (corpus[k] + 0.1) / whole
+        a = np.log((toxic[k] + prior) / (toxic.sum() + toxicity.PRIOR - toxic[k] - prior))
+        b = np.log((other[k] + prior) / (other.sum() + toxicity.PRIOR - other[k] - prior))
+        error = toxicity.ERRORS * (1 / (toxic[k] + prior) + 1 / (other[k] + prior)) ** 0.5
+        want = a - b - error if a - b > error else a - b + error if a - b < -error else 0.0
+        assert got[k] == pytest.approx(min(max(want, -4), 8), abs=1e-12)
+
+
+def test_extreme_value_law_and_scores(spark):
+    # the law's rate solves its equation, and its factor makes the expected number of best segments that of the texts
+    values, times = np.array([-1.0, 0.5, 2.0]), np.array([90.0, 8.0, 2.0])
+    best, lengths = np.array([0.5, 2.0, 2.5, 4.0]), np.array([40.0, 60.0, 80.0, 100.0])
+    rate, factor = toxicity.fit_law(best, lengths, values, times)
+    assert sum(t / 100 * np.exp(rate * v) for v, t in zip(values, times)) == pytest.approx(1, abs=1e-4)
+    assert sum(factor * n * np.exp(-rate * s) for s, n in zip(best, lengths)) == pytest.approx(len(best))
+    # E-values, evidence and probability of a text, from its segments
+    words = np.zeros(toxicity.WORD_BUCKETS) - 0.5
+    ids = labels.Words(toxicity._number).ids("calm vile villain words here vile and some more of them")
+    bad = [zlib.crc32(w) % toxicity.WORD_BUCKETS for w in (b"vile", b"villain")]
+    words[bad] = 4.0
+    scores = toxicity.Scores(words, np.zeros(toxicity.STEM_BUCKETS), np.ones(toxicity.WORD_BUCKETS, bool))
+    model = toxicity.Model(scores, 1.2, 0.1, np.array([2.0, 1.0, -3.0]))
+    found = model.passages(ids)
+    assert [(a, b, s) for a, b, s, _ in found] == [(1, 6, 11.0)]
+    e = 0.1 * len(ids) * np.exp(-1.2 * 11.0)
+    assert found[0][3] == pytest.approx(e)
+    surprise = np.log1p(-np.log(e))
+    assert model.evidence(ids) == pytest.approx((surprise, surprise))
+    assert model.probability(ids) == pytest.approx(1 / (1 + np.exp(-(3 * surprise - 3))))
+    assert model.passages(ids[:1]) == [] and model.evidence(ids[:0]) == (0.0, 0.0)
+
+
+def test_logistic_fit_has_no_slope_left():
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(size=(300, 2)), np.ones(300)])
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [1.5, -0.7, 0.2])))).astype(float)
+    w = toxicity._logistic(x, y)
+    assert np.abs(x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 0.05 * w).max() < 1e-8
+
+
 def test_toxicity_learns_and_shows_passages(spark, documents):
     rows = [(i, f"calm words about day {i % 17} and the weather over hill {i % 13} " * 3) for i in range(400)]
     rows += [(400 + i, f"calm words about day {i % 17} and you horrid villain vile over hill {i % 13} ") for i in range(200)]

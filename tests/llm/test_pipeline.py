@@ -18,7 +18,7 @@ from check import compare, oracle_connection
 FOLDER = "/root/testdata/sf0.001"
 NAMES = [
     "op1_bpe", "op2_quality", "op3_winnowing", "op4_resharding", "op5_decontamination", "op6_chat", "op7_simhash", "op8_secrets",
-    "op9_line_dedup", "op10_toxicity", "pipeline",
+    "op9_line_dedup", "op10_toxicity", "op11_whitening", "op12_suffix_dedup", "op13_filter_audit", "pipeline",
 ]
 
 
@@ -64,9 +64,9 @@ def test_lines_near_duplicates_and_overlaps_against_brute_force(spark, stages):
         least[roots[p]] = min(least.get(roots[p], i), i)
     assert sorted(i for i, _ in _texts(stages[3])) == sorted(least.values())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
-    gone = {i for i, _ in _slow_overlaps([(i, t) for i, t in _texts(stages[3]) if len(t) < 4000], items)}
+    gone = {i for i, _ in _slow_overlaps([(i, t) for i, t in _texts(stages[3]) if len(t) < 1500], items)}
     kept = {i for i, _ in _texts(stages[4])}
-    assert all((i in kept) == (i not in gone) for i, t in _texts(stages[3]) if len(t) < 4000)
+    assert all((i in kept) == (i not in gone) for i, t in _texts(stages[3]) if len(t) < 1500)
 
 
 def test_ids_are_those_of_the_library(stages):
