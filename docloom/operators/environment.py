@@ -11,7 +11,7 @@ from docloom.functions.values import json_escaped, list_column
 from docloom.operators.batching import BATCH_SIZE, batch_documents
 from docloom.operators.documents import derive_uri, effective_collections, select_paths
 from docloom.operators import schemas
-from docloom.operators.graph import SLOTS, flatten_embedded, flatten_imports, topo_levels
+from docloom.operators.graph import SLOTS, flatten_imports, open_embedded, topo_levels
 from docloom.operators.layers import (
     first_values,
     layered_permissions,
@@ -152,56 +152,52 @@ def settle(env: Environment, root_collation: str) -> Settled:
     declared = env.indexes.select(kind.alias("kind"), F.struct("root", "entity", whole.alias("index")).alias("entity"), F.inline(rows))
     good_index, bad_index = validate(apply_defaults(declared, index_schema), index_schema, nested=False)
 
-    # A database as one definition again: few properties each.
-    slot = F.col("prop").isin("id", "name", *SLOTS) & F.col("value").isNotNull()
-    text = F.when(F.col("prop").isin("id", "name"), F.concat(F.lit('"'), json_escaped(F.col("value")), F.lit('"'))).otherwise(F.col("value"))
-    member = F.concat(F.lit('"'), "prop", F.lit('":'), text)
+    # A database as one definition again: few properties each, nested ones as they stand.
+    given = {c: F.max(F.when(F.col("prop") == c, F.col("value"))) for c in ("id", "name", *SLOTS)}
+    parts = F.map_filter(F.create_map(*[x for c, v in given.items() for x in (F.lit(c), v)]), lambda _, v: v.isNotNull())
     bodies = (
-        records.filter((F.col("kind") == "database") & slot)
-        .groupBy(F.col("entity.root").alias("root"), F.col("entity.entity").alias("entity"))
-        .agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_set(member)), ","), F.lit("}")).alias("body"))
+        records.filter(F.col("kind") == "database")
+        .groupBy(F.col("entity.root").alias("root"), F.to_json(F.array("entity.root", "entity.entity")).alias("key"))
+        .agg(parts.alias("parts"))
     )
-    nodes, refs = flatten_embedded(bodies.select(F.to_json(F.array("root", "entity")).alias("key"), "body"))
-    root = F.get(F.from_json(F.regexp_extract("key", r"^(\[.*?\])(?:/|$)", 1), "array<string>"), F.lit(0))
+    nodes, refs, unopened = open_embedded(bodies, keep=("root",), kind="database")
     fields = ["id", "name", "idref", "nameref", "sysref"]
     servers = records.filter((F.col("kind") == "server") & F.col("prop").isin(SERVER_SLOTS)).select(
         F.col("entity.root").alias("root"), F.col("prop").alias("slot"), *[F.get_json_object("value", f"$.{f}").alias(f) for f in fields],
         F.lit(None).cast("string").alias("own_id"), F.col("name").alias("own_name"), F.lit("server").alias("of"),
     )
-    refs = refs.select(root.alias("root"), "slot", *fields, "own_id", "own_name", F.lit("database").alias("of"))
+    refs = refs.select("root", "slot", *fields, "own_id", "own_name", F.lit("database").alias("of"))
 
-    # Names hold within their environment.
-    def scoped(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.concat("root", F.lit("\n"), c)).alias(c)
+    # Names hold within their environment: a list of both, whatever characters they have.
+    def scoped(c) -> Column:
+        c = F.col(c) if isinstance(c, str) else c
+        return F.when(c.isNotNull(), F.to_json(F.array(F.col("root"), c)))
 
-    every = refs.unionByName(servers.filter(F.coalesce(*fields).isNotNull()))
-    keyed = every.select("root", "slot", "of", *[scoped(c) for c in [*fields, "own_id", "own_name"]])
-    databases = cut(nodes.select(root.alias("root"), "id", "name"), "databases")
-    found, unresolved = resolve_reference(keyed, databases.select(*[scoped(c) for c in ("id", "name")]), own_id="own_id", own_name="own_name")
-
-    def bare(c: str) -> Column:
-        return F.substring_index(F.col(c), "\n", -1)
+    def part(c: str, n: int) -> Column:
+        return F.get(F.from_json(F.col(c), "array<string>"), F.lit(n))
 
+    every = refs.unionByName(servers.filter(F.coalesce(*fields).isNotNull()))
+    keyed = every.select("root", "slot", "of", *[scoped(c).alias(c) for c in [*fields, "own_id", "own_name"]])
+    databases = cut(nodes.select("root", "id", "name"), "databases")
+    found, unresolved = resolve_reference(keyed, databases.select(*[scoped(c).alias(c) for c in ("id", "name")]), own_id="own_id", own_name="own_name")
     references = found.select(
-        "root", "of", bare("own_name").alias("name"), "slot", F.coalesce(bare("target_name"), bare("target_id")).alias("target")
+        "root", "of", part("own_name", 1).alias("name"), "slot", F.coalesce(part("target_name", 1), part("target_id", 1)).alias("target")
     )
-    node = F.coalesce("name", "id")
     edges = found.filter("of = 'database'").select(
         F.coalesce("own_name", "own_id").alias("id"), F.coalesce("target_name", "target_id").alias("dep")
     )
-    names = databases.select(F.concat("root", F.lit("\n"), node).alias("id")).distinct()
+    names = databases.select(scoped(F.coalesce("name", "id")).alias("id")).distinct()
     placed, cycles = topo_levels(names, edges, self_ok=True, kind="database")
-    levels = placed.select(F.substring_index("id", "\n", 1).alias("root"), bare("id").alias("name"), "level")
+    levels = placed.select(part("id", 0).alias("root"), part("id", 1).alias("name"), "level")
 
     issue = bad
-    for more in (bad_index, unresolved, cycles):
+    for more in (bad_index, unopened, unresolved, cycles):
         issue = issue.unionByName(more)
-    readable = issue.withColumns({c: F.regexp_replace(c, "\n", " ") for c in ("entity", "value")})
     typed = ["prop", "type", "value"]
     return Settled(
         good.select("entity.root", "kind", "entity.entity", *typed),
         good_index.select("entity.root", "kind", "entity.entity", "entity.index", *typed),
-        references, levels, readable,
+        references, levels, issue,
     )
 
 

@@ -71,15 +71,17 @@ def _members_or_none(node: Column) -> Column:
 
 def _json_nodes(docs: DataFrame, content: str, steps: list[str]) -> DataFrame:
     """One row per context node, arrays on the way opened step by step."""
-    nodes = docs.withColumn("__node", F.try_parse_json(F.col(content)))
+    nodes = docs.withColumn("__node", F.try_parse_json(_unmarked(F.col(content))))
     for step in [None, *steps]:
         inner = F.col("__node") if step is None else F.try_variant_get("__node", _json_path([step]), "variant")
         nodes = nodes.withColumn("__node", F.explode(_members(inner)))
     return nodes
 
 
+# A doctype, its internal subset included.
+_DOCTYPE = r"""<!DOCTYPE(?:[^\[>"']|"[^"]*"|'[^']*'|\[(?:[^\]"'<]|"[^"]*"|'[^']*'|<!--.*?-->|<\?.*?\?>|<![^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>)*\])*>"""
 # First element of an XML text, behind declaration, comments and doctype: its name without prefix.
-_ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:[^\s/>:]+:)?([^\s/>]+)"
+_ROOT = r"(?s)^\x{feff}?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|" + _DOCTYPE + r"\s*)*<(?:[^\s/>:!?]+:)?([^\s/>!?]+)"
 # Names are compared without their prefixes; text next to attributes or elements has a field of its own.
 _TEXT = "_VALUE"
 _XML = {"attributePrefix": "_", "valueTag": _TEXT, "columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE", "ignoreNamespace": "true"}
@@ -116,11 +118,16 @@ def _xml_value(node: Column, tree: dict, val: str) -> Column:
     return node if set(tree) <= {_TEXT} else node[_TEXT]
 
 
+def _unmarked(text: Column) -> Column:
+    """A text without the mark of its byte order."""
+    return F.when(text.startswith("\ufeff"), text.substr(F.lit(2), F.length(text))).otherwise(text)
+
+
 def _xml_parsed(docs: DataFrame, content: str, type: str) -> DataFrame:
     """`__xml`: the root as a struct, `__bad` in it where the text is malformed."""
     schema = type.removesuffix(">") + ", `__bad`: string>"
     # a generator's result is a column of its own: filter and projections behind it share one parse
-    return docs.withColumn("__xml", F.explode(F.array(F.from_xml(F.col(content), schema, _XML))))
+    return docs.withColumn("__xml", F.explode(F.array(F.from_xml(_unmarked(F.col(content)), schema, _XML))))
 
 
 def _xml_nodes(docs: DataFrame, content: str, steps: list[str], tree: dict) -> DataFrame:
@@ -138,7 +145,7 @@ def _xml_nodes(docs: DataFrame, content: str, steps: list[str], tree: dict) -> D
 def extract_issues(docs: DataFrame, entity: str = "uri", content: str = "content", format: str = "json") -> DataFrame:
     """An issue per document whose content is missing or malformed, from which nothing can be extracted."""
     if format == "json":
-        bad = docs.filter(F.try_parse_json(F.col(content)).isNull())
+        bad = docs.filter(F.try_parse_json(_unmarked(F.col(content))).isNull())
     else:
         # any element will do as the schema: what does not parse is marked all the same
         bad = _xml_parsed(docs, content, "struct<`__none`: string>").filter(
@@ -209,7 +216,7 @@ def range_values(docs: DataFrame, index: dict, uri: str = "uri", content: str =
     labels = index[label] if isinstance(index[label], list) else [index[label]]
     needed = docs.select(uri, F.col(content).alias("__content"))
     if format == "json" and label == "path":
-        parsed = needed.withColumn("__root", F.explode(F.array(F.try_parse_json("__content"))))
+        parsed = needed.withColumn("__root", F.explode(F.array(F.try_parse_json(_unmarked(F.col("__content"))))))
         found = F.when(F.col("__root").isNotNull(), F.flatten(F.array(*[_labelled(_json_texts(p), p) for p in labels])))
     elif format == "json":
         parsed, found = needed, _named_in_json(labels)("__content")
@@ -298,8 +305,9 @@ def _named_in_json(names: list[str]):
     def find(text: str | None) -> list[dict] | None:
         try:
             # objects as lists of pairs, numbers as written
-            root = json.loads(text or "", object_pairs_hook=_Pairs, parse_int=str, parse_float=str)
-        except ValueError:
+            root = json.loads((text or "").removeprefix("\ufeff"), object_pairs_hook=_Pairs, parse_int=str, parse_float=str)
+        except (ValueError, RecursionError):
+            # nested beyond what the parser takes: reported like a malformed one
             return None
         found, todo = [], [(None, root)]
         while todo:
@@ -337,7 +345,7 @@ def _named_in_xml(names: dict[str, str], parent: str | None):
 
     def find(text: str | None) -> list[dict] | None:
         try:
-            root = ElementTree.fromstring(text or "")
+            root = ElementTree.fromstring((text or "").removeprefix("\ufeff"))
         except ElementTree.ParseError:
             return None
         if parent is None:

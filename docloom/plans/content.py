@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from docloom.functions import comparators as cmp
 from docloom.functions.values import map_to_pairs, merge_permissions as merged_permissions, pad_name, split_list
+from docloom.operators.collations import between, value_lexicon
 from docloom.operators.extract import extract_issues, extract_rows, range_values
 from docloom.operators.layers import multiply
 from docloom.operators.permissions import explode_permissions, group_permissions
 from docloom.operators.substitute import substitute
+from docloom.operators.records import Nested, validate_records
+from docloom.operators.stored_index import StoredIndex
 from docloom.operators.validate import Prop, apply_defaults as defaulted, validate
+from docloom.operators.xml_paths import extract_xml as extract_by_paths
 from docloom.plans.documents import page_paths
 from docloom.plans.registry import Tables, query
+from docloom.storage import fresh_path
 
 STRING_DEFAULT = "http://example.org/collation"
 
@@ -372,3 +377,195 @@ def range_attribute(t: Tables) -> DataFrame:
     docs = t.lineitem.select(F.struct("l_orderkey", "l_linenumber").alias("uri"), xml.alias("content"))
     index = {"type": "date", "name": "day", "parent": {"name": "at"}}
     return range_values(docs, index, format="xml").good.select("uri.*", "value")
+
+
+# --- XML by an automaton, collations, the stored index ------------------------
+
+PART_TEMPLATE = {
+    "context": "/s:parts/s:part",
+    "namespaces": {"s": "urn:shop", "w": "urn:works"},
+    "rows": [
+        {"schemaName": "shop", "viewName": "parts", "columns": [
+            {"name": "id", "scalarType": "long", "val": "@id"}, {"name": "name", "scalarType": "string", "val": "s:name"},
+            {"name": "works", "scalarType": "string", "val": "w:name"}, {"name": "size", "scalarType": "int", "val": "dim/w:size"},
+        ]},
+        {"schemaName": "works", "viewName": "names", "columns": [{"name": "id", "scalarType": "long", "val": "@id"}, {"name": "text", "scalarType": "string", "val": "."}]},
+    ],
+}
+PART_INDEXES = {
+    "sizes": {"type": "int", "path": "/s:parts/s:part/dim/w:size", "namespaces": {"s": "urn:shop", "w": "urn:works"}, "invalid": "reject"},
+    "names": {"type": "string", "name": "name", "namespace": "urn:works"},
+    "ids": {"type": "long", "name": "id", "parent": {"name": "part", "namespace": "urn:shop"}},
+}
+
+
+def _odd_parts(t: Tables) -> DataFrame:
+    """Parts as XML with two namespaces that share a local name; by key some begin with a byte order mark, have a doctype with
+    an internal subset, are deeply nested, use a prefix that is not declared, or are cut short."""
+    k = F.col("p_partkey") % 7
+    deep = F.lit(2_000)
+    size = F.when(k == 6, "big").otherwise(F.col("p_size").cast("string"))
+    dim = F.concat(F.lit("<dim><w:size>"), size, F.lit("</w:size></dim>"))
+    nested = F.concat(F.repeat(F.lit("<x>"), deep), F.lit("deep"), F.repeat(F.lit("</x>"), deep))
+    inner = F.concat(
+        F.format_string("<s:part id='%d'><s:name>", "p_partkey"), F.when(k == 2, "&short;").otherwise(F.col("p_name")), F.lit("</s:name><w:name>"),
+        F.col("p_brand"), F.lit("</w:name>"), dim, F.when(k == 3, nested).when(k == 4, "<u:name/>").otherwise(""), F.lit("</s:part>"),
+    )
+    doctype = F.lit("<!DOCTYPE parts [<!ENTITY short \"abc\"> <!ELEMENT parts ANY> <!-- ] > -->]>")
+    body = F.concat(F.lit("<s:parts xmlns:s='urn:shop' xmlns:w='urn:works'>"), inner, F.when(k == 5, "").otherwise("</s:parts>"))
+    content = F.when(k == 1, F.concat(F.lit("\ufeff"), body)).when(k == 2, F.concat(doctype, body)).otherwise(body)
+    return t.part.select(F.col("p_partkey").cast("string").alias("uri"), content.alias("content"))
+
+
+_SOUND = "p AS (SELECT *, p_partkey % 7 AS k FROM part WHERE p_partkey % 7 NOT IN (4, 5))"
+
+
+@query(
+    f"""
+    WITH {_SOUND}
+    SELECT p_partkey AS id, CASE WHEN k = 2 THEN 'abc' ELSE p_name END AS name, p_brand AS works, CASE WHEN k <> 6 THEN CAST(p_size AS INT) END AS size,
+      (CASE WHEN k = 2 THEN 'abc' ELSE p_name END) || p_brand || (CASE WHEN k = 6 THEN 'big' ELSE CAST(p_size AS VARCHAR) END) || (CASE WHEN k = 3 THEN 'deep' ELSE '' END) AS text
+    FROM p
+    """
+)
+def extract_namespaces(t: Tables) -> DataFrame:
+    """Two views of one template, joined by id: names of either namespace, sizes, and all text of a part."""
+    views = extract_by_paths(_odd_parts(t), {"parts": PART_TEMPLATE}, PART_INDEXES).views
+    return views["shop.parts"].select("id", "name", "works", "size").join(views["works.names"].select("id", "text"), "id")
+
+
+@query(
+    f"""
+    WITH {_SOUND}
+    SELECT 'sizes' AS what, CAST(p_partkey AS VARCHAR) AS uri, CAST(p_size AS VARCHAR) AS value FROM p WHERE k <> 6
+    UNION ALL SELECT 'names', CAST(p_partkey AS VARCHAR), p_brand FROM p
+    UNION ALL SELECT 'ids', CAST(p_partkey AS VARCHAR), CAST(p_partkey AS VARCHAR) FROM p
+    UNION ALL SELECT 'malformed', CAST(p_partkey AS VARCHAR), NULL FROM part WHERE p_partkey % 7 IN (4, 5)
+    UNION ALL SELECT 'invalid-value', CAST(p_partkey AS VARCHAR), 'big' FROM p WHERE k = 6
+    """
+)
+def extract_odd_xml(t: Tables) -> DataFrame:
+    """Index values of the same documents, from the same parse, and an issue for each that gives none."""
+    found = extract_by_paths(_odd_parts(t), {"parts": PART_TEMPLATE}, PART_INDEXES)
+    rows = found.issue.select(F.col("rule").alias("what"), F.col("entity").alias("uri"), "value")
+    for name, values in found.ranges.items():
+        rows = rows.unionByName(values.select(F.lit(name).alias("what"), "uri", F.col("value").cast("string").alias("value")))
+    return rows
+
+
+@query(
+    """
+    SELECT CAST(c_custkey AS VARCHAR) AS entity, 'malformed' AS rule FROM customer WHERE c_custkey % 50 = 1
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 50 <> 1
+    """
+)
+def range_deep(t: Tables) -> DataFrame:
+    """Values at any depth of JSON documents; some are nested beyond what a parser takes, or begin with a byte order mark."""
+    plain = F.concat(F.when(F.col("c_custkey") % 3 == 0, "\ufeff").otherwise(""), F.format_string('{"a":[{"b":{"n":%d}}]}', "c_custkey"))
+    deep = F.concat(F.repeat(F.lit("["), F.lit(100_000)), F.repeat(F.lit("]"), F.lit(100_000)))
+    docs = t.customer.select(F.col("c_custkey").alias("uri"), F.when(F.col("c_custkey") % 50 == 1, deep).otherwise(plain).alias("content"))
+    good, issue = range_values(docs, {"type": "long", "name": "n"})
+    return issue.select("entity", "rule").unionByName(good.select(F.col("uri").cast("string").alias("entity"), F.col("value").cast("string").alias("rule")))
+
+
+def _spelled(t: Tables) -> DataFrame:
+    """Market segments in three spellings, by customer."""
+    k = F.col("c_custkey") % 3
+    spelled = F.when(k == 0, F.lower("c_mktsegment")).when(k == 1, F.col("c_mktsegment")).otherwise(F.translate(F.lower("c_mktsegment"), "u", "ü"))
+    return t.customer.select(F.format_string("<c><seg>%s</seg></c>", spelled).alias("content"), F.col("c_custkey").cast("string").alias("uri"))
+
+
+_SPELLED = """
+    s AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN c_mktsegment ELSE translate(lower(c_mktsegment), 'u', 'ü') END AS v FROM customer)
+"""
+
+
+@query(
+    f"""
+    WITH {_SPELLED}
+    SELECT 'codepoint' AS collation, v AS value, count(*) AS documents, count(*) AS frequency FROM s GROUP BY v
+    UNION ALL SELECT 'S2', min(v), count(*), count(*) FROM s GROUP BY lower(v)
+    UNION ALL SELECT 'S1', min(v), count(*), count(*) FROM s GROUP BY translate(lower(v), 'ü', 'u')
+    UNION ALL SELECT 'from', min(v), count(*), count(*) FROM s WHERE translate(lower(v), 'ü', 'u') BETWEEN 'building' AND 'furniture' GROUP BY translate(lower(v), 'ü', 'u')
+    """
+)
+def lexicon_collations(t: Tables) -> DataFrame:
+    """Values of one index as three collations tell them apart, and a range by the least strict."""
+    docs, rows = _spelled(t), None
+    names = {"codepoint": "/codepoint", "S2": "/S2", "S1": "/S1"}
+    indexes = {k: {"type": "string", "path": "/c/seg", "collation": STRING_DEFAULT + at} for k, at in names.items()}
+    ranges = extract_by_paths(docs, {}, indexes, root_collation=STRING_DEFAULT).ranges
+    ranges["from"] = between(ranges["S1"], "Building", "FURNITURE")
+    for k, values in ranges.items():
+        one = value_lexicon(values).withColumn("collation", F.lit(k))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query(
+    """
+    SELECT 'length' AS name, 'd' || doc_id AS uri, CAST(n_chars AS BIGINT) AS value FROM documents WHERE doc_id % 11 <> 3 AND n_chars BETWEEN 200 AND 900
+    UNION ALL SELECT 'words', 'd' || doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) FROM documents WHERE doc_id % 11 <> 3 AND len(string_split(text, ' ')) >= 500
+    """
+)
+def stored_ranges(t: Tables) -> DataFrame:
+    """An index built from a former state of the documents and brought up to date: a tenth had other values, a tenth is gone, some are new."""
+    words = F.size(F.split("text", " ", -1))
+
+    def as_json(length, n):
+        return F.to_json(F.struct(length.cast("long").alias("length"), n.cast("long").alias("words")))
+
+    all_ = t.documents.select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("uri"), "n_chars", words.alias("words"))
+    changed = F.col("doc_id") % 11 == 5
+    before = all_.filter("doc_id % 11 <> 7").select("uri", F.when(changed, as_json(F.col("n_chars") + 1, F.lit(1))).otherwise(as_json(F.col("n_chars"), F.col("words"))).alias("content"))
+    now = all_.filter("doc_id % 11 <> 3").select("uri", as_json(F.col("n_chars"), F.col("words")).alias("content"))
+
+    def values(docs: DataFrame) -> DataFrame:
+        found = range_values(docs, {"type": "long", "path": ["length", "words"]}).good
+        return found.select("uri", "name", "value")
+
+    index = StoredIndex(t.spark, fresh_path(t.spark, "index"), values, file_rows=200)
+    index.refresh(before)
+    index.refresh(now)
+    return index.search("length", 200, 900).unionByName(index.search("words", 500))
+
+
+FOREST_SCHEMA = [
+    Prop("database", "name", mandatory=True), Prop("database", "forests", ignored=True),
+    Prop("forest", "name", mandatory=True), Prop("forest", "dir", target="data-directory", default="/data"),
+    Prop("forest", "size", type="integer"), Prop("forest", "replicas", ignored=True),
+    Prop("replica", "name", mandatory=True), Prop("replica", "host", default="Default"),
+]
+FORESTS = [Nested("database", "forests", "forest", key="name"), Nested("forest", "replicas", "replica", key="name")]
+
+
+@query(
+    """
+    WITH s AS (SELECT s_suppkey AS k, 'n' || s_suppkey AS name, s_suppkey % 4 AS v FROM supplier)
+    SELECT 'forest' AS kind, name || '.forests[0]' AS entity, 'data-directory' AS what, '/data' AS value FROM s
+    UNION ALL SELECT 'forest', name || '.forests[1]', 'data-directory', '/d/' || k FROM s
+    UNION ALL SELECT 'forest', name || '.forests[' || i || ']', 'name', CASE WHEN v = 1 OR i = 0 THEN 'f' ELSE 'g' END FROM s, (SELECT unnest([0, 1]) AS i)
+    UNION ALL SELECT 'forest', name || '.forests[1]', 'size', '7' FROM s WHERE v <> 2
+    UNION ALL SELECT 'replica', name || '.forests[1].replicas[0]', 'name', 'r' || k FROM s
+    UNION ALL SELECT 'replica', name || '.forests[1].replicas[0]', 'host', CASE WHEN v = 3 THEN 'h3' ELSE 'Default' END FROM s
+    UNION ALL SELECT 'forest', name, 'duplicate-record', 'f' FROM s WHERE v = 1
+    UNION ALL SELECT 'forest', name || '.forests[1]', 'not-integer', 'x' FROM s WHERE v = 2
+    UNION ALL SELECT 'replica', name || '.forests[1].replicas[0]', 'unknown-property', '1' FROM s WHERE v = 3
+    UNION ALL SELECT 'forest', name || '.forests[1]', 'record-no-object', 'text' FROM s WHERE v = 0
+    """
+)
+def nested_records(t: Tables) -> DataFrame:
+    """Databases with forests with replicas: checked and defaulted at any depth, faults under their path."""
+    v = F.col("s_suppkey") % 4
+    replica = F.concat(F.format_string('{"name":"r%d"', "s_suppkey"), F.when(v == 3, ',"host":"h3","odd":1').otherwise(""), F.lit("}"))
+    replicas = F.when(v == 0, F.concat(F.lit("["), replica, F.lit(',"text"]'))).otherwise(F.concat(F.lit("["), replica, F.lit("]")))
+    size = F.when(v == 2, '"x"').otherwise("7")
+    second = F.concat(F.format_string('{"name":"%s","dir":"/d/%d","size":', F.when(v == 1, "f").otherwise("g"), F.col("s_suppkey")), size, F.lit(',"replicas":'), replicas, F.lit("}"))
+    forests = F.concat(F.lit('[{"name":"f"},'), second, F.lit("]"))
+    name = F.concat(F.lit("n"), F.col("s_suppkey").cast("string"))
+    pairs = F.array(F.struct(F.lit("name").alias("prop"), name.alias("value")), F.struct(F.lit("forests").alias("prop"), forests.alias("value")))
+    props = t.supplier.select(F.lit("database").alias("kind"), name.alias("entity"), F.inline(pairs))
+    good, issue = validate_records(props, FOREST_SCHEMA, FORESTS)
+    return good.filter("parent IS NOT NULL").select("kind", "entity", F.col("prop").alias("what"), "value").unionByName(
+        issue.select("kind", "entity", F.col("rule").alias("what"), "value")
+    )

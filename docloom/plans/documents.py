@@ -23,7 +23,9 @@ from docloom.operators.extract import lexicon
 from docloom.plans.registry import Tables, query
 from docloom.sources.documents import flatten_listing as listed
 from docloom.sources.documents import parse_trace, read_contents, scan_documents as scan, single_document as single
+from docloom.sources.delivery import deliver_missing, ledger
 from docloom.sources.sinks import deliver, write_documents, write_file, write_files
+from docloom.sources.tree import scan_tree
 from docloom.storage import fresh_path, local_table
 
 
@@ -412,3 +414,74 @@ def load_documents(t: Tables) -> DataFrame:
     files = document_paths(t).select("path", own.alias("collections"))
     batches = load(files, include=["*.txt"], exclude=["/src7/**"], garbage=["es/"], collections=["all"], base="/data")
     return batches.select("uri", F.array_join(F.sort_array("collections"), ",").alias("collections"), "is_override", "batch")
+
+
+def _document_tree(t: Tables, name: str) -> str:
+    """The documents as files `/lang/source/id.txt`, some of them hidden; returns the root."""
+    path = fresh_path(t.spark, name)
+    base = F.concat(F.when(F.col("doc_id") % 5 == 0, ".").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt"))
+    full = F.concat(F.lit(f"{path}/"), "lang", F.lit("/"), "source", F.lit("/"), base)
+    write_files(t.documents.select(full.alias("full"), F.col("text").cast("binary").alias("content")))
+    return path
+
+
+@query(
+    """
+    WITH d AS (SELECT lang, source, CAST(strlen(text) AS BIGINT) AS size FROM documents)
+    SELECT 'listed' AS what, '' AS folder, count(DISTINCT lang) AS n, CAST(0 AS BIGINT) AS bytes FROM d
+    UNION ALL SELECT 'listed', '/' || lang, count(DISTINCT source), 0 FROM d WHERE lang <> 'es' GROUP BY lang
+    UNION ALL SELECT 'listed', '/' || lang || '/' || source, count(*), 0 FROM d WHERE lang <> 'es' AND NOT (lang = 'de' AND source LIKE '%1') GROUP BY lang, source
+    UNION ALL SELECT 'files', '/' || lang || '/' || source, count(*), CAST(sum(size) AS BIGINT) FROM d
+      WHERE lang <> 'es' AND NOT (lang = 'de' AND source LIKE '%1') GROUP BY lang, source
+    """
+)
+def scan_pruned(t: Tables) -> DataFrame:
+    """Files by folder, and which folders were listed for them: none that is rejected, and none below one."""
+    path = _document_tree(t, "pruned")
+    globs = {"include": ["*.txt"], "exclude": ["es/"], "garbage": ["/de/*1/"]}
+    files = scan_tree(t.spark, path, page=50, **globs).groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
+    listed = scan_tree(t.spark, path, page=50, report=True, **globs)
+    return listed.select(F.lit("listed").alias("what"), F.col("path").alias("folder"), F.col("entries").alias("n"), F.lit(0).cast("long").alias("bytes")).unionByName(
+        files.agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).select(F.lit("files").alias("what"), "folder", "n", "bytes")
+    )
+
+
+@query(
+    """
+    SELECT '/fr/' || source || '/' || CASE WHEN doc_id % 5 = 0 THEN '.' ELSE '' END || doc_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS length
+    FROM documents WHERE lang = 'fr'
+    """
+)
+def scan_under(t: Tables) -> DataFrame:
+    """A filter on the path narrows the listing to one folder."""
+    return scan_tree(t.spark, _document_tree(t, "under")).filter(F.col("path").startswith("/fr/")).select("path", "length")
+
+
+@query(
+    """
+    WITH b AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS batch, text FROM documents)
+    SELECT source, batch, count(*) AS documents, round(sum(strlen(text) + strlen(source)) / 1048576.0, 3) AS mb,
+      CASE WHEN source LIKE '%1' THEN 'first' ELSE 'second' END AS run FROM b GROUP BY source, batch
+    """
+)
+def deliver_ledger(t: Tables) -> DataFrame:
+    """Batches by source, some sent by a first run, the rest by a second one: which run sent which, by the ledger."""
+    path = fresh_path(t.spark, "delivery")
+    content = t.documents.select("source", "doc_id", "text")
+    batches = cut_batches(content, ["doc_id"], by=["source"])
+    out = f"{path}/out"
+    first = deliver_missing(batches.filter("source LIKE '%1'"), _Keep(out), path, ["doc_id"], by=["source"])
+    deliver_missing(batches, _Keep(out), path, ["doc_id"], by=["source"])
+    source = F.get(F.from_json("source", "array<string>"), F.lit(0))
+    run = F.when(F.col("run") == first["run"], "first").otherwise("second")
+    return ledger(t.spark, path).select(source.alias("source"), "batch", "documents", "mb", run.alias("run"))
+
+
+class _Keep:
+    """Writes one file per set and batch; doing so again changes nothing."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def __call__(self, batch: tuple, rows: list) -> None:
+        write_file(f"{self.folder}/{batch[0]}-{batch[1]}", "\n".join(str(r.doc_id) for r in rows).encode())

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import environment, graph, layers, lookup, reconcile as rec, schemas
+from docloom.operators import environment, execute, graph, layers, lookup, reconcile as rec, schemas
 from docloom.operators.validate import Prop, apply_defaults, flatten_nested, validate
 from docloom.plans.registry import Tables, query
 
@@ -884,3 +884,125 @@ def flatten_imports(t: Tables) -> DataFrame:
     closure = graph.flatten_imports(imports, roots).good
     joined = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ".")
     return closure.select("node", "depth", joined("path_first").alias("path"), joined("path_last").alias("last_path"))
+
+
+@query(
+    """
+    WITH c AS (SELECT '/o/' || c_custkey || '.json' AS root, c_custkey AS k, c_mktsegment = 'BUILDING' AS odd, c_acctbal < 0 AS list FROM customer)
+    SELECT root, 'level' AS what, 'data]/' || k AS name, '2' AS value FROM c
+    UNION ALL SELECT root, 'level', 'types', '1' FROM c
+    UNION ALL SELECT root, 'level', 'in]/side', '0' FROM c
+    UNION ALL SELECT root, 'level', 't', '0' FROM c WHERE NOT odd
+    UNION ALL SELECT '["' || root || '","id:d"]', 'not-object', 'triggers', 'plain' FROM c WHERE odd
+    UNION ALL SELECT '["' || root || '","name:types"]/security', 'not-object', 'schema', '["list"]' FROM c WHERE list
+    UNION ALL SELECT '["' || root || '","name:types"]/security/schema', 'no-name', 'name', NULL FROM c WHERE NOT list
+    """
+)
+def settle_issues(t: Tables) -> DataFrame:
+    """Databases whose names have brackets and slashes, with texts, lists and empty objects in the slots: each has a level or is an issue."""
+    own = F.format_string("/o/%d.json", "c_custkey")
+    body = F.format_string(
+        '{"top":{"format":"0.1","databases":[{"id":"d","name":"data]/%d","schema":{"nameref":"types"},"triggers":%s},'
+        '{"name":"types","security":{"name":"in]/side","schema":%s}}]}}',
+        F.col("c_custkey"), F.when(F.col("c_mktsegment") == "BUILDING", '"plain"').otherwise('{"name":"t"}'),
+        F.when(F.col("c_acctbal") < 0, '["list"]').otherwise("{}"),
+    )
+    modules = t.customer.select(own.alias("module"), body.alias("body"))
+    done = environment.settle(environment.compile_environments(modules, modules.select("module")), "http://example.org/root")
+    levels = done.levels.select("root", F.lit("level").alias("what"), "name", text("level").alias("value"))
+    return levels.unionByName(done.issue.select(F.col("entity").alias("root"), F.col("rule").alias("what"), F.col("prop").alias("name"), "value"))
+
+
+@query("SELECT p_partkey AS id, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INT) AS level FROM part")
+def chain_levels(t: Tables) -> DataFrame:
+    """A chain as long as the table: each part waits for the one before it."""
+    edges = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - 1).alias("dep"))
+    return graph.topo_levels(t.part.select(F.col("p_partkey").alias("id")), edges).good
+
+
+@query(
+    """
+    WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS first FROM supplier)
+    SELECT 's' || k AS id, CASE WHEN k % 5 <> 0 OR k = first THEN 's' || first END AS cycle FROM s WHERE n % 2 = 0
+    UNION ALL SELECT 'c' || c_custkey, NULL FROM customer WHERE c_nationkey IN (SELECT n FROM s WHERE n % 2 = 0)
+    UNION ALL SELECT 'x' || o_orderkey, 'x' || o_orderkey FROM orders WHERE o_orderkey % 10 = 0
+    UNION ALL SELECT 'y' || o_orderkey, 'x' || o_orderkey FROM orders WHERE o_orderkey % 10 = 0
+    """
+)
+def cycle_members(t: Tables) -> DataFrame:
+    """Suppliers in rings by nation (those of odd nations in chains), customers behind them, and orders in cross-linked pairs."""
+    key = lambda letter, c: F.concat(F.lit(letter), text(c))
+    order = lambda: Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    first = F.min("s_suppkey").over(Window.partitionBy("s_nationkey"))
+    ring = t.supplier.select("s_suppkey", "s_nationkey", first.alias("first")).filter("s_suppkey % 5 <> 0 OR s_suppkey = first")
+    before = F.lag("s_suppkey").over(order())
+    last = F.max("s_suppkey").over(Window.partitionBy("s_nationkey"))
+    links = ring.select("s_suppkey", F.coalesce(before, F.when(F.col("s_nationkey") % 2 == 0, last)).alias("dep")).filter("dep IS NOT NULL")
+    firsts = t.supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("first"))
+    behind = t.supplier.join(firsts, "s_nationkey").filter("s_suppkey % 5 = 0 AND s_suppkey <> first")
+    pairs = t.orders.filter("o_orderkey % 10 = 0")
+    edges = (
+        links.select(key("s", "s_suppkey").alias("id"), key("s", "dep").alias("dep"))
+        .unionByName(behind.select(key("s", "s_suppkey").alias("id"), key("s", "first").alias("dep")))
+        .unionByName(t.customer.join(firsts, F.col("c_nationkey") == F.col("s_nationkey")).select(key("c", "c_custkey").alias("id"), key("s", "first").alias("dep")))
+        .unionByName(pairs.select(key("x", "o_orderkey").alias("id"), key("y", "o_orderkey").alias("dep")))
+        .unionByName(pairs.select(key("y", "o_orderkey").alias("id"), key("x", "o_orderkey").alias("dep")))
+        .unionByName(pairs.select(key("x", "o_orderkey").alias("id"), key("c", "o_custkey").alias("dep")))
+    )
+    nodes = edges.select("id").union(edges.select("dep")).distinct()
+    return graph.cycles(nodes, edges)
+
+
+@query(
+    """
+    WITH d AS (SELECT 'order' AS kind, CAST(o_orderkey AS VARCHAR) AS entity, o_orderstatus AS status, o_orderpriority AS priority FROM orders)
+    SELECT 'prop' AS what, kind, entity, 'status' AS name, status AS value FROM d
+    UNION ALL SELECT 'prop', kind, entity, 'priority', priority FROM d
+    UNION ALL SELECT DISTINCT 'member', 'order', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), NULL FROM lineitem
+    UNION ALL SELECT DISTINCT 'entity', 'part', CAST(l_partkey AS VARCHAR), NULL, NULL FROM lineitem
+    UNION ALL SELECT DISTINCT 'entity', kind, entity, NULL, NULL FROM d
+    """
+)
+def carry_out_plan(t: Tables) -> DataFrame:
+    """Orders with their parts, brought from a former state to the present one by a plan; nothing is left to do afterwards."""
+    key = ["kind", "entity", "prop"]
+    entity = t.orders.select(F.lit("order").alias("kind"), text("o_orderkey").alias("entity"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+
+    def props(status):
+        pairs = F.array(
+            F.struct(F.lit("status").alias("prop"), F.lit("string").alias("type"), status.alias("value")),
+            F.struct(F.lit("priority").alias("prop"), F.lit("string").alias("type"), F.col("o_orderpriority").alias("value")),
+        )
+        return entity.select("kind", "entity", "o_orderkey", F.inline(pairs))
+
+    desired = props(F.col("o_orderstatus")).drop("o_orderkey")
+    actual = props(F.when(F.col("o_orderkey") % 3 == 1, "?").otherwise(F.col("o_orderstatus"))).filter("o_orderkey % 3 <> 0").drop("type", "o_orderkey")
+    lines = t.lineitem.select(text("l_orderkey").alias("entity"), text("l_partkey").alias("name"), "l_orderkey", "l_linenumber")
+    wanted = lines.select("entity", "name").distinct()
+    has = lines.filter("l_orderkey % 3 <> 0 AND l_linenumber % 2 = 1").select("entity", "name")
+    has = has.unionByName(entity.filter("o_orderkey % 15 = 1").select("entity", F.lit("none").alias("name"))).distinct()
+    parts = has.filter("name <> 'none'").select(F.lit("part").alias("kind"), F.col("name").alias("entity")).distinct()
+    entities = actual.select("kind", "entity").distinct().unionByName(parts)
+    members = has.select(F.lit("order").alias("kind"), "entity", "name")
+    specs = [Prop("order", "status"), Prop("order", "priority")]
+
+    def planned(state: execute.State) -> DataFrame:
+        verbs = rec.reconcile_entities(entity.select("kind", "entity"), state.entities, ["kind", "entity"])
+        of_orders = rec.phased_plan(verbs, desired, state.props.select(*key, "value"), specs).good
+        known = state.entities.filter("kind = 'part'").select(F.col("entity").alias("name"))
+        attached = state.members.select("entity", "name")
+        own = execute.member_plan(rec.reconcile_members(wanted, attached, known, ["entity"], "name"), "order", "entity", "name", "part")
+        return of_orders.select(*execute.PLAN).unionByName(own)
+
+    state = execute.State(entities, actual, members)
+    after, report = execute.carry_out(state, planned(state))
+    none = F.lit(None).cast("string")
+    left = planned(after).select(F.lit("left").alias("what"), "kind", "entity", F.col("verb").alias("name"), F.col("new").alias("value"))
+    failed = report.filter("status <> 'done'").select(F.col("status").alias("what"), "kind", "entity", F.col("verb").alias("name"), F.col("rule").alias("value"))
+    return (
+        after.props.select(F.lit("prop").alias("what"), "kind", "entity", F.col("prop").alias("name"), "value")
+        .unionByName(after.members.select(F.lit("member").alias("what"), "kind", "entity", "name", none.alias("value")))
+        .unionByName(after.entities.select(F.lit("entity").alias("what"), "kind", "entity", none.alias("name"), none.alias("value")))
+        .unionByName(left)
+        .unionByName(failed)
+    )

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.paths import base_name
+from docloom.sources.tree import entries as entries_of
 from docloom.storage import Checked, cut_observed, issue_rows, open_store
 
 
@@ -20,22 +21,18 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
     Executors list the directories of one level at a time; the level found is
     written to the shared folder, and the driver sees how many directories it has.
-    A folder that holds a third of all files is listed by one task, as one call to
-    the store is. Stores are those that pyarrow opens; for another one pass a
-    manifest to `scan_documents`.
+    A folder that holds a third of all files is listed by one task; `tree.scan_tree` cuts it into pages, and does
+    not enter rejected folders. A link to a folder that the path has come through is passed over. Stores are those that
+    pyarrow opens; for another one pass a manifest to `scan_documents`.
     """
 
     def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for full in frame["full"]:
-                store, at = open_store(full)
                 below = full.rstrip("/")
-                found = store.get_file_info(fs.FileSelector(at))
-                for first in range(0, len(found), 10_000):
-                    yield pd.DataFrame(
-                        [(f"{below}/{i.base_name}", i.size or 0, i.type == fs.FileType.Directory) for i in found[first : first + 10_000]],
-                        columns=["full", "length", "directory"],
-                    )
+                found = iter(entries_of(full))
+                while rows := [(f"{below}/{e.name}", 0 if e.directory else e.size(), e.directory) for e in islice(found, 10_000)]:
+                    yield pd.DataFrame(rows, columns=["full", "length", "directory"])
 
     level = spark.createDataFrame([(root,)], "full string")
     files = None

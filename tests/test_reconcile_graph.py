@@ -1,8 +1,11 @@
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
+
 from docloom.operators import graph
 from docloom.operators import reconcile as rec
 from docloom.operators.extract import extract_issues, extract_rows, lexicon, range_values
@@ -354,3 +357,66 @@ def test_rules_of_comparison(spark, rows):
         ("2", "dir", "here"), ("2", "priv", '[{"privilege-name":"p","kind":"uri"}]'), ("2", "ring", ring), ("3", "dir", "there"),
     ]
     assert rec.diff_properties(desired, rec.apply_plan(actual, plan.filter("prop <> 'ring'")), specs).good.filter("prop <> 'ring'").count() == 0
+
+
+def _levels(nodes, edges):
+    """Levels by repeated search, and what has none."""
+    deps = {n: {d for i, d in edges if i == n and d in nodes} for n in nodes}
+    level = {}
+    while True:
+        more = {n: 1 + max((level[d] for d in ds), default=-1) for n, ds in deps.items() if n not in level and all(d in level for d in ds)}
+        if not more:
+            return level, set(nodes) - set(level)
+        level |= more
+
+
+def _on_cycles(nodes, edges):
+    """Per node that reaches itself, the least of those that it reaches and that reach it."""
+    reach = {n: {d for i, d in edges if i == n and d in nodes} for n in nodes}
+    for k in nodes:
+        for n in nodes:
+            if k in reach[n]:
+                reach[n] |= reach[k]
+    return {n: min(m for m in reach[n] | {n} if n in reach[m] and m in reach[n]) for n in nodes if n in reach[n]}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_levels_and_cycles_of_random_graphs(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    n = 45
+    nodes = list(range(n))
+    # chains, rings, joints and cross-links
+    edges = {(k, k - 1) for k in range(1, n) if rng.random() < 0.75}
+    edges |= {(a, b) for a, b in (rng.sample(nodes, 2) for _ in range(rng.randrange(2, 14))) if seed % 3 or a > b}
+    edges |= {(k, k) for k in nodes if rng.random() < 0.03} | {(3, 999)}
+    df = spark.createDataFrame([(k,) for k in nodes], "id int")
+    links = spark.createDataFrame(sorted(edges) + sorted(edges)[:3], "id int, dep int")
+    level, left = _levels(nodes, edges)
+    good, issue = graph.topo_levels(df, links)
+    assert {r.id: r.level for r in good.collect()} == level
+    assert {int(r.entity) for r in issue.collect()} == left
+    on = _on_cycles(nodes, edges)
+    assert {r.id: r.cycle for r in graph.cycles(df, links).collect()} == {k: on.get(k) for k in left}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    writes = []
+    real = graph.cut_observed
+    monkeypatch.setattr(graph, "cut_observed", lambda *a: writes.append(a[1]) or real(*a))
+    n = 100_000
+    nodes = spark.range(n)
+    edges = nodes.select("id", (nodes.id - 1).alias("dep"))
+    good, issue = graph.topo_levels(nodes, edges)
+    assert good.filter("level <> id").count() == 0 and good.count() == n and issue.count() == 0
+    assert len(writes) <= 40
+
+
+def test_a_long_ring_and_what_waits_for_it(spark):
+    n = 3_000
+    ring = spark.range(n)
+    edges = ring.selectExpr("id", "(id + 1) % 3000 AS dep").union(spark.range(n, n + 2_000).selectExpr("id", "id - 1 AS dep"))
+    nodes = spark.range(n + 2_000)
+    got = graph.cycles(nodes, edges).groupBy("cycle").count().collect()
+    assert {(r.cycle, r["count"]) for r in got} == {(0, n), (None, 2_000)}
