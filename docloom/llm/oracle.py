@@ -32,11 +32,11 @@ dg AS (SELECT n, g, p, array_to_string(w[p + 1 : p + g], ' ') AS run FROM (
   SELECT n, w, g, unnest(range(0, greatest(0, len(w) - g + 1))) AS p FROM e, (SELECT DISTINCT g FROM t))),
 a AS (SELECT DISTINCT n, k, dg.p - ig.p AS shift FROM dg JOIN ig USING (g, run)),
 s AS (SELECT n, k, shift, unnest(range(0, len(w) - l + 1)) AS s FROM a JOIN t USING (k)),
-v AS (SELECT doc_id, text, item_id, l, needed, shift + s - {_PAD} AS at,
+v AS (SELECT doc_id, text, item_id, l, needed, shift + s - {_PAD} AS begins,
   len(list_filter(range(1, l + 1), lambda q: shift + s + q >= 1 AND e.w[shift + s + q] = t.w[s + q])) AS equal
   FROM s JOIN e USING (n) JOIN t USING (k) WHERE shift + s + l >= 1 AND shift + s < len(e.w)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY equal DESC, l DESC, greatest(at, 0)) AS turn FROM v WHERE equal >= needed)
-SELECT doc_id, item_id, CAST(greatest(at, 0) AS INTEGER) AS start_word, CAST(l AS INTEGER) AS n_words, CAST(equal AS INTEGER) AS n_equal
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY equal DESC, l DESC, greatest(begins, 0)) AS turn FROM v WHERE equal >= needed)
+SELECT doc_id, item_id, CAST(greatest(begins, 0) AS INTEGER) AS start_word, CAST(l AS INTEGER) AS n_words, CAST(equal AS INTEGER) AS n_equal
 FROM r WHERE turn = 1
 """
 

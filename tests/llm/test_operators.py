@@ -149,7 +149,7 @@ def test_word_vectors_against_counting_by_hand(spark, documents):
 def test_features_against_pooling_by_hand():
     vectors = np.random.default_rng(0).normal(size=(quality.WORD_BUCKETS, quality.DIM)).astype(np.float32)
     shapes = quality.shape_vectors()
-    text = "The cat, 42 the\nCAT cat"
+    text = "The cat, 42 cat\nCAT cat"
     row = quality.Features(vectors)([text, ""])[0]
     tokens = text.split()
     words = [zlib.crc32(t.lower().encode()) % quality.WORD_BUCKETS for t in tokens]
@@ -700,9 +700,9 @@ def test_all_shared_runs_of_over_fifty_words_go(spark, documents):
 def test_other_white_space_and_scripts_without_spaces(spark, documents):
     tabbed = "\t".join(f"word{k}" for k in range(200))
     chinese = "".join(chr(0x4E00 + (k * 37) % 5000) for k in range(400))
-    pairs = [(1, f"one a\n{tabbed}\nend a"), (2, f"two b\n{tabbed}\nend b"), (3, f"three\n{chinese}\nend c"), (4, f"four\n{chinese}\nend d")]
+    pairs = [(1, f"one a\n{tabbed}\nfinis"), (2, f"two b\n{tabbed}\nstop here"), (3, f"three\n{chinese}\nover"), (4, f"four\n{chinese}\ndone")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(pairs)).collect()}
-    assert got == {1: pairs[0][1], 2: "two b\nend b", 3: pairs[2][1], 4: "four\nend d"}
+    assert got == {1: pairs[0][1], 2: "two b\nstop here", 3: pairs[2][1], 4: "four\ndone"}
     assert line_dedup.count_words("two words") == 2 and line_dedup.count_words("漢字漢字 kana") == 4
 
 
