@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import environment, execute, graph, layers, lookup, reconcile as rec, schemas
+from docloom.operators import cluster, environment, execute, graph, layers, lookup, reconcile as rec, schemas
 from docloom.operators.validate import Prop, apply_defaults, flatten_nested, validate
 from docloom.plans.registry import Tables, query
 
@@ -1006,3 +1006,45 @@ def carry_out_plan(t: Tables) -> DataFrame:
         .unionByName(left)
         .unionByName(failed)
     )
+
+
+@query(
+    """
+    WITH c AS (SELECT '/c/' || c_custkey || '.json' AS root, c_custkey % 3 AS v, c_nationkey AS n FROM customer)
+    SELECT root, 'level' AS what, 'role boss' AS name, CASE WHEN v = 1 THEN '2' ELSE '1' END AS value FROM c
+    UNION ALL SELECT root, 'level', 'role clerk', '0' FROM c
+    UNION ALL SELECT root, 'level', 'execute run', CASE WHEN v = 1 THEN '1' ELSE '0' END FROM c
+    UNION ALL SELECT root, 'action', 'boss run', 'urn:own' FROM c
+    UNION ALL SELECT root, 'action', 'boss far', 'urn:' || n FROM c WHERE n < 20
+    UNION ALL SELECT '{' || root || ', boss}', 'no-action', 'execute', 'far' || n FROM c WHERE n >= 20
+    UNION ALL SELECT root, 'target', 'pages', 'database data' FROM c
+    UNION ALL SELECT root, 'shard', printf('data-%03d-%03d', h, s), 'h' || h FROM c, (SELECT unnest([1, 2]) AS h), (SELECT unnest([1, 2]) AS s) WHERE v <> 2
+    UNION ALL SELECT root, 'shard', 'f', 'h2' FROM c WHERE v = 2
+    UNION ALL SELECT 'data', 'mixed-hosts', 'shards', '1' FROM c WHERE v = 2
+    """
+)
+def settle_clusters(t: Tables) -> DataFrame:
+    """One environment per customer: privileges and roles in order, actions from a registry by nation, targets and shards."""
+    own = F.format_string("/c/%d.json", "c_custkey")
+    v = F.col("c_custkey") % 3
+    body = F.format_string(
+        '{"top":{"format":"0.1","hosts":[{"name":"h1"},{"name":"h2"}],"privileges":{"execute":[{"name":"run","action":"urn:own"%s}]},'
+        '"roles":[{"name":"clerk"},{"name":"boss","roles":"clerk","privileges":{"execute":"run,far%d"}}],'
+        '"databases":[{"name":"data","forests":%s}],"sources":[{"name":"pages","target":"data"}]}}',
+        F.when(v == 1, ',"roles":"clerk"').otherwise(""), F.col("c_nationkey"), F.when(v == 2, '[{"name":"f","host":"h2"},"g"]').otherwise("2"),
+    )
+    modules = t.customer.select(own.alias("module"), body.alias("body"))
+    env = environment.compile_environments(modules, modules.select("module"))
+    registry = t.nation.filter("n_nationkey < 20").select(
+        F.lit("execute").alias("kind"), F.concat(F.lit("far"), text("n_nationkey")).alias("privilege"), F.concat(F.lit("urn:"), text("n_nationkey")).alias("action")
+    )
+    security, placed = cluster.settle_security(env, registry), cluster.settle_cluster(env)
+    short = F.regexp_replace("privilege", r"far\d+", "far")
+    issue = security.issue.unionByName(placed.issue)
+    return (
+        security.levels.select("root", F.lit("level").alias("what"), F.concat_ws(" ", "kind", "name").alias("name"), text("level").alias("value"))
+        .unionByName(security.grants.select("root", F.lit("action").alias("what"), F.concat_ws(" ", F.col("role"), short).alias("name"), F.col("action").alias("value")))
+        .unionByName(placed.targets.select("root", F.lit("target").alias("what"), F.col("source").alias("name"), F.concat_ws(" ", "of", "key").alias("value")))
+        .unionByName(placed.shards.select("root", F.lit("shard").alias("what"), F.col("shard").alias("name"), F.col("host").alias("value")))
+        .unionByName(issue.select(F.col("entity").alias("root"), F.col("rule").alias("what"), F.col("prop").alias("name"), "value"))
+    )

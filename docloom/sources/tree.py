@@ -40,6 +40,8 @@ class Entry(NamedTuple):
     name: str
     directory: bool
     size: Callable[[], int]
+    # nanoseconds since 1970, or 0 where the store does not tell
+    modified: Callable[[], int]
 
 
 def entries(folder: str) -> Iterator[Entry]:
@@ -51,14 +53,17 @@ def entries(folder: str) -> Iterator[Entry]:
     store, at = open_store(folder)
     if not isinstance(store, fs.LocalFileSystem):
         for i in store.get_file_info(fs.FileSelector(at)):
-            yield Entry(i.base_name, i.type == fs.FileType.Directory, lambda i=i: i.size or 0)
+            yield Entry(i.base_name, i.type == fs.FileType.Directory, lambda i=i: i.size or 0, lambda i=i: i.mtime_ns or 0)
         return
     with os.scandir(at) as found:
         for e in found:
             directory = e.is_dir()
             if directory and e.is_symlink() and _leads_back(at, e.path):
                 continue
-            yield Entry(e.name, directory, lambda e=e: e.stat().st_size if os.path.exists(e.path) else 0)
+            there = lambda e=e: os.path.exists(e.path)
+            yield Entry(
+                e.name, directory, lambda e=e, there=there: e.stat().st_size if there() else 0, lambda e=e, there=there: e.stat().st_mtime_ns if there() else 0
+            )
 
 
 def _leads_back(folder: str, link: str) -> bool:
