@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.batches import free, name
+from docloom.llm.batches import name
 from docloom.storage import cut, fresh_path, local_table
 
 COMPONENTS, SCALE, SHIFT = 16, 64, 1_000_000
@@ -33,8 +33,8 @@ TOGETHER = 16
 
 
 def whole(vector: Column) -> Column:
-    """floor(64 c) + 1000000 of each entry c, as longs."""
-    return F.transform(vector, lambda c: F.floor(c.cast("double") * SCALE).cast("long") + SHIFT)
+    """floor(64 c) + 1000000 of each entry c, as longs; null for an unusable vector, in whatever order filters are applied."""
+    return F.transform(F.when(usable(vector), vector), lambda c: F.floor(c.cast("double") * SCALE).cast("long") + SHIFT)
 
 
 def usable(vector: Column) -> Column:
@@ -192,11 +192,10 @@ def whiten(df: DataFrame, vector: str = "embedding", components: int = COMPONENT
     """
     new = ["n", "deviation", "whitened", "explained", "identity_error"]
     kept = [c for c in df.columns if c.lower() not in new]
-    key = free("x", kept)
-    rows = df.filter(usable(name(vector))).select(*map(name, kept), whole(name(vector)).alias(key))
-    lengths = rows.groupBy(F.size(key).alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
-    rows = rows.filter(F.size(key) == (lengths.length if lengths else 0))
-    model = fit(rows.select(name(key).alias("x")), components)
+    rows = df.filter(usable(name(vector))).select(F.struct(*map(name, kept)).alias("row"), whole(name(vector)).alias("x"))
+    lengths = rows.groupBy(F.size("x").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    rows = rows.filter(F.size("x") == (lengths.length if lengths else 0))
+    model = fit(rows.select("x"), components)
     count = len(model.values)
     if count:
         made = projected(model.blocks, model.size, model.n, model.vectors / np.sqrt(model.values))
@@ -215,4 +214,4 @@ def whiten(df: DataFrame, vector: str = "embedding", components: int = COMPONENT
     )
     # Written, with one row per vector: adaptive execution splits a vector that many rows have.
     of = cut(of, "whitening-vectors")
-    return rows.join(of, F.col(key) == F.col("of_x")).select(*map(name, kept), *new)
+    return rows.join(of, F.col("x") == F.col("of_x")).select("row.*", *new)
