@@ -78,7 +78,7 @@ def _texts(rng, n):
 
 @pytest.mark.parametrize(
     "least, options",
-    [(50, {}), (50, {"pack": 700, "part": 64, "bucket": 500}), (50, {"pack": 900, "bucket": 800, "hot": 2}), (12, {"pack": 500, "bucket": 300}), (3, {"hot": 3}), (1, {})],
+    [(50, {"pack": 700, "part": 64, "bucket": 500}), (50, {"pack": 900, "bucket": 800, "hot": 2}), (12, {}), (3, {"hot": 3})],
 )
 def test_same_bytes_go_as_by_brute_force(spark, documents, least, options):
     rng = np.random.default_rng(least)
