@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.batches import name
-from docloom.storage import cut
+from docloom.storage import cut, cut_observed
 
 # Labelled rows that a model is fitted on at most, those with the least hashes of their ids.
 SAMPLE_ROWS = 16_000
@@ -38,10 +38,14 @@ def labelled_texts(
     chosen = cut(rows.orderBy(F.xxhash64("s_id"), "s_id").limit(bound), "labels")
     texts = docs.select(ident.alias("id"), F.coalesce(name(text).cast("string"), F.lit("")).alias("text"))
     of = texts.join(F.broadcast(chosen), F.col("id") == F.col("s_id")).withColumn("hash", F.xxhash64("text"))
-    # combined on the map side: an id that many rows have sends one hash per task
-    one = cut(of.groupBy("id").agg(F.min("hash").alias("hash")), "labelled").withColumnRenamed("id", "o_id").withColumnRenamed("hash", "o_hash")
-    first = of.join(F.broadcast(one), (F.col("id") == F.col("o_id")) & (F.col("hash") == F.col("o_hash")))
-    return cut(first.groupBy("id", "label", "hash").agg(F.first("text").alias("text")).select("id", "text", "label"), "labelled")
+    # combined on the map side: an id that many rows have sends a hash and a count per task and text
+    least = of.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("times")).groupBy("id").agg(F.min(F.struct("hash", "times")).alias("least"))
+    one, seen = cut_observed(
+        least.select(F.col("id").alias("o_id"), F.col("least.hash").alias("o_hash"), "least.times"), "labelled", F.max("times").alias("most")
+    )
+    first = of.join(F.broadcast(one), (F.col("id") == F.col("o_id")) & (F.col("hash") == F.col("o_hash"))).select("id", "text", "label")
+    # texts are moved only where equal rows of one id are to become one
+    return cut(first.dropDuplicates(["id"]) if (seen["most"] or 0) > 1 else first, "labelled")
 
 
 class Words(dict):
