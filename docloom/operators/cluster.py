@@ -13,7 +13,7 @@ from docloom.functions.values import split_list
 from docloom.operators.environment import Environment
 from docloom.operators.graph import topo_levels
 from docloom.operators.lookup import assert_uniform, placement_check, registry_lookup, resolve_targets, shard_plan
-from docloom.storage import cut, issue_rows
+from docloom.storage import cut_wide, issue_rows
 
 PRIVILEGES = ["execute", "uri"]
 
@@ -51,7 +51,7 @@ def _part(key: str, n: int) -> Column:
 def _records(env: Environment, kinds: list[str]) -> DataFrame:
     """Properties of records of these kinds, written, by the record's name."""
     named = env.props.filter(F.col("kind").isin(kinds) & F.col("name").isNotNull())
-    return cut(named.select("root", "kind", "name", "id", "prop", "value"), "records")
+    return cut_wide(named.select("root", "kind", "name", "id", "prop", "value"), "records")
 
 
 def settle_security(env: Environment, registry: DataFrame | None = None) -> Security:
@@ -77,7 +77,7 @@ def settle_security(env: Environment, registry: DataFrame | None = None) -> Secu
     keys = ["root", "kind", "privilege"]
     wanted = refs.select(*keys).distinct()
     remote = wanted.join(registry.select("kind", "privilege", "action"), ["kind", "privilege"]) if registry is not None else own.limit(0)
-    grants = cut(registry_lookup(refs, own, remote.select(*keys, "action"), keys, "action"), "grants")
+    grants = cut_wide(registry_lookup(refs, own, remote.select(*keys, "action"), keys, "action"), "grants")
     odd = held.filter(~F.col("on").isin(PRIVILEGES))
     issue = (
         cycles.unionByName(issue_rows(grants.filter("action IS NULL"), "role", F.struct("root", "role"), F.col("kind"), "no-action", F.col("privilege")))
@@ -102,14 +102,14 @@ def settle_cluster(env: Environment, existing: DataFrame | None = None) -> Clust
         one = records.filter(F.col("kind") == kind).groupBy("root", "name").agg(F.max("id").alias("id"))
         return one.select(F.when(F.col("id").isNotNull(), _key(F.col("root"), F.col("id"))).alias("id"), _key(F.col("root"), F.col("name")).alias("name"))
 
-    met = cut(resolve_targets(scoped, keyed("server"), keyed("database"), "target", "id", "name"), "targets")
+    met = cut_wide(resolve_targets(scoped, keyed("server"), keyed("database"), "target", "id", "name"), "targets")
     of = F.when(F.col("target_kind") == "first", "server").when(F.col("target_kind") == "second", "database")
     targets = met.select("root", "source", _part("target", 1).alias("target"), of.alias("of"), _part("target_key", 1).alias("key"))
     issues = [issue_rows(targets.filter("of IS NULL"), "source", F.struct("root", "source"), "target", "unresolved", F.col("target"))]
 
     # a cluster has few hosts
     place = F.row_number().over(Window.partitionBy("root").orderBy("name"))
-    hosts = cut(records.filter("kind = 'host'").select("root", "name").distinct().select("root", F.col("name").alias("host"), place.alias("ordinal")), "hosts")
+    hosts = cut_wide(records.filter("kind = 'host'").select("root", "name").distinct().select("root", F.col("name").alias("host"), place.alias("ordinal")), "hosts")
     spoken = F.max(F.when(F.col("prop") == "forests", F.col("value")))
     dbs = records.filter("kind = 'database'").groupBy("root", F.col("name").alias("db")).agg(spoken.alias("forests"))
     number = F.col("forests").rlike(r"^-?[0-9]{1,9}\z")
@@ -121,7 +121,7 @@ def settle_cluster(env: Environment, existing: DataFrame | None = None) -> Clust
     issues.append(issue_rows(others.filter(items.isNull()), "database", F.struct("root", "db"), "forests", "no-number-or-list", F.col("forests")))
     fields = F.from_json("item", "map<string,string>")
     each = others.filter(items.isNotNull()).select("root", "db", F.explode(items).alias("item"))
-    listed = cut(each.select("root", "db", F.coalesce(fields["name"], "item").alias("shard_name"), fields["host"].alias("host")), "listed")
+    listed = cut_wide(each.select("root", "db", F.coalesce(fields["name"], "item").alias("shard_name"), fields["host"].alias("host")), "listed")
     issues.append(assert_uniform(listed, hosts.select("root", "host"), ["root"], "db", "host"))
     # without a host: on the only one, if there is one
     alone = hosts.groupBy("root").agg(F.min("host").alias("only"), F.count(F.lit(1)).alias("n")).filter("n = 1")

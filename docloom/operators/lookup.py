@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.values import pad_name
-from docloom.storage import Checked, cut, issue_rows
+from docloom.storage import Checked, apart, cut_wide, issue_rows
 
 # Fixed value: most shards one database may have on one host.
 MAX_SHARDS = 100
@@ -85,7 +85,7 @@ def resolve_targets(sources: DataFrame, first: DataFrame, second: DataFrame, tar
     )
     each = sources.withColumn(target, F.explode(F.col(target)))
     return (
-        each.join(index, each[target] == index["__key"], "left")
+        each.join(apart(index), each[target] == index["__key"], "left")
         .withColumns({"target_kind": F.col("__hit.__kind"), "target_key": F.col("__hit.__found")})
         .drop("__key", "__hit")
     )
@@ -140,7 +140,7 @@ def resolve_reference(
         .filter(F.col("__key") != "")
     )
     best = (
-        candidates.join(index, ["__space", "__key"])
+        candidates.join(apart(index), ["__space", "__key"])
         .groupBy(*[F.col(p).alias(f"__of_{p}") for p in parts])
         .agg(F.min_by(F.struct("__part", "__hit"), "__rank").alias("__best"))
     )
@@ -174,7 +174,7 @@ def resolve_reference(
         .select(*refs.columns, "resolution", "target_id", "target_name")
     )
     # both results come from here: resolve once
-    resolved = cut(resolved, "references")
+    resolved = cut_wide(resolved, "references")
     return Checked(
         resolved.filter(F.col("resolution").isNotNull()),
         issue_rows(
@@ -201,7 +201,7 @@ def registry_lookup(refs: DataFrame, local: DataFrame, remote: DataFrame, keys:
         .groupBy(*keys)
         .agg(F.min(F.struct("__rank", value))[value].alias(value))
     )
-    return refs.join(registry, keys, "left")
+    return refs.join(apart(registry), keys, "left")
 
 
 def shard_plan(dbs: DataFrame, hosts: DataFrame, on: list[str], db: str = "db", count: str = "shards", ordinal: str = "ordinal", host: str = "host") -> Checked:
