@@ -24,7 +24,7 @@ from docloom.operators.lookup import resolve_reference
 from docloom.operators.substitute import resolve_param_table, substitute
 from docloom.operators.validate import apply_defaults, flatten_nested, validate
 from docloom.sources.layers import component_props, index_rows, split_layers
-from docloom.storage import Checked, cut, issue_rows
+from docloom.storage import Checked, apart, cut_wide, issue_rows
 
 # Kinds whose permissions merge role by role.
 GRANTING = ["source", "role", "user"]
@@ -81,10 +81,10 @@ def compile_environments(
     # values go into JSON text, keys included
     escaped = params.select("root", "name", json_escaped(F.col("value")).alias("value"))
     filled, unfilled = substitute(records, "body", escaped, ["root", "module", "kind", "pos"], ["root"], kind="component")
-    props = cut(component_props(filled).drop("module"), "props")
+    props = cut_wide(component_props(filled).drop("module"), "props")
 
     survivors, unmerged = surviving(props, ["root"])
-    survivors = cut(survivors, "survivors")
+    survivors = cut_wide(survivors, "survivors")
     merged = first_values(survivors, ("indexes", "permissions"), ["root"])
     granting = survivors.filter((F.col("prop") == "permissions") & F.col("kind").isin(GRANTING))
     permissions = layered_permissions(
@@ -111,7 +111,7 @@ def compile_environments(
     )
     apis, unknown_apis = overlay_defaults(every_root, ["root"], ["path_first"])
     wanted = closure.select("module").union(roots.select("module")).distinct()
-    absent = issue_rows(wanted.join(modules, "module", "left_anti"), "module", F.col("module"), "import", "no-such-module", None)
+    absent = issue_rows(wanted.join(apart(modules.select("module")), "module", "left_anti"), "module", F.col("module"), "import", "no-such-module", None)
     issue = layers.issue
     for more in (cycles, absent, unresolved, unfilled, unmerged, unmergeable, unknown_apis):
         issue = issue.unionByName(more)
@@ -138,7 +138,7 @@ SERVER_SLOTS = ["content", "modules"]
 def settle(env: Environment, root_collation: str) -> Settled:
     """Check compiled environments and bring them into order: defaults, schemas, references, dependency levels."""
     owner = F.struct("root", "entity").alias("entity")
-    records = cut(env.props.select("kind", owner, "id", "name", "prop", "value"), "records")
+    records = cut_wide(env.props.select("kind", owner, "id", "name", "prop", "value"), "records")
     plain = ["kind", "entity", "prop", "value"]
     opened = flatten_nested(records.select(*plain), schemas.ALL)
     good, bad = validate(apply_defaults(opened, schemas.ALL), schemas.ALL, nested=False)
@@ -178,7 +178,7 @@ def settle(env: Environment, root_collation: str) -> Settled:
 
     every = refs.unionByName(servers.filter(F.coalesce(*fields).isNotNull()))
     keyed = every.select("root", "slot", "of", *[scoped(c).alias(c) for c in [*fields, "own_id", "own_name"]])
-    databases = cut(nodes.select("root", "id", "name"), "databases")
+    databases = cut_wide(nodes.select("root", "id", "name"), "databases")
     found, unresolved = resolve_reference(keyed, databases.select(*[scoped(c).alias(c) for c in ("id", "name")]), own_id="own_id", own_name="own_name")
     references = found.select(
         "root", "of", part("own_name", 1).alias("name"), "slot", F.coalesce(part("target_name", 1), part("target_id", 1)).alias("target")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.storage import Checked, cut, cut_observed, issue_rows
+from docloom.storage import Checked, apart, cut_wide, cut_wide_observed, issue_rows
 
 PLACEHOLDER = r"[@$]\{[^}]*\}"
 # Fixed value: a parameter name is alphanumeric, with single dashes between.
@@ -96,7 +96,7 @@ def substitute(df: DataFrame, col: str, params, key: list[str] | None = None, sc
         )
         named = params.select(*scope, F.col("name").alias("__name"), F.col("value").alias("__value"))
         known = (
-            asked.join(named, [*scope, "__name"])
+            asked.join(apart(named), [*scope, "__name"])
             .groupBy(*key)
             .agg(F.map_from_entries(F.collect_list(F.struct("__name", "__value"))).alias("__values"))
         )
@@ -147,17 +147,17 @@ def resolve_param_table(params: DataFrame, scope: list[str]) -> Checked:
     progress leaves refers to itself or to nothing, and is an issue.
     """
     key = [*scope, "name"]
-    params = cut(params.select(*key, "value"), "params")
+    params = cut_wide(params.select(*key, "value"), "params")
     nested = F.coalesce(F.col("value").rlike(r"[@$]\{"), F.lit(False))
     solved, pending = params.filter(~nested), params.filter(nested)
     while True:
-        filled, seen = cut_observed(
+        filled, seen = cut_wide_observed(
             substitute(pending, "value", solved, key, scope).good, "params", F.count("*").alias("n")
         )
         if not seen["n"]:
             break
         solved = solved.unionByName(filled)
-        pending, seen = cut_observed(
+        pending, seen = cut_wide_observed(
             pending.join(filled.select(*key), key, "left_anti"), "params", F.count("*").alias("n")
         )
         if not seen["n"]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.paths import GlobList, parent_path
 from docloom.sources.documents import list_tree, read_contents
-from docloom.storage import cut, issue_rows
+from docloom.storage import cut_wide, dealt, issue_rows
 
 # Fixed value: the format version a module must declare.
 FORMAT = "0.1"
@@ -84,7 +84,7 @@ def split_layers(modules: DataFrame) -> Layers:
     Modules with more than one root, or of another format, are issues and left out.
     """
     outer = F.from_json("body", _MAP)
-    opened = modules.select("module", F.explode(F.array(outer)).alias("__outer")).select(
+    opened = dealt(modules.select("module", "body"), "module").select("module", F.explode(F.array(outer)).alias("__outer")).select(
         "module",
         F.coalesce(F.size("__outer"), F.lit(0)).alias("__roots"),
         F.get(F.map_values("__outer"), F.lit(0)).alias("__root"),
@@ -93,7 +93,7 @@ def split_layers(modules: DataFrame) -> Layers:
         ~F.get_json_object("__root", "$.format").eqNullSafe(FORMAT), "wrong-format"
     )
     # every section is read from here: parse the modules once
-    opened = cut(opened.withColumn("__rule", rule), "modules")
+    opened = cut_wide(opened.withColumn("__rule", rule), "modules")
     sound = opened.filter(F.col("__rule").isNull())
 
     sections = F.array(
