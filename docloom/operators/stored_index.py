@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.storage import cut, cut_observed, open_store
+from docloom.storage import apart, cut_wide, cut_wide_observed, open_store
 
 # Rows of a data file, about.
 FILE_ROWS = 1_000_000
@@ -79,15 +79,15 @@ class StoredIndex:
         known = self.generations()
         now = documents.filter(F.col(uri).isNotNull()).select(F.col(uri).alias("uri"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("content"))
         now = now.withColumn("hash", F.sha2(F.col("content").cast("binary"), 256))
-        current = cut(now.groupBy("uri").agg(F.min("hash").alias("hash")), "index-documents")
+        current = cut_wide(now.groupBy("uri").agg(F.min("hash").alias("hash")), "index-documents")
         if known:
             before = self._part(known[-1], "documents")
-            same = before.join(current, ["uri", "hash"], "left_semi").select("uri")
-            stale = cut(before.join(same, "uri", "left_anti").select("uri"), "index-stale")
+            same = apart(before.join(current, ["uri", "hash"], "left_semi").select("uri"))
+            stale = cut_wide(before.join(same, "uri", "left_anti").select("uri"), "index-stale")
             fresh = current.join(same, "uri", "left_anti")
         else:
             stale, fresh = None, current
-        fresh, seen = cut_observed(fresh, "index-fresh", F.count(F.lit(1)).alias("n"))
+        fresh, seen = cut_wide_observed(fresh, "index-fresh", F.count(F.lit(1)).alias("n"))
         removed = stale.join(current, "uri", "left_anti").count() if known else 0
         number = known[-1] + 1 if known else 0
         if known and not seen["n"] and not removed:
@@ -103,7 +103,7 @@ class StoredIndex:
             kept = files.filter(~F.col("file").isin(hit)) if hit else files
             if hit:
                 rows = rows.unionByName(self._read(hit).join(stale, "uri", "left_anti").select(*KEY))
-        rows, counted = cut_observed(rows, "index-rows", F.count(F.lit(1)).alias("n"))
+        rows, counted = cut_wide_observed(rows, "index-rows", F.count(F.lit(1)).alias("n"))
         here = f"{self.path}/generation-{number}"
         if counted["n"]:
             ranges = max(1, math.ceil(counted["n"] / self.file_rows))
@@ -112,7 +112,7 @@ class StoredIndex:
             made = self.spark.read.parquet(f"{here}/data").groupBy(_file().alias("file")).agg(
                 F.min(first).alias("low"), F.max(first).alias("high"), F.count(F.lit(1)).alias("rows")
             )
-            made = cut(made, "index-files")
+            made = cut_wide(made, "index-files")
         else:
             first = F.struct("name", "value")
             made = rows.select(F.lit("").alias("file"), first.alias("low"), first.alias("high"), F.lit(0).cast("long").alias("rows"))
