@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from docloom.operators.collations import collated
 from docloom.operators.extract import spark_type
-from docloom.storage import cut, issue_rows
+from docloom.storage import cut, dealt, issue_rows
 
 # Rows of results that a task holds before it passes them on.
 HELD = 20_000
@@ -288,7 +288,7 @@ def extract_xml(
             if found:
                 yield _taken(batch, at, found, schema)
 
-    everything = cut(source.mapInArrow(run, schema), "xml-values")
+    everything = cut(dealt(source, F.xxhash64("__content")).mapInArrow(run, schema), "xml-values")
     views: dict[str, list[DataFrame]] = {}
     for n, template in enumerate(templates.values()):
         rows = everything.filter(F.col("__target") == n)
