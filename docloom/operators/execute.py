@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.storage import cut
+from docloom.storage import cut_wide
 
 PLAN = ["phase", "verb", "kind", "entity", "prop", "old", "new"]
 # What a plan may ask for. `prop` names the property of an update, and the member of the last two.
@@ -61,14 +61,14 @@ def carry_out(state: State, plan: DataFrame) -> Outcome:
     Each phase is a few equi-joins of its actions with the state, which is written once per phase; the driver
     sees the phases and the first failure.
     """
-    plan = cut(plan.select(*PLAN), "plan")
+    plan = cut_wide(plan.select(*PLAN), "plan")
     entities, props, members = state.entities.select("kind", "entity").distinct(), state.props, state.members.distinct()
     reports, failed = [], False
     for phase in sorted(r.phase for r in plan.select("phase").distinct().collect()):
         actions = plan.filter(F.col("phase") == phase)
         judged = _judged(actions, entities, props, members)
         order = F.struct(F.col("kind").alias("k"), F.col("entity").cast("string").alias("e"), F.col("verb").alias("v"), F.coalesce("prop", F.lit("")).alias("p"))
-        judged = cut(judged.withColumn("order", order), "judged")
+        judged = cut_wide(judged.withColumn("order", order), "judged")
         first = None if failed else judged.filter(F.col("rule").isNotNull()).agg(F.min("order").alias("order")).first().order
         if failed:
             status = F.lit("todo")
@@ -121,7 +121,7 @@ def _judged(actions: DataFrame, entities: DataFrame, props: DataFrame, members:
 
 def _applied(done: DataFrame, entities: DataFrame, props: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     created = done.filter(F.col("verb") == CREATE)
-    entities_ = cut(entities.unionByName(created.select("kind", "entity")), "state-entities")
+    entities_ = cut_wide(entities.unionByName(created.select("kind", "entity")), "state-entities")
     opened = created.select("kind", "entity", F.explode(F.from_json("new", "map<string,string>")).alias("prop", "__new"))
     updates = done.filter(F.col("verb") == UPDATE).select("kind", "entity", "prop", F.col("new").alias("__new"))
     new = opened.unionByName(updates).withColumn("__hit", F.lit(True))
@@ -130,5 +130,5 @@ def _applied(done: DataFrame, entities: DataFrame, props: DataFrame, members: Da
     member = ["kind", "entity", "name"]
     gone = done.filter(F.col("verb") == DETACH).select("kind", "entity", F.col("prop").alias("name"))
     added = done.filter(F.col("verb") == ATTACH).select("kind", "entity", F.col("prop").alias("name"))
-    members_ = cut(members.join(gone, member, "left_anti").unionByName(added), "state-members")
-    return entities_, cut(props_, "state-props"), members_
+    members_ = cut_wide(members.join(gone, member, "left_anti").unionByName(added), "state-members")
+    return entities_, cut_wide(props_, "state-props"), members_
