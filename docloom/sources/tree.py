@@ -8,7 +8,8 @@ folder is not entered, and a filter on `path` narrows the listing as well:
 Planning walks the folders that are left, with several threads, and keeps one short
 record per folder, never one per file. Reading is dealt out by pages: a huge folder is
 read by many tasks, each of which asks for the size of its share of the files, and small
-folders go together.
+folders go together. A task lists its folders whole to find its pages, so the number of tasks
+is bounded and each takes neighbouring pages: a folder is not listed once per page.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from docloom.storage import open_store
 
 # Files of a page; folders listed at a time.
 PAGE, THREADS = 10_000, 16
+# Tasks that files are dealt to at most, or as many as shuffles have, where that is more.
+TASKS = 128
 FILES = "base string, path string, full string, name string, length long"
 FOLDERS = "path string, entries long, pages int"
 
@@ -104,11 +107,12 @@ def _matcher(names: list[str], paths: list[str]) -> Callable[[str], bool]:
 
 
 class Share(NamedTuple):
-    """Page `page` of the `pages` that the files of a folder are dealt to."""
+    """Pages from `first` up to `last`, itself not included, of the `pages` that the files of a folder are dealt to."""
 
     folder: str
     entries: int
-    page: int
+    first: int
+    last: int
     pages: int
 
 
@@ -123,6 +127,7 @@ class TreeReader(DataSourceReader):
         self.base = options["path"].rstrip("/")
         self.globs = Globs(*(json.loads(options.get(k, "[]")) for k in Globs._fields))
         self.page = int(options.get("page", PAGE))
+        self.tasks = int(options.get("tasks", TASKS))
         self.report = options.get("report") == "folders"
         self.starts: list[list[str]] = []
 
@@ -162,30 +167,38 @@ class TreeReader(DataSourceReader):
                 level = following
 
     def partitions(self) -> list[Page]:
+        folders = [(folder, n, max(1, -(-n // self.page))) for folder, n in self.walk()]
+        if self.report:
+            whole = [Share(folder, n, 0, pages, pages) for folder, n, pages in folders]
+            return [Page(whole[at : at + PAGE]) for at in range(0, len(whole), PAGE)]
+        # what a task takes: a page, or more where there would be too many tasks
+        room = max(self.page, -(-sum(n + pages for _, n, pages in folders) // self.tasks))
         made, held, size = [], [], 0
-        for folder, n in self.walk():
-            pages = max(1, -(-n // self.page))
-            for page in range(pages):
-                held.append(Share(folder, n, page, pages))
-                size += n // pages + 1
-                if size >= self.page:
+        for folder, n, pages in folders:
+            each, first = n // pages + 1, 0
+            while first < pages:
+                last = min(pages, first - (size - room) // each)
+                held.append(Share(folder, n, first, last, pages))
+                size += (last - first) * each
+                first = last
+                if size >= room:
                     made.append(Page(held))
                     held, size = [], 0
         return [*made, Page(held)] if held else made
 
     def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
         if self.report:
-            own = [s for s in partition.shares if s.page == 0]
+            own = partition.shares
             yield pa.RecordBatch.from_pydict(
                 {"path": [s.folder for s in own], "entries": [s.entries for s in own], "pages": pa.array([s.pages for s in own], pa.int32())}
             )
             return
         wanted = self.globs.file_test()
-        for folder, _, page, pages in partition.shares:
+        for folder, _, first, last, pages in partition.shares:
             rows = []
             for e in entries(self.base + folder):
                 path = f"{folder}/{e.name}"
-                if e.directory or zlib.crc32(os.fsencode(e.name)) % pages != page or not wanted(path):
+                if e.directory or not first <= zlib.crc32(os.fsencode(e.name)) % pages < last or not wanted(path):
                     continue
                 rows.append((self.base, path, self.base + path, e.name, e.size()))
                 if len(rows) == self.page:
@@ -202,7 +215,7 @@ def _files(rows: list[tuple]) -> pa.RecordBatch:
 
 class TreeSource(DataSource):
     """`spark.read.format("doctree")`: options `path`, `include`, `exclude`, `garbage` (JSON lists of globs), `page`
-    (files of a page), and `report` = `folders` for one row per folder that was listed."""
+    (files of a page), `tasks` (tasks at most), and `report` = `folders` for one row per folder that was listed."""
 
     @classmethod
     def name(cls) -> str:
@@ -228,5 +241,6 @@ def scan_tree(
     spark.dataSource.register(TreeSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     globs = Globs(list(include or []), list(exclude or []), list(DEFAULT_GARBAGE if garbage is None else garbage))
-    reader = spark.read.format("doctree").options(page=str(page), **{k: json.dumps(v) for k, v in globs._asdict().items()})
+    tasks = max(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    reader = spark.read.format("doctree").options(page=str(page), tasks=str(tasks), **{k: json.dumps(v) for k, v in globs._asdict().items()})
     return (reader.option("report", "folders") if report else reader).load(root)

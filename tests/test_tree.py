@@ -73,6 +73,19 @@ def test_a_large_folder_is_many_pages(spark, tmp_path):
     assert len(sizes) >= 10 and max(sizes) < 100
 
 
+def test_pages_share_tasks(spark, tmp_path):
+    root = _tree(tmp_path, *[f"big/{n:04d}.txt" for n in range(600)], *[f"small/{n}.txt" for n in range(5)])
+    reader = TreeReader({"path": root, "page": "2", "tasks": "10"})
+    tasks = reader.partitions()
+    # every page once, in few tasks, each of which lists a folder once
+    assert len(tasks) <= 10 and all(len({s.folder for s in t.shares}) == len(t.shares) for t in tasks)
+    dealt = sorted((s.folder, p, s.pages) for t in tasks for s in t.shares for p in range(s.first, s.last))
+    assert dealt == sorted([("", 0, 1), *[("/big", p, 300) for p in range(300)], *[("/small", p, 3) for p in range(3)]])
+    assert len(TreeReader({"path": root, "page": "2", "report": "folders"}).partitions()) == 1
+    found = scan_tree(spark, root, page=2)
+    assert found.rdd.getNumPartitions() <= 130 and found.count() == found.select("path").distinct().count() == 605
+
+
 def test_links_end(spark, tmp_path):
     root = _tree(tmp_path, "d/file.txt", "e/other.txt")
     os.symlink(f"{root}/d", f"{root}/d/up")
