@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -294,11 +294,20 @@ def _fields(nodes: Column, field: str) -> Column:
     return F.transform(nodes, lambda n: n[field])
 
 
+def _by_text(find: Callable[[str | None], list[dict] | None]):
+    """A function of whole texts as one of columns.
+
+    Spark hands texts to Python 100 at a time. An Arrow batch is 10,000, whatever they weigh, and each worker would hold
+    several forms of all of them.
+    """
+    return F.udf(find, _VALUES, useArrow=False)
+
+
 def _named_in_json(names: list[str]):
     """Scalar texts under keys at any depth, by key; the items of an array are values of its key.
 
-    No path expression reaches all depths, so whole columns of documents go
-    through the parser at once. A malformed document gives null.
+    No path expression reaches all depths, so whole documents go through the
+    parser. A malformed document gives null.
     """
     wanted = set(names)
 
@@ -320,11 +329,7 @@ def _named_in_json(names: list[str]):
                 found.append({"name": key, "raw": value if isinstance(value, str) else str(value).lower()})
         return found
 
-    @F.pandas_udf(_VALUES)
-    def column(texts: pd.Series) -> pd.Series:
-        return texts.map(find)
-
-    return column
+    return _by_text(find)
 
 
 class _Pairs(list):
@@ -338,9 +343,9 @@ def _qualified(namespace: str | None, name: str) -> str:
 def _named_in_xml(names: dict[str, str], parent: str | None):
     """Texts of the elements of these (qualified) names, or of such attributes on `parent`, anywhere in a document.
 
-    `names` gives each its label. Whole columns of documents go through the parser
-    at once. The built-in way, `xpath`, is slower by half and fails the job on a
-    malformed document, which here gives null.
+    `names` gives each its label. Whole documents go through the parser. The
+    built-in way, `xpath`, is slower by half and fails the job on a malformed
+    document, which here gives null.
     """
 
     def find(text: str | None) -> list[dict] | None:
@@ -354,11 +359,7 @@ def _named_in_xml(names: dict[str, str], parent: str | None):
             found = [(names[n], v) for e in root.iter(parent) for n, v in e.attrib.items() if n in names]
         return [{"name": n, "raw": v} for n, v in found]
 
-    @F.pandas_udf(_VALUES)
-    def column(texts: pd.Series) -> pd.Series:
-        return texts.map(find)
-
-    return column
+    return _by_text(find)
 
 
 def lexicon(docs: DataFrame, what: str = "collections", uri: str = "uri", collections: str = "collections") -> DataFrame:

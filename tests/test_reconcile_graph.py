@@ -268,6 +268,19 @@ def test_range_indexes(spark, rows):
     assert rows(range_values(xml, {"type": "int", "path": "/r/p/@n"}, format="xml").good, "value") == [(1,)]
 
 
+def test_texts_are_handed_to_python_in_small_batches(spark, rows):
+    text = F.concat(F.format_string('{"a":{"n":%d,"t":"', "id"), F.repeat(F.lit("é"), 20_000), F.lit('"}}'))
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("uri"), F.when(F.col("id") == 7, "{").otherwise(text).alias("content"))
+    js, issue = range_values(docs, {"type": "long", "name": ["n", "none"]})
+    xml = docs.select("uri", F.format_string("<r><n>%d</n></r>", "uri").alias("content"))
+    for found, want in (js, [n for n in range(300) if n != 7]), (range_values(xml, {"type": "long", "name": "n"}, format="xml").good, range(300)):
+        assert sorted(tuple(r) for r in found.collect()) == [(n, "n", n) for n in want]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # an Arrow batch would be 10,000 whole texts
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert rows(issue, "entity", "rule") == [("7", "malformed")]
+
+
 def test_nested_values_under_a_key(spark, rows):
     js = spark.createDataFrame([("/1", '{"n":["6",{"n":"7"}],"k":{"n":[[8]]}}')], "uri string, content string")
     good, _ = range_values(js, {"type": "int", "name": "n"})
