@@ -5,13 +5,16 @@ Every function returns rows; nothing is applied. A dry run is reading the plan.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import comparators as cmp
 from docloom.functions.values import quoted, split_list
 from docloom.operators.validate import Prop, schema_table
-from docloom.storage import Checked, issue_rows
+from docloom.storage import Checked, dealt, issue_rows
 
 
 def reconcile_entities(desired: DataFrame, actual: DataFrame, key: list[str], external: Column | None = None) -> DataFrame:
@@ -34,17 +37,17 @@ def reconcile_members(desired: DataFrame, actual: DataFrame, existing: DataFrame
     (`existing` lists all names), else created.
     """
     key = [*group, name]
-    d = desired.select(*key).distinct().withColumn("__d", F.lit(True))
-    a = actual.select(*key).distinct().withColumn("__a", F.lit(True))
-    both = d.join(a, key, "full")
+    # dealt by key: joined or grouped in parts of so many shuffled bytes, which hold very many regular rows, tables of keys and
+    # sorted copies of them would meet in few tasks; texts are aggregated in one sorted pass, not in two tables
+    every = desired.select(*key, F.lit("d").alias("__in")).unionByName(actual.select(*key, F.lit("a").alias("__in")))
+    sides = dealt(every, *key).groupBy(*key).agg(F.max("__in").alias("__d"), F.min("__in").alias("__a"))
+    # keys that hold null match nothing, not even each other
+    whole = reduce(and_, [F.col(c).isNotNull() for c in key])
+    matched = (F.col("__d") != F.col("__a")) & whole
+    attached = sides.filter("__a = 'a'").select(*key, F.when(matched, "check").otherwise("detach").alias("verb"))
     known = existing.select(name).distinct().withColumn("__e", F.lit(True))
-    verb = (
-        F.when(F.col("__d").isNull(), "detach")
-        .when(F.col("__a").isNotNull(), "check")
-        .when(F.col("__e").isNotNull(), "attach")
-        .otherwise("create")
-    )
-    return both.join(known, name, "left").select(*key, verb.alias("verb"))
+    wanted = dealt(sides.filter((F.col("__d") == "d") & ~matched).select(*key), name).join(known, name, "left")
+    return attached.unionByName(wanted.select(*key, F.when(F.col("__e").isNotNull(), "attach").otherwise("create").alias("verb")))
 
 
 # Fixed value: the property whose changes come after all others of its entity.

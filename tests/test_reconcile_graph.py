@@ -80,6 +80,25 @@ def test_entities_and_members(spark, rows):
     ]
 
 
+def test_members_stay_dealt_to_all_tasks(spark, rows):
+    ids = spark.range(0, 2000, 1, 3)
+    db = (F.col("id") % 10).alias("db")
+    want = ids.filter("id % 3 > 0").select(db, F.col("id").alias("name"))
+    have = ids.filter("id % 3 < 2").select(db, F.when(F.col("id") % 3 == 0, F.col("id") + 2).otherwise(F.col("id")).alias("name"))
+    empty = spark.createDataFrame([(None, 1), (None, None), (1, None)], "db bigint, name bigint")
+    want, have = (x.unionByName(x).unionByName(empty).unionByName(empty) for x in (want, have))
+    verbs = rec.reconcile_members(want, have, have, ["db"], "name")
+    found = {}
+    for r in verbs.collect():
+        found.setdefault(r.verb, []).append((r.db, r.name))
+    nulls = {(None, 1), (None, None), (1, None)}
+    assert {v: (len(x), len(set(x)), set(x) & nulls) for v, x in found.items()} == {
+        "check": (667, 667, set()), "detach": (670, 670, nulls), "attach": (667, 667, {(None, 1)}), "create": (2, 2, {(None, None), (1, None)})
+    }
+    # a join or grouping of its own would bring these few bytes together in one task
+    assert verbs.filter("verb = 'check'").select(F.spark_partition_id()).distinct().count() == 4
+
+
 def test_diff_reference(spark):
     cases = [  # desired, actual, expected change
         (None, None, "none"), (None, "Dflt", "none"), (None, "x", "Dflt"), ("a", None, "a"), ("a", "b", "a"), ("a", "a", "none"), ("", "x", "Dflt"),
